@@ -69,6 +69,11 @@ def join_logs(spark, sf):
     return join_two_logs(S.downsample(first, ["ts"]), second, ["ts"])
 
 
+def _double_id(df):
+    """A nullable integer reads differently in different clients; a double does not."""
+    return df.withColumn("casting_id", F.col("casting_id").cast("double"))
+
+
 CASTING_JOIN = """SELECT s.event_id, s.strand, s.ts, c.grade, c.casting_id FROM signal s
   LEFT JOIN strand_castings c ON s.strand = c.strand AND s.ts BETWEEN c.ts_start AND c.ts_end"""
 
@@ -81,9 +86,13 @@ def labelled(spark, sf):
     )
 
 
-@query("join_casting", f"WITH {SIGNAL}, {STRAND_CASTINGS} {CASTING_JOIN}")
+@query(
+    "join_casting",
+    f"""WITH {SIGNAL}, {STRAND_CASTINGS}, j AS ({CASTING_JOIN})
+        SELECT * REPLACE (CAST(casting_id AS DOUBLE) AS casting_id) FROM j""",
+)
 def join_casting(spark, sf):
-    return labelled(spark, sf)
+    return _double_id(labelled(spark, sf))
 
 
 @query(
@@ -101,14 +110,16 @@ def join_casting_unkeyed(spark, sf):
 
 @query(
     "join_casting_local",
-    f"""WITH {CASTINGS} SELECT e.event_id, e.local_ts, c.casting_id, c.grade FROM
+    f"""WITH {CASTINGS} SELECT e.event_id, e.local_ts, CAST(c.casting_id AS DOUBLE) AS casting_id, c.grade FROM
           (SELECT event_id, timezone('Europe/Amsterdam', timezone('UTC', ts)) AS local_ts FROM events) e
         LEFT JOIN castings c ON e.local_ts BETWEEN c.ts_start AND c.ts_end""",
 )
 def join_casting_local(spark, sf):
     points = table(spark, sf, "events").select("event_id", utc_to_local("ts").alias("local_ts"))
     known = castings(spark, sf).na.drop(subset=["ts_start", "ts_end"])
-    return I.attach(points, known, "local_ts", "ts_start", "ts_end", ["casting_id", "grade"])
+    return _double_id(
+        I.attach(points, known, "local_ts", "ts_start", "ts_end", ["casting_id", "grade"])
+    )
 
 
 CLASSIFIED = f"""classified AS (
@@ -126,9 +137,9 @@ def classified(spark, sf):
     return out.drop("ts_start", "ts_end", "grade")
 
 
-@query("classify_gaps", f"WITH {GAPS}, {CASTINGS}, {CLASSIFIED} SELECT * FROM classified", "time_diff_hours")
+@query("classify_gaps", f"WITH {GAPS}, {CASTINGS}, {CLASSIFIED} SELECT * REPLACE (CAST(casting_id AS DOUBLE) AS casting_id) FROM classified", "time_diff_hours")
 def classify_gaps(spark, sf):
-    return classified(spark, sf)
+    return _double_id(classified(spark, sf))
 
 
 @query(
@@ -173,8 +184,8 @@ COVERED = f"""covered AS (
 # Points are thinned so that all four states occur: some castings have none,
 # some start or end on the dot.
 POINTS = """points AS (
-  SELECT strand, CASE WHEN user_id % 2 = 0 AND HOUR(ts) < 12 THEN LEAST(ts, DATE_TRUNC('day', ts) + INTERVAL 6 HOUR)
-                      WHEN user_id % 3 = 0 AND HOUR(ts) >= 12 THEN GREATEST(ts, DATE_TRUNC('day', ts) + INTERVAL 18 HOUR)
+  SELECT strand, CASE WHEN user_id % 29 = 0 AND HOUR(ts) < 12 THEN LEAST(ts, DATE_TRUNC('day', ts) + INTERVAL 6 HOUR)
+                      WHEN user_id % 31 = 0 AND HOUR(ts) >= 12 THEN GREATEST(ts, DATE_TRUNC('day', ts) + INTERVAL 18 HOUR)
                       ELSE ts END AS ts
   FROM signal WHERE NOT (DAY(ts) % 5 = 0 AND strand = 'view') AND NOT (DAY(ts) % 7 = 0 AND HOUR(ts) > 15))"""
 
@@ -184,8 +195,8 @@ def covered(spark, sf):
     day = F.date_trunc("day", "ts").cast("timestamp_ntz")
     six, eighteen = (day + F.expr(f"interval {h} hours") for h in (6, 18))
     moved = (
-        F.when((F.col("user_id") % 2 == 0) & (F.hour("ts") < 12), F.least(F.col("ts"), six))
-        .when((F.col("user_id") % 3 == 0) & (F.hour("ts") >= 12), F.greatest(F.col("ts"), eighteen))
+        F.when((F.col("user_id") % 29 == 0) & (F.hour("ts") < 12), F.least(F.col("ts"), six))
+        .when((F.col("user_id") % 31 == 0) & (F.hour("ts") >= 12), F.greatest(F.col("ts"), eighteen))
         .otherwise(F.col("ts"))
     )
     kept = s.filter(

@@ -287,7 +287,7 @@ def flag_crosstab(spark, sf):
         UNION ALL SELECT 'Parameters', 'Casting Speed mean', AVG(speed), NULL FROM windows
         UNION ALL SELECT 'Parameters', 'Casting Speed std', STDDEV_SAMP(speed), NULL FROM windows
         UNION ALL SELECT 'Parameters', 'Mold Width mean', AVG(width), NULL FROM windows
-        UNION ALL SELECT 'Parameters', 'Mold Width std', 0, NULL FROM windows
+        UNION ALL SELECT 'Parameters', 'Mold Width std', MAX(0.0), NULL FROM windows
         UNION ALL SELECT 'Disturbances', label, COUNT(*), ROUND(COUNT(*) * 100.0 / SUM(COUNT(*)) OVER (), 1) FROM windows GROUP BY label""",
     "value pct",
 )
@@ -378,7 +378,7 @@ def density_2d(spark, sf):
 
 
 _PAIRS = " UNION ALL ".join(
-    f"SELECT '{x}' AS x, '{y}' AS y, " + ("1.0::DOUBLE" if x == y else f"CORR({x}, {y})") + " AS corr FROM sensors"
+    f"SELECT '{x}' AS x, '{y}' AS y, " + ("MAX(1.0::DOUBLE)" if x == y else f"CORR({x}, {y})") + " AS corr FROM sensors"
     for x in "abcd"
     for y in "abcd"
 )

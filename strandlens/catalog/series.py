@@ -12,6 +12,7 @@ from ..operators import stats as S
 from ..operators import windows as W
 from ..plans.datasets import series_window
 from ..plans.pipeline import classify_windows, stable_sequences
+from ..sources.sinks import stage
 from .joins import GAPS, deltas, long_gaps
 from .registry import query
 from .tables import CFG, SIGNAL, SPEC, signal, table
@@ -180,7 +181,7 @@ def _cut_sql(source: str, gap: float) -> str:
 )
 def segment_gaps(spark, sf):
     rows = signal(spark, sf).select("strand", "ts", "event_id")
-    return O.finish(O.segment_by_gaps(rows, SPEC.keys, SPEC.order, SPEC.chunk(), 3600)).drop("ts")
+    return O.segment_by_gaps(rows, SPEC.keys, SPEC.order, SPEC.chunk(), 3600).drop("ts")
 
 
 def _rounded_sql(source: str, value: str, scale: float) -> str:
@@ -201,7 +202,7 @@ def hysteresis_round(spark, sf):
         "strand", "ts", "event_id", (F.col("speed") / 1000.0).alias("x")
     )
     out = O.hysteresis_round(rows, SPEC.keys, SPEC.order, SPEC.chunk(), "x", "r")
-    return O.finish(out).drop("ts")
+    return out.drop("ts")
 
 
 @query(
@@ -274,7 +275,7 @@ walk AS (
     f"WITH RECURSIVE {SIGNAL}, {WALK} SELECT strand, segment_id, pos AS start_pos FROM walk WHERE steady",
 )
 def stable_windows(spark, sf):
-    return W.pick_windows(starts(spark, sf), SPEC.keys, _W)
+    return W.pick_windows(starts(spark, sf), SPEC.keys, _W, stage=stage)
 
 
 @query(
@@ -282,8 +283,7 @@ def stable_windows(spark, sf):
     f"WITH RECURSIVE {SIGNAL}, {WALK} SELECT strand, segment_id, pos FROM walk WHERE complete AND NOT steady",
 )
 def abnormal_windows(spark, sf):
-    s = starts(spark, sf)
-    picks = W.pick_windows(s, SPEC.keys, _W)
+    s, picks = stable_sequences(signal(spark, sf), SPEC, CFG, rounded=False)
     return W.abnormal_starts(s, picks, SPEC.keys, _W).select("strand", "segment_id", "pos")
 
 
@@ -293,10 +293,9 @@ def abnormal_windows(spark, sf):
         JOIN marked m ON m.strand = w.strand AND m.pos BETWEEN w.pos AND w.pos + {_W - 1} WHERE w.steady""",
 )
 def sequence_rows(spark, sf):
-    s = starts(spark, sf)
-    picks = W.pick_windows(s, SPEC.keys, _W)
+    s, picks = stable_sequences(signal(spark, sf), SPEC, CFG, rounded=False)
     rows = s.select("strand", "event_id", "pos")
-    return W.window_rows(rows, picks, SPEC.keys, _W)
+    return W.window_rows(rows, picks, SPEC.keys, _W).drop("segment_id", "seq_no")
 
 
 @query(
@@ -305,11 +304,8 @@ def sequence_rows(spark, sf):
         printf('seq_%04d', ROW_NUMBER() OVER (PARTITION BY strand ORDER BY pos) - 1) AS "Seq_Name" FROM walk WHERE steady""",
 )
 def sequence_names(spark, sf):
-    s = starts(spark, sf)
-    picks = W.pick_windows(s, SPEC.keys, _W)
-    first = s.select("strand", F.col("pos").alias("start_pos"), "ts")
-    timed = picks.select("strand", "start_pos").join(first, ["strand", "start_pos"])
-    numbered = W.number_windows(timed, SPEC.keys, "ts", DAY)
+    picks = W.pick_windows(starts(spark, sf), SPEC.keys, _W, stage=stage)
+    numbered = W.number_windows(picks, SPEC.keys)
     return numbered.select("strand", "start_pos", W.sequence_name("seq_no").alias("Seq_Name"))
 
 
@@ -333,8 +329,8 @@ def sequence_names(spark, sf):
     "speed_avg width_avg depth_avg level_avg sigma ptp_mm",
 )
 def sequence_stats(spark, sf):
-    s = starts(spark, sf)
-    stats = classify_windows(s, W.pick_windows(s, SPEC.keys, _W), SPEC, CFG)
+    s, picks = stable_sequences(signal(spark, sf), SPEC, CFG, rounded=False)
+    stats = classify_windows(s, picks, SPEC, CFG)
     return stats.select(
         "strand",
         "start_pos",
@@ -371,13 +367,13 @@ def pipeline_labels(spark, sf):
         walk AS (SELECT strand, 0 AS window_no, pos, break_pos FROM v WHERE pos = 0
           UNION ALL SELECT v.strand, w.window_no + 1, v.pos, v.break_pos FROM walk w JOIN v ON v.strand = w.strand
             AND v.pos = CASE WHEN w.break_pos IS NULL THEN w.pos + 8 ELSE w.break_pos + 1 END WHERE w.window_no < 11)
-        SELECT strand, CAST(window_no AS BIGINT) AS window_no, pos AS start_pos, break_pos, break_pos IS NULL AS stable FROM walk""",
+        SELECT strand, CAST(window_no AS BIGINT) AS window_no, pos AS start_pos, CAST(break_pos AS DOUBLE) AS break_pos, break_pos IS NULL AS stable FROM walk""",
 )
 def break_windows(spark, sf):
     rows = signal(spark, sf).select("strand", "ts", "event_id", "speed")
     return W.break_windows(
         rows, SPEC.keys, SPEC.order, "speed", 8, 60.0, span="interval 3 days", chunk_seconds=3_600
-    )
+    ).withColumn("break_pos", F.col("break_pos").cast("double"))
 
 
 @query(

@@ -166,7 +166,7 @@ def windows_table(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.stddev_samp("l_quantity") / 10).alias("sigma"),
             (F.max("l_quantity") - F.min("l_quantity")).alias("ptp"),
             (F.avg("l_discount") * 20 + 0.5).alias("speed"),
-            (F.avg("l_extendedprice") / 60000 + 0.8).alias("width"),
+            (F.avg("l_extendedprice") / 59999 + 0.8).alias("width"),
             (F.avg("l_tax") * 1000 + 100).alias("depth"),
             (F.max("l_quantity") > 48).alias("has_excursion_event"),
             (F.min("l_quantity") < 3).alias("has_slow_drift"),
@@ -197,7 +197,7 @@ WINDOWS_TABLE = """windows AS (
         FROM orders JOIN (
           SELECT l_orderkey, COUNT(*) AS n, STDDEV_SAMP(l_quantity) / 10 AS sigma,
                  MAX(l_quantity) - MIN(l_quantity) AS ptp, AVG(l_discount) * 20 + 0.5 AS speed,
-                 AVG(l_extendedprice) / 60000 + 0.8 AS width, AVG(l_tax) * 1000 + 100 AS depth,
+                 AVG(l_extendedprice) / 59999 + 0.8 AS width, AVG(l_tax) * 1000 + 100 AS depth,
                  MAX(l_quantity) > 48 AS has_excursion_event, MIN(l_quantity) < 3 AS has_slow_drift,
                  MAX(l_discount) >= 0.1 AS has_transient_bump,
                  MAX(l_quantity) - MIN(l_quantity) > 40 AS has_high_variability

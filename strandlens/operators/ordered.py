@@ -60,7 +60,7 @@ def scan(
     position: str | None = None,
     counts: Mapping[str, Column] | None = None,
     last: Mapping[str, str | Column] | None = None,
-    descending: bool = False,
+    following: Mapping[str, str | Column] | None = None,
 ) -> DataFrame:
     """Add running columns along ``order`` inside each series.
 
@@ -68,20 +68,20 @@ def scan(
     ``position``  0-based row number
     ``counts``    number of rows up to and including this one where the flag holds
     ``last``      latest non-null value up to and including this row
+    ``following`` next non-null value from this row on
 
     ``order`` must be a total order without nulls, ``chunk`` monotone in it.
     When ``chunk`` is None the frame already carries the chunk column. The
     chunk column stays on the result so that a further scan needs no new
-    shuffle; ``finish`` drops it. ``descending`` runs the order backwards.
+    shuffle; ``finish`` drops it. A scan reads its input twice, once for the
+    carries, so columns that do not build on each other belong in one scan.
     """
-    sort = (lambda c: _column(c).desc()) if descending else (lambda c: _column(c).asc())
-    outermost = F.min if descending else F.max
-    value_at_end = F.min_by if descending else F.max_by
     lag, counts, last = dict(lag or {}), dict(counts or {}), dict(last or {})
+    following = dict(following or {})
     names = list(df.columns)
     base = df if chunk is None else df.withColumn(CHUNK, chunk)
     inputs = {}
-    for new, value in {**lag, **last}.items():
+    for new, value in {**lag, **last, **following}.items():
         inputs[f"_in_{new}"] = _column(value)
     for new, flag in counts.items():
         inputs[f"_in_{new}"] = F.coalesce(flag, F.lit(False)).cast("bigint")
@@ -92,17 +92,19 @@ def scan(
     summary = [F.count(F.lit(1)).alias("_rows")]
     for new, value in lag.items():
         if isinstance(value, str) and value == order[0]:
-            summary.append(outermost(_column(value)).alias(f"_end_{new}"))
+            summary.append(F.max(_column(value)).alias(f"_end_{new}"))
         else:
-            summary.append(value_at_end(F.col(f"_in_{new}"), place).alias(f"_end_{new}"))
+            summary.append(F.max_by(F.col(f"_in_{new}"), place).alias(f"_end_{new}"))
     for new in counts:
         summary.append(F.sum(f"_in_{new}").alias(f"_end_{new}"))
-    for new in last:
+    for new in [*last, *following]:
         there = F.when(F.col(f"_in_{new}").isNotNull(), place)
-        summary.append(value_at_end(F.col(f"_in_{new}"), there).alias(f"_end_{new}"))
+        pick = F.max_by if new in last else F.min_by
+        summary.append(pick(F.col(f"_in_{new}"), there).alias(f"_end_{new}"))
 
-    along = Window.partitionBy(*[_column(k) for k in keys]).orderBy(sort(CHUNK))
+    along = Window.partitionBy(*[_column(k) for k in keys]).orderBy(CHUNK)
     before = along.rowsBetween(Window.unboundedPreceding, -1)
+    later = along.rowsBetween(1, Window.unboundedFollowing)
     carry = [F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_carry_rows")]
     for new in lag:
         carry.append(F.lag(f"_end_{new}").over(along).alias(f"_carry_{new}"))
@@ -112,9 +114,11 @@ def scan(
         )
     for new in last:
         carry.append(F.last(f"_end_{new}", ignorenulls=True).over(before).alias(f"_carry_{new}"))
+    for new in following:
+        carry.append(F.first(f"_end_{new}", ignorenulls=True).over(later).alias(f"_carry_{new}"))
     carries = base.groupBy(*group).agg(*summary).select(*group, *carry)
 
-    inside = Window.partitionBy(*group).orderBy(*[sort(c) for c in order])
+    inside = Window.partitionBy(*group).orderBy(*[_column(c) for c in order])
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = {"_row": F.row_number().over(inside)}
     for new in lag:
@@ -123,6 +127,11 @@ def scan(
         local[f"_loc_{new}"] = F.sum(f"_in_{new}").over(running)
     for new in last:
         local[f"_loc_{new}"] = F.last(f"_in_{new}", ignorenulls=True).over(running)
+    backwards = Window.partitionBy(*group).orderBy(*[_column(c).desc() for c in order])
+    for new in following:
+        local[f"_loc_{new}"] = F.last(f"_in_{new}", ignorenulls=True).over(
+            backwards.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
 
     joined = base.withColumns(local).join(carries, [*keys, CHUNK])
     out = [_column(c) for c in names if c != CHUNK]
@@ -136,7 +145,7 @@ def scan(
         out.append((F.col("_carry_rows") + F.col("_row") - 1).cast("bigint").alias(position))
     for new in counts:
         out.append((F.col(f"_carry_{new}") + F.col(f"_loc_{new}")).cast("bigint").alias(new))
-    for new in last:
+    for new in [*last, *following]:
         out.append(F.coalesce(F.col(f"_loc_{new}"), F.col(f"_carry_{new}")).alias(new))
     return joined.select(*out, F.col(CHUNK))
 
@@ -178,6 +187,13 @@ def significant_gaps(deltas: DataFrame, threshold_seconds: float = 300) -> DataF
     )
 
 
+def _re_rounded(x: Column, before: Column, round_up: bool, step: float) -> Column:
+    """The new output where the raw value moved by more than ``step``, else null."""
+    shifted = F.rint(x * 100 + F.lit(0.5 if round_up else -0.5)) / 100
+    held = F.coalesce(F.abs(x - before) <= step, F.lit(False))
+    return F.when(~held, shifted)
+
+
 def hysteresis_round(
     df: DataFrame,
     keys: Sequence[str],
@@ -190,36 +206,42 @@ def hysteresis_round(
 ) -> DataFrame:
     """Two-decimal rounding that keeps the previous output while the raw value
     moves by at most ``step``. A move re-rounds, half a unit up or down."""
-    x = _column(value)
-    shifted = F.rint(x * 100 + F.lit(0.5 if round_up else -0.5)) / 100
-    moved = scan(df, keys, order, chunk, lag={"_before": value}, position="_pos")
-    held = (F.col("_pos") > 0) & F.coalesce(F.abs(x - F.col("_before")) <= step, F.lit(False))
-    return scan(moved, keys, order, last={name: F.when(~held, shifted)}).drop("_before", "_pos")
+    moved = scan(df, keys, order, chunk, lag={"_before": value})
+    fresh = _re_rounded(_column(value), F.col("_before"), round_up, step)
+    return finish(scan(moved, keys, order, last={name: fresh})).drop("_before")
 
 
 def segment_by_gaps(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column | None,
+    chunk: Column,
     max_gap_seconds: float,
+    rounded: tuple[str, str] | None = None,
+    step: float = 0.01,
 ) -> DataFrame:
     """Add ``segment_id`` (0, 1, ... per series), ``pos`` (row number in the
     series) and ``seg_pos`` (row number in the segment). A segment ends where
     the step to the next row is longer than ``max_gap_seconds``, to the
-    microsecond."""
+    microsecond.
+
+    ``rounded`` = (value, name) adds the rounding of ``hysteresis_round``, which
+    runs across segments, in the same two scans.
+    """
     ts = order[0]
-    stepped = scan(df, keys, order, chunk, lag={"_prev": ts}, position="pos")
-    starts = micros(ts) - micros("_prev") > F.lit(int(max_gap_seconds * 1_000_000))
-    cut = scan(
-        stepped,
-        keys,
-        order,
-        counts={"segment_id": starts},
-        last={"_first": F.when(F.coalesce(starts, F.lit(False)), F.col("pos"))},
+    lag = {"_prev": ts}
+    if rounded:
+        lag["_before"] = rounded[0]
+    stepped = scan(df, keys, order, chunk, lag=lag, position="pos")
+    starts = F.coalesce(
+        micros(ts) - micros("_prev") > F.lit(int(max_gap_seconds * 1_000_000)), F.lit(False)
     )
+    last = {"_first": F.when(starts, F.col("pos"))}
+    if rounded:
+        last[rounded[1]] = _re_rounded(_column(rounded[0]), F.col("_before"), True, step)
+    cut = finish(scan(stepped, keys, order, counts={"segment_id": starts}, last=last))
     seg_pos = F.col("pos") - F.coalesce(F.col("_first"), F.lit(0))
-    return cut.withColumn("seg_pos", seg_pos.cast("bigint")).drop("_prev", "_first")
+    return cut.withColumn("seg_pos", seg_pos.cast("bigint")).drop("_prev", "_first", "_before")
 
 
 def run_groups(
@@ -299,8 +321,7 @@ def spike_clean(
         .drop("_owned", "_med")
     )
     point = F.when(F.col("_kept").isNotNull(), F.struct(F.col("_pos").alias("p"), F.col("_kept").alias("v")))
-    left = scan(kept, keys, ["_pos"], last={"_left": point})
-    both = scan(left, keys, ["_pos"], last={"_right": point}, descending=True)
+    both = finish(scan(kept, keys, ["_pos"], last={"_left": point}, following={"_right": point}))
     a, b = F.col("_left"), F.col("_right")
     between = a["v"] + (b["v"] - a["v"]) * (F.col("_pos") - a["p"]) / (b["p"] - a["p"])
     filled = F.coalesce(F.col("_kept"), between, a["v"], b["v"])

@@ -64,14 +64,14 @@ def order_statistics(
     """
     key_cols = [_column(k) for k in keys]
     base = (
-        df.select(*key_cols, *[_column(c) for c in carry], _column(value).cast("double").alias("_x"))
-        .filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
-        .withColumn("_bin", _log_bin(F.col("_x")))
+        df.select(*key_cols, *[_column(c) for c in carry], _column(value).cast("double").alias("_value"))
+        .filter(F.col("_value").isNotNull() & ~F.isnan("_value"))
+        .withColumn("_bin", _log_bin(F.col("_value")))
     )
     bins = base.groupBy(*key_cols, "_bin").agg(
         F.count(F.lit(1)).alias("_n"),
-        F.min("_x").alias("_low"),
-        F.max("_x").alias("_high"),
+        F.min("_value").alias("_low"),
+        F.max("_value").alias("_high"),
         *[F.first(_column(c)).alias(c) for c in carry],
     )
     whole = Window.partitionBy(*key_cols)
@@ -84,10 +84,10 @@ def order_statistics(
         cells = cells.withColumnsRenamed({c: f"_c_{c}" for c in [*keys, "_bin"]})
         same = [_column(k).eqNullSafe(_column(f"_c_{k}")) for k in keys]
         match = reduce(lambda a, b: a & b, same, F.col("_bin") == F.col("_c__bin"))
-        slim = base.select(*key_cols, "_x", "_bin")
+        slim = base.select(*key_cols, "_value", "_bin")
         return slim.join(cells, match).drop(*[f"_c_{c}" for c in [*keys, "_bin"]])
 
-    part = _part(F.col("_x"), F.col("_low"), F.col("_high"))
+    part = _part(F.col("_value"), F.col("_low"), F.col("_high"))
     constants = ["_low", "_high", "_before", TOTAL, "_ranks"]
     parts = (
         rows_in(hit_bins)
@@ -98,14 +98,14 @@ def order_statistics(
     values = (
         rows_in(hit_parts)
         .filter(part == F.col("_part"))
-        .groupBy(*key_cols, "_bin", "_part", "_x")
+        .groupBy(*key_cols, "_bin", "_part", "_value")
         .agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in ("_before", TOTAL, "_ranks")])
     )
-    found = _hits(values, [*keys, "_bin", "_part"], "_x", F.col("_before"))
+    found = _hits(values, [*keys, "_bin", "_part"], "_value", F.col("_before"))
     return found.withColumn("rank", F.explode("_ranks")).select(
         *key_cols,
         "rank",
-        F.col("_x").alias("value"),
+        F.col("_value").alias("value"),
         (F.col("rank") - F.col("_before")).alias("tie"),
         TOTAL,
     )

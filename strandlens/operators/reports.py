@@ -482,10 +482,10 @@ def label_example(
 ) -> DataFrame:
     """Per label the first row in ``order`` and the one with most ``strength``."""
     place = F.struct(*[_column(c) for c in order])
-    most = F.struct(_column(strength), *[(-_column(c)).alias(f"o{i}") for i, c in enumerate(order)])
+    most = F.struct((-_column(strength)).alias("s"), *[_column(c) for c in order])
     return df.groupBy(*[_column(b) for b in by]).agg(
         *[F.min_by(_column(c), place).alias(f"first_{c}") for c in columns],
-        *[F.max_by(_column(c), most).alias(f"strongest_{c}") for c in columns],
+        *[F.min_by(_column(c), most).alias(f"strongest_{c}") for c in columns],
     )
 
 

@@ -11,7 +11,7 @@ rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,13 +127,17 @@ def pick_windows(
     pos: str = "pos",
     seg_pos: str = "seg_pos",
     piece_rows: int = PIECE_ROWS,
+    stage: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
-    """Greedy choice of non-overlapping windows: (keys, segment, start_pos)."""
+    """Greedy choice of non-overlapping windows: (keys, segment, start_pos).
+
+    The runs of steady starts are read three times; ``stage`` may write them
+    out so that they are worked out once.
+    """
     if piece_rows < window:
         raise ValueError("a piece must hold at least one window")
     key_cols = [_column(k) for k in keys]
     group = [*key_cols, _column(segment)]
-    piece = F.floor(F.col(seg_pos) / piece_rows).cast("bigint")
     good = (
         starts.filter("steady")
         .select(*group, BLOCK, F.col(pos).alias("_p"), F.col(seg_pos).alias("_q"))
@@ -151,6 +155,8 @@ def pick_windows(
             F.first(F.col("_p") - F.col("_q")).alias("_shift"),
         )
     )
+    if stage is not None:
+        runs = stage(runs, "runs")
     by_piece = [*keys, segment, "_piece"]
     pieces = runs.groupBy(*[_column(c) for c in by_piece]).agg(
         F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_runs"),
@@ -240,10 +246,11 @@ def window_rows(
     pos: str = "pos",
     how: str = "inner",
 ) -> DataFrame:
-    """Rows with the window that holds them, joined on slots of W rows; a
-    window touches at most two."""
+    """Rows with the window that holds them and what ``picks`` says of it,
+    joined on slots of W rows; a window touches at most two."""
     slot = "_slot"
-    starts = picks.select(*[_column(k).alias(f"_w_{k}") for k in keys], "start_pos").withColumn(
+    labels = [c for c in picks.columns if c not in rows.columns]
+    starts = picks.select(*[_column(k).alias(f"_w_{k}") for k in keys], *labels).withColumn(
         "_w_slot",
         F.explode(
             F.array_distinct(
@@ -265,18 +272,11 @@ def window_rows(
 
 
 def number_windows(
-    windows: DataFrame, keys: Sequence[str], start_ts: str, chunk_seconds: float, name: str = "seq_no"
+    picks: DataFrame, keys: Sequence[str], name: str = "seq_no", chunk_rows: int = PIECE_ROWS
 ) -> DataFrame:
-    """Number the windows of a series in time order."""
-    return finish(
-        scan(
-            windows,
-            keys,
-            [start_ts, "start_pos"],
-            bucket(start_ts, chunk_seconds),
-            position=name,
-        )
-    )
+    """Number the windows of a series in time order, from 0."""
+    chunk = F.floor(F.col("start_pos") / chunk_rows).cast("bigint")
+    return finish(scan(picks, keys, ["start_pos"], chunk, position=name))
 
 
 def sequence_name(number: str | Column) -> Column:
@@ -287,7 +287,7 @@ def segmented_starts(
     rows: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column | None,
+    chunk: Column,
     speed: str,
     window: int,
     speed_threshold: float,
@@ -295,10 +295,14 @@ def segmented_starts(
     current_threshold: float | None,
     max_gap_seconds: float,
     min_segment_rows: int | None = None,
+    rounded: str | None = None,
     block_rows: int = 65_536,
 ) -> DataFrame:
-    """Cut at time gaps, then mark steady window starts inside each segment."""
-    cut = finish(segment_by_gaps(rows, keys, order, chunk, max_gap_seconds))
+    """Cut at time gaps, then mark steady window starts inside each segment.
+    With ``rounded`` the search sees the rounded speed, kept in that column."""
+    rounding = (speed, rounded) if rounded else None
+    cut = segment_by_gaps(rows, keys, order, chunk, max_gap_seconds, rounding)
+    speed = rounded or speed
     if min_segment_rows is not None and min_segment_rows > window:
         group = [*keys, "segment_id"]
         long_enough = (

@@ -1,7 +1,8 @@
 """From two raw logs and the casting metadata to labelled windows.
 
-Every step is a lazy DataFrame operator with the strand as a key, so all
-strands run in one plan and nothing is brought to the driver.
+Every step is a DataFrame operator with the strand as a key, so all strands run
+in one plan and nothing is brought to the driver. Results that several steps
+read are staged as files in the shared scratch folder.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from ..functions.columns import active_filter, convert_units, process_filter, pr
 from ..functions.timing import _column
 from ..operators.detectors import flag_disturbances
 from ..operators.intervals import attach
-from ..operators.ordered import finish, hysteresis_round
 from ..operators.reshape import union_strands
 from ..operators.stats import downsample, sequence_stats
 from ..operators.windows import (
@@ -27,7 +27,7 @@ from ..operators.windows import (
     window_rows,
 )
 from ..sources.readers import read_logs
-from ..sources.sinks import scratch_path, write_csv, write_parquet
+from ..sources.sinks import scratch_path, stage, write_csv, write_parquet
 from ..spec import AnalysisConfig, SignalSpec, StrandConfig
 
 _ROUNDED = "_rounded_speed"
@@ -83,20 +83,19 @@ def load_signal(
 def stable_sequences(
     signal: DataFrame, spec: SignalSpec, cfg: AnalysisConfig, rounded: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """Active rows with window marks, and the chosen windows.
+    """Active rows with window marks, and the chosen windows with their number.
 
-    The window search sees the rounded speed, the statistics the raw one.
+    The window search sees the rounded speed, the statistics the raw one. Both
+    results are staged, because several later steps read them.
     """
-    rows = active_filter(signal, spec.currents)
-    speed, chunk = spec.speed, spec.chunk()
-    if rounded:
-        rows = hysteresis_round(rows, spec.keys, spec.order, chunk, spec.speed, _ROUNDED)
-        speed, chunk = _ROUNDED, None
     starts = segmented_starts(
-        rows, spec.keys, spec.order, chunk, speed, cfg.window_size, cfg.speed_threshold,
-        spec.currents, cfg.current_threshold, cfg.max_gap_seconds,
+        active_filter(signal, spec.currents), spec.keys, spec.order, spec.chunk(), spec.speed,
+        cfg.window_size, cfg.speed_threshold, spec.currents, cfg.current_threshold,
+        cfg.max_gap_seconds, rounded=_ROUNDED if rounded else None,
     )
-    return starts, pick_windows(starts, spec.keys, cfg.window_size)
+    starts = stage(starts, "starts")
+    picks = pick_windows(starts, spec.keys, cfg.window_size, stage=stage)
+    return starts, stage(number_windows(picks, spec.keys), "picks")
 
 
 def classify_windows(
@@ -104,15 +103,14 @@ def classify_windows(
 ) -> DataFrame:
     """Statistics, flags and label of every chosen window."""
     rows = window_rows(starts, picks, spec.keys, cfg.window_size)
-    keys = [*spec.keys, "segment_id", "start_pos"]
+    keys = [*spec.keys, "segment_id", "start_pos", "seq_no"]
     stats = sequence_stats(rows, keys, spec, keep_samples="_samples")
     flagged = flag_disturbances(stats, "_samples", cfg).drop("_samples")
-    named = number_windows(flagged, spec.keys, "Seq_time_Start", spec.chunk_seconds)
-    return named.withColumn("Seq_Name", sequence_name("seq_no")).drop("seq_no")
+    return flagged.withColumn("Seq_Name", sequence_name("seq_no")).drop("seq_no")
 
 
 def analyze(signal: DataFrame, spec: SignalSpec, cfg: AnalysisConfig) -> dict[str, DataFrame]:
-    """Labelled windows and rejected starts of a cleaned signal, both lazy."""
+    """Labelled windows and rejected starts of a cleaned signal."""
     starts, picks = stable_sequences(signal, spec, cfg)
     return {
         "sequences": classify_windows(starts, picks, spec, cfg),
@@ -137,12 +135,14 @@ def run(
     """
     spec, cfg = spec or SignalSpec(), cfg or AnalysisConfig()
     path = scratch_path(spark, "signal")
-    write_parquet(load_signal(spark, strands, castings, spec, cfg), path, spec.keys)
-    signal = spark.read.parquet(path)
+    loaded = load_signal(spark, strands, castings, spec, cfg)
+    write_parquet(loaded, path, spec.keys)
+    signal = spark.read.schema(loaded.schema).parquet(path)
     out = {"signal": signal, **analyze(signal, spec, cfg)}
     if export_to:
         base = f"{export_to.rstrip('/')}/sequence_statistics_{stamp}"
+        schema = out["sequences"].schema
         write_parquet(out["sequences"], f"{base}.parquet", spec.keys)
-        out["sequences"] = spark.read.parquet(f"{base}.parquet")
+        out["sequences"] = spark.read.schema(schema).parquet(f"{base}.parquet")
         write_csv(out["sequences"], f"{base}.csv")
     return out

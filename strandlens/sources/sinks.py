@@ -20,8 +20,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result to the shared scratch folder and go on from
+    the files: it is worked out once, and a lost executor costs no recomputation."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    """Header row; times keep their microseconds."""
+    times = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    writer = df.write.mode(mode).option("header", True)
+    writer.option("timestampNTZFormat", times).option("timestampFormat", times + "XXX").csv(path)
 
 
 def write_parquet(
