@@ -124,10 +124,8 @@ EXCURSION = f"""excursion AS (
 
 @query("detect_excursion", f"WITH {SEQ_ROWS_SQL}, {EXCURSION} SELECT * FROM excursion")
 def detect_excursion(spark, sf):
-    return D.excursion(
-        gathered(spark, sf), "samples", "has_excursion_event",
-        CFG.excursion_threshold, CFG.excursion_min_duration_s,
-    ).drop("samples")
+    flag = D.excursion("samples", CFG.excursion_threshold, CFG.excursion_min_duration_s)
+    return gathered(spark, sf).select(*SEQ_KEYS, flag.alias("has_excursion_event"))
 
 
 DRIFT = f"""drift AS (
@@ -144,9 +142,8 @@ DRIFT = f"""drift AS (
 
 @query("detect_slow_drift", f"WITH {SEQ_ROWS_SQL}, {DRIFT} SELECT * FROM drift")
 def detect_slow_drift(spark, sf):
-    return D.slow_drift(
-        gathered(spark, sf), "samples", "has_slow_drift", CFG.drift_min_run_s, CFG.drift_min_amplitude
-    ).drop("samples")
+    flag = D.slow_drift("samples", CFG.drift_min_run_s, CFG.drift_min_amplitude)
+    return gathered(spark, sf).select(*SEQ_KEYS, flag.alias("has_slow_drift"))
 
 
 BUMP = f"""ix AS (SELECT strand, seq_id, level, pos - MIN(pos) OVER (PARTITION BY strand, seq_id) AS i,
@@ -175,10 +172,11 @@ bump AS (SELECT strand, seq_id, (strand, seq_id) IN (SELECT (strand, seq_id) FRO
 
 @query("detect_bump", f"WITH {SEQ_ROWS_SQL}, {BUMP} SELECT * FROM bump")
 def detect_bump(spark, sf):
-    return D.transient_bump(
-        gathered(spark, sf), "samples", "has_transient_bump", CFG.bump_k_amp, CFG.bump_min_amplitude,
-        CFG.bump_min_duration_s, CFG.bump_max_duration_s, CFG.bump_return_band_sigma,
-    ).drop("samples")
+    flag = D.transient_bump(
+        "samples", CFG.bump_k_amp, CFG.bump_min_amplitude, CFG.bump_min_duration_s,
+        CFG.bump_max_duration_s, CFG.bump_return_band_sigma,
+    )
+    return gathered(spark, sf).select(*SEQ_KEYS, flag.alias("has_transient_bump"))
 
 
 VARIABILITY = f"""variability AS (
@@ -189,10 +187,10 @@ VARIABILITY = f"""variability AS (
 
 @query("detect_high_variability", f"WITH {SEQ_ROWS_SQL}, {VARIABILITY} SELECT * FROM variability")
 def detect_high_variability(spark, sf):
-    return D.high_variability(
-        gathered(spark, sf), "samples", "has_high_variability",
-        CFG.variability_ptp, CFG.variability_band, CFG.variability_fraction,
-    ).drop("samples")
+    flag = D.high_variability(
+        "samples", CFG.variability_ptp, CFG.variability_band, CFG.variability_fraction
+    )
+    return gathered(spark, sf).select(*SEQ_KEYS, flag.alias("has_high_variability"))
 
 
 @query(
@@ -211,7 +209,8 @@ def detect_high_variability(spark, sf):
         GROUP BY k.strand, k.seq_id""",
 )
 def detect_slow_drift_timed(spark, sf):
-    return D.slow_drift_timed(timed(spark, sf), "timed", "has_slow_drift", 14_000, 120).drop("timed")
+    flag = D.slow_drift_timed("timed", 14_000, 120)
+    return timed(spark, sf).select(*SEQ_KEYS, flag.alias("has_slow_drift"))
 
 
 @query(
@@ -225,7 +224,8 @@ def detect_slow_drift_timed(spark, sf):
         FROM g LEFT JOIN r USING (strand, seq_id) GROUP BY g.strand, g.seq_id""",
 )
 def detect_excursion_timed(spark, sf):
-    return D.excursion_timed(timed(spark, sf), "timed", "has_excursion_event", 40, 3_000).drop("timed")
+    flag = D.excursion_timed("timed", 40, 3_000)
+    return timed(spark, sf).select(*SEQ_KEYS, flag.alias("has_excursion_event"))
 
 
 CLASSIFIED = f"""{SEQ_ROWS_SQL}, {EXCURSION}, {DRIFT}, {BUMP}, {VARIABILITY}, flags AS (

@@ -8,7 +8,7 @@ sample makes every flag of its window false.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,13 +23,21 @@ BASELINE_S = 20
 RETURN_S = 30
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once per row. A plain column would
+    be pulled into the lambdas that use it and worked out per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def array_median(values: Column) -> Column:
     """Median of a non-empty array without nulls."""
-    s = F.sort_array(values)
-    n = F.size(s)
-    low = F.floor((n - 1) / 2).cast("int")
-    high = F.floor(n / 2).cast("int")
-    return (F.get(s, low) + F.get(s, high)) / 2
+
+    def middle(s: Column) -> Column:
+        low = F.floor((F.size(s) - 1) / 2).cast("int")
+        high = F.floor(F.size(s) / 2).cast("int")
+        return (F.get(s, low) + F.get(s, high)) / 2
+
+    return let(F.sort_array(values), middle)
 
 
 def array_ptp(values: Column) -> Column:
@@ -40,8 +48,12 @@ def longest_run(flags: Column) -> Column:
     begin = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"))
 
     def step(state: Column, flag: Column) -> Column:
-        now = F.when(flag, state["now"] + 1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(state["best"], now).alias("best"))
+        return let(
+            F.when(flag, state["now"] + 1).otherwise(0),
+            lambda now: F.struct(
+                now.alias("now"), F.greatest(state["best"], now).alias("best")
+            ),
+        )
 
     return F.aggregate(flags, begin, step, lambda s: s["best"])
 
@@ -51,6 +63,18 @@ def usable(values: Column) -> Column:
     return (F.size(values) > 0) & ~F.exists(values, lambda x: x.isNull() | F.isnan(x))
 
 
+def _checked(values: str | Column, rule: Callable[[Column], Column]) -> Column:
+    """``rule`` for usable samples, false for others."""
+    found = let(_column(values), lambda v: F.when(usable(v), rule(v)).otherwise(False))
+    return F.coalesce(found, F.lit(False))
+
+
+def _neighbours(values: Column, fn: Callable[[Column, Column], Column]) -> Column:
+    """``fn`` of every element and the next one."""
+    m = F.greatest(F.size(values) - 1, F.lit(0))
+    return F.zip_with(F.slice(values, F.lit(1), m), F.slice(values, F.lit(2), m), fn)
+
+
 def gather(
     rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "samples"
 ) -> DataFrame:
@@ -87,204 +111,229 @@ def timed_samples(order: Sequence[str], value: str) -> Column:
 
 
 def excursion(
-    df: DataFrame, values: str, name: str, threshold: float, min_duration_s: float, hz: float = 1.0
-) -> DataFrame:
+    values: str | Column, threshold: float, min_duration_s: float, hz: float = 1.0
+) -> Column:
     """A run of samples further than ``threshold`` from the window's median."""
-    v = _column(values)
     wanted = int(min_duration_s * hz)
-    centred = df.withColumn("_med", array_median(v))
-    far = F.transform(v, lambda x: F.abs(x - F.col("_med")) > threshold)
-    long_run = longest_run(far) >= wanted if wanted > 1 else F.exists(far, lambda b: b)
-    return centred.withColumn(name, F.when(usable(v), long_run).otherwise(False)).drop("_med")
+
+    def rule(v: Column) -> Column:
+        far = let(
+            array_median(v), lambda m: F.transform(v, lambda x: F.abs(x - m) > threshold)
+        )
+        return longest_run(far) >= max(wanted, 1)
+
+    return _checked(values, rule)
 
 
 def slow_drift(
-    df: DataFrame, values: str, name: str, min_run_s: float, min_amplitude: float, hz: float = 1.0
-) -> DataFrame:
+    values: str | Column, min_run_s: float, min_amplitude: float, hz: float = 1.0
+) -> Column:
     """A long strictly monotone run in a window whose whole range is large."""
-    v = _column(values)
     wanted = int(min_run_s * hz)
-    pairs = F.zip_with(
-        F.slice(v, F.lit(1), F.greatest(F.size(v) - 1, F.lit(0))),
-        F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0))),
-        lambda a, b: F.signum(b - a),
+
+    def rule(v: Column) -> Column:
+        longest = let(
+            _neighbours(v, lambda a, b: F.signum(b - a)),
+            lambda signs: F.greatest(
+                longest_run(F.transform(signs, lambda s: s > 0)),
+                longest_run(F.transform(signs, lambda s: s < 0)),
+            ),
+        )
+        return (
+            (F.size(v) >= wanted)
+            & (array_ptp(v) >= min_amplitude)
+            & (longest >= max(wanted, 1))
+        )
+
+    return _checked(values, rule)
+
+
+def _running_baseline(v: Column, width: int) -> Column:
+    """Running median with repeated edge samples; of an even width the upper of
+    the two middle values."""
+    rank = width // 2
+    padded = F.concat(
+        F.array_repeat(F.get(v, F.lit(0)), rank),
+        v,
+        F.array_repeat(F.get(v, F.size(v) - 1), width - rank - 1),
     )
-    with_signs = df.withColumn("_signs", pairs)
-    up = longest_run(F.transform("_signs", lambda s: s > 0))
-    down = longest_run(F.transform("_signs", lambda s: s < 0))
-    hit = (
-        (F.size(v) >= wanted)
-        & (F.greatest(up, down) >= max(wanted, 1))
-        & (array_ptp(v) >= min_amplitude)
+    return let(
+        padded,
+        lambda p: F.transform(
+            v, lambda _x, i: F.get(F.sort_array(F.slice(p, i + 1, width)), F.lit(rank))
+        ),
     )
-    return with_signs.withColumn(name, F.when(usable(v), hit).otherwise(False)).drop("_signs")
 
 
 def transient_bump(
-    df: DataFrame,
-    values: str,
-    name: str,
+    values: str | Column,
     k_amp: float,
     min_amplitude: float,
     min_duration_s: float = 5.0,
     max_duration_s: float = 180.0,
     return_band_sigma: float = 2.5,
     hz: float = 1.0,
-) -> DataFrame:
+) -> Column:
     """A short departure from a running-median baseline that returns to it.
 
-    The baseline is a running median over 20 s with repeated edge samples (the
-    upper one of the two middle values, since the width is even); the noise is
-    estimated from the residuals' median absolute deviation. A departure that
-    lasts to the end of the window does not count.
+    The noise is estimated from the median absolute deviation of the residuals.
+    A departure that lasts to the end of the window does not count.
     """
-    v = _column(values)
     width = max(int(BASELINE_S * hz), 5)
-    rank = width // 2
-    n = F.size(v)
-    ok = usable(v)
+    later_rows = int(RETURN_S * hz)
     shortest, longest = int(min_duration_s * hz), int(max_duration_s * hz)
 
-    edge = F.when(ok, F.concat(
-        F.array_repeat(F.get(v, F.lit(0)), rank), v, F.array_repeat(F.get(v, n - 1), width - rank - 1)
-    ))
-    stage = df.withColumn("_padded", edge)
-    stage = stage.withColumn(
-        "_base",
-        F.transform(
-            v, lambda _x, i: F.get(F.sort_array(F.slice("_padded", i + 1, width)), F.lit(rank))
-        ),
-    )
-    stage = stage.withColumn("_res", F.zip_with(v, "_base", lambda x, b: x - b))
-    stage = stage.withColumn("_centre", array_median(F.col("_res")))
-    spread = array_median(F.transform("_res", lambda r: F.abs(r - F.col("_centre"))))
-    stage = stage.withColumn("_sigma", spread * MAD_TO_SIGMA)
-    limit = F.greatest(F.col("_sigma") * k_amp, F.lit(float(min_amplitude)))
-    stage = stage.withColumn("_limit", limit)
-    stage = stage.withColumn("_far", F.transform("_res", lambda r: F.abs(r) > F.col("_limit")))
-    index = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
-    far = lambda i: F.coalesce(F.get(F.col("_far"), i), F.lit(False))
-    stage = stage.withColumns(
-        {
-            "_from": F.filter(index, lambda i: far(i) & ~F.coalesce(F.get("_far", i - 1), F.lit(False))),
-            "_to": F.filter(index, lambda i: ~far(i) & F.coalesce(F.get("_far", i - 1), F.lit(False))),
-            "_level": array_median(F.col("_base")),
-        }
-    )
+    def rule(v: Column) -> Column:
+        return let(_running_baseline(v, width), lambda base: departs(v, base))
 
-    def returns(end: Column, i: Column) -> Column:
-        lasted = end - F.get("_from", i)
-        later = array_median(F.slice(v, end + 1, int(RETURN_S * hz)))
-        back = F.abs(later - F.col("_level")) < F.col("_sigma") * return_band_sigma
-        return lasted.between(shortest, longest) & back
+    def spread(res: Column) -> Column:
+        return let(
+            array_median(res), lambda m: array_median(F.transform(res, lambda r: F.abs(r - m)))
+        )
 
-    hit = F.array_contains(F.transform("_to", returns), True)
-    return stage.withColumn(name, F.when(ok, hit).otherwise(False)).drop(
-        "_padded", "_base", "_res", "_centre", "_sigma", "_limit", "_far", "_from", "_to", "_level"
-    )
+    def departs(v: Column, base: Column) -> Column:
+        return let(
+            F.zip_with(v, base, lambda x, b: x - b),
+            lambda res: let(spread(res) * MAD_TO_SIGMA, lambda s: returns(v, base, res, s)),
+        )
+
+    def returns(v: Column, base: Column, res: Column, sigma: Column) -> Column:
+        limit = F.greatest(sigma * k_amp, F.lit(float(min_amplitude)))
+        far = let(limit, lambda cap: F.transform(res, lambda r: F.abs(r) > cap))
+        return let(far, lambda f: let(array_median(base), lambda level: match(v, f, level, sigma)))
+
+    def match(v: Column, far: Column, level: Column, sigma: Column) -> Column:
+        index = F.sequence(F.lit(0), F.size(far) - 1)
+
+        def is_far(i: Column) -> Column:
+            return F.coalesce(F.get(far, i), F.lit(False))
+
+        starts = F.filter(index, lambda i: is_far(i) & ~is_far(i - 1))
+        stops = F.filter(index, lambda i: ~is_far(i) & is_far(i - 1))
+
+        def fits(first: Column, stop: Column) -> Column:
+            later = array_median(F.slice(v, stop + 1, later_rows))
+            back = F.abs(later - level) < sigma * return_band_sigma
+            return (stop - first).between(shortest, longest) & back
+
+        return F.exists(F.zip_with(starts, stops, fits), lambda hit: hit)
+
+    return _checked(values, rule)
 
 
 def high_variability(
-    df: DataFrame, values: str, name: str, ptp: float, band: float, fraction: float = 0.1
-) -> DataFrame:
+    values: str | Column, ptp: float, band: float, fraction: float = 0.1
+) -> Column:
     """A large range, or a large share of samples outside a band at the median."""
-    v = _column(values)
-    centred = df.withColumn("_med", array_median(v))
-    outside = F.size(F.filter(v, lambda x: F.abs(x - F.col("_med")) > band)) / F.size(v)
-    hit = (array_ptp(v) > ptp) | (outside > fraction)
-    return centred.withColumn(name, F.when(usable(v), hit).otherwise(False)).drop("_med")
+
+    def rule(v: Column) -> Column:
+        outside = let(
+            array_median(v), lambda m: F.size(F.filter(v, lambda x: F.abs(x - m) > band))
+        )
+        return (array_ptp(v) > ptp) | (outside / F.size(v) > fraction)
+
+    return _checked(values, rule)
 
 
 def _median_step_s(timed: Column) -> Column:
     """Median seconds between neighbouring samples; null below two samples."""
-    t = F.transform(timed, lambda x: x["t"])
-    m = F.greatest(F.size(t) - 1, F.lit(0))
-    steps = F.zip_with(F.slice(t, F.lit(1), m), F.slice(t, F.lit(2), m), lambda a, b: (b - a) / 1e6)
-    return F.when(F.size(t) > 1, array_median(steps))
+    steps = _neighbours(F.transform(timed, lambda x: x["t"]), lambda a, b: (b - a) / 1e6)
+    return F.when(F.size(timed) > 1, array_median(steps))
 
 
-def slow_drift_timed(
-    df: DataFrame, timed: str, name: str, min_run_s: float, min_amplitude: float
-) -> DataFrame:
+def slow_drift_timed(timed: str | Column, min_run_s: float, min_amplitude: float) -> Column:
     """Time-aware drift: a monotone run (equal neighbours continue it) that is
     both long and large in itself. Missing samples are left out."""
-    known = F.filter(
+
+    def walk(known: Column, dt: Column) -> Column:
+        head = F.get(known, F.lit(0))["v"]
+        begin = F.struct(
+            F.lit(0.0).alias("sign"),
+            F.lit(0).alias("len"),
+            head.alias("start"),
+            head.alias("prev"),
+            F.lit(False).alias("hit"),
+        )
+
+        def step(s: Column, x: Column) -> Column:
+            raw = F.signum(x["v"] - s["prev"])
+            sign = F.when(raw == 0, s["sign"]).otherwise(raw)
+            same = sign == s["sign"]
+            length = F.when(same, s["len"] + 1).otherwise(1)
+            start = F.when(same, s["start"]).otherwise(s["prev"])
+            far = F.abs(x["v"] - start) >= min_amplitude
+            # Length and amplitude only grow along a monotone run, so a run
+            # that passes at its end is caught here and no other is.
+            hit = s["hit"] | ((sign != 0) & (length * dt >= min_run_s) & far)
+            return F.struct(
+                sign.alias("sign"),
+                length.alias("len"),
+                start.alias("start"),
+                x["v"].alias("prev"),
+                hit.alias("hit"),
+            )
+
+        rest = F.slice(known, F.lit(2), F.greatest(F.size(known) - 1, F.lit(0)))
+        found = F.aggregate(rest, begin, step, lambda s: s["hit"])
+        return F.when((F.size(known) >= 3) & (dt > 0), found)
+
+    kept = F.filter(
         _column(timed), lambda x: x["v"].isNotNull() & (F.abs(x["v"]) < F.lit(float("inf")))
     )
-    stage = df.withColumn("_known", known).withColumn("_dt", _median_step_s(F.col("_known")))
-    head = F.get(F.col("_known"), F.lit(0))["v"]
-    begin = F.struct(
-        F.lit(0.0).alias("sign"),
-        F.lit(0).alias("len"),
-        head.alias("start"),
-        head.alias("prev"),
-        F.lit(False).alias("hit"),
-    )
+    found = let(kept, lambda known: let(_median_step_s(known), lambda dt: walk(known, dt)))
+    return F.coalesce(found, F.lit(False))
+
 
-    def step(s: Column, x: Column) -> Column:
-        raw = F.signum(x["v"] - s["prev"])
-        sign = F.when(raw == 0, s["sign"]).otherwise(raw)
-        same = sign == s["sign"]
-        length = F.when(same, s["len"] + 1).otherwise(1)
-        start = F.when(same, s["start"]).otherwise(s["prev"])
-        far = F.abs(x["v"] - start) >= min_amplitude
-        # Length and amplitude only grow along a monotone run, so a run that
-        # passes at its end is caught here and no other is.
-        hit = s["hit"] | ((sign != 0) & (length * F.col("_dt") >= min_run_s) & far)
-        return F.struct(
-            sign.alias("sign"), length.alias("len"), start.alias("start"), x["v"].alias("prev"),
-            hit.alias("hit"),
+def excursion_timed(timed: str | Column, threshold: float, min_duration_s: float) -> Column:
+    """Time-aware excursion: the longest run times the median sample step."""
+
+    def rule(x: Column) -> Column:
+        known = F.filter(
+            F.transform(x, lambda s: s["v"]), lambda v: v.isNotNull() & ~F.isnan(v)
         )
 
-    rest = F.slice("_known", F.lit(2), F.greatest(F.size("_known") - 1, F.lit(0)))
-    found = F.aggregate(rest, begin, step, lambda s: s["hit"])
-    ok = (F.size("_known") >= 3) & (F.col("_dt") > 0)
-    return stage.withColumn(name, F.when(ok, found).otherwise(False)).drop("_known", "_dt")
+        def far(m: Column) -> Column:
+            return F.transform(
+                x,
+                lambda s: F.coalesce(
+                    ~F.isnan(s["v"]) & (F.abs(s["v"] - m) > threshold), F.lit(False)
+                ),
+            )
 
+        run = longest_run(let(array_median(known), far))
+        return let(
+            _median_step_s(x),
+            lambda dt: F.when((F.size(x) >= 3) & (dt > 0), run * dt >= min_duration_s),
+        )
 
-def excursion_timed(
-    df: DataFrame, timed: str, name: str, threshold: float, min_duration_s: float
-) -> DataFrame:
-    """Time-aware excursion: the longest run times the median sample step."""
-    x = _column(timed)
-    known = F.filter(
-        F.transform(x, lambda s: s["v"]), lambda v: v.isNotNull() & ~F.isnan(v)
-    )
-    stage = df.withColumn("_dt", _median_step_s(x)).withColumn("_med", array_median(known))
-    far = F.transform(
-        x, lambda s: F.coalesce(~F.isnan(s["v"]) & (F.abs(s["v"] - F.col("_med")) > threshold), F.lit(False))
-    )
-    ok = (F.size(x) >= 3) & (F.col("_dt") > 0)
-    hit = longest_run(far) * F.col("_dt") >= min_duration_s
-    return stage.withColumn(name, F.when(ok, hit).otherwise(False)).drop("_dt", "_med")
+    return F.coalesce(let(_column(timed), rule), F.lit(False))
 
 
 def flag_disturbances(df: DataFrame, values: str, cfg: AnalysisConfig) -> DataFrame:
     """All four flags, the any-flag and the label."""
     hz = cfg.sampling_hz
-    out = excursion(
-        df, values, "has_excursion_event", cfg.excursion_threshold, cfg.excursion_min_duration_s, hz
-    )
-    out = slow_drift(out, values, "has_slow_drift", cfg.drift_min_run_s, cfg.drift_min_amplitude, hz)
-    out = transient_bump(
-        out,
-        values,
-        "has_transient_bump",
-        cfg.bump_k_amp,
-        cfg.bump_min_amplitude,
-        cfg.bump_min_duration_s,
-        cfg.bump_max_duration_s,
-        cfg.bump_return_band_sigma,
-        hz,
-    )
-    out = high_variability(
-        out,
-        values,
-        "has_high_variability",
-        cfg.variability_ptp,
-        cfg.variability_band,
-        cfg.variability_fraction,
+    flagged = df.withColumns(
+        {
+            "has_excursion_event": excursion(
+                values, cfg.excursion_threshold, cfg.excursion_min_duration_s, hz
+            ),
+            "has_slow_drift": slow_drift(
+                values, cfg.drift_min_run_s, cfg.drift_min_amplitude, hz
+            ),
+            "has_transient_bump": transient_bump(
+                values,
+                cfg.bump_k_amp,
+                cfg.bump_min_amplitude,
+                cfg.bump_min_duration_s,
+                cfg.bump_max_duration_s,
+                cfg.bump_return_band_sigma,
+                hz,
+            ),
+            "has_high_variability": high_variability(
+                values, cfg.variability_ptp, cfg.variability_band, cfg.variability_fraction
+            ),
+        }
     )
-    return out.withColumn("has_disturbance", any_flag()).withColumn(
+    return flagged.withColumn("has_disturbance", any_flag()).withColumn(
         "disturbance_type", disturbance_label(LABEL_ORDER)
     )

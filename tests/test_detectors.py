@@ -98,8 +98,12 @@ def test_timed_detectors_match_the_rules(spark):
         [(i, [(int(t * 1e6), v) for t, v in p]) for i, p in enumerate(data)],
         "id int, timed array<struct<t: bigint, v: double>>",
     )
-    out = D.slow_drift_timed(df, "timed", "drift", 6.0, 8.0)
-    out = D.excursion_timed(out, "timed", "excursion", 8.0, 4.0)
+    out = df.withColumns(
+        {
+            "drift": D.slow_drift_timed("timed", 6.0, 8.0),
+            "excursion": D.excursion_timed("timed", 8.0, 4.0),
+        }
+    )
     rows = out.orderBy("id").collect()
     assert [r.drift for r in rows] == [rules.drift_timed(p, 6.0, 8.0) for p in data]
     assert [r.excursion for r in rows] == [rules.excursion_timed(p, 8.0, 4.0) for p in data]
