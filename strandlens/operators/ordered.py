@@ -341,9 +341,9 @@ def ecdf(counts: DataFrame, value: str, piece: int = 10_000) -> DataFrame:
         "n",
         F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_to"),
     )
-    total = counts.agg(F.sum("n").alias("_total"))
+    total = counts.agg(F.sum("n")).scalar()
     pieces = (
-        placed.join(F.broadcast(total))
+        placed.withColumn("_total", total)
         .withColumn("_from", F.col("_to") - F.col("n") + 1)
         .withColumn(
             "_start", F.explode(F.sequence("_from", "_to", F.lit(piece).cast("bigint")))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timing import _column
+from .ordered import finish, scan
 
 BINS_PER_E = 256
 PARTS = 4096
@@ -143,11 +144,9 @@ def quantiles(
 
 def spread_ranks(n: int) -> Column:
     """Ranks of ``n`` rows spread evenly from the first to the last of a group;
-    all ranks where the group has no more than ``n``, or ``n`` is 1."""
+    all ranks where the group has no more than ``n``."""
     last = F.col(TOTAL) - 1
     few = F.sequence(F.lit(0).cast("bigint"), last)
-    if n <= 1:
-        return few
     spread = F.transform(
         F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.rint(i * last / (n - 1)).cast("bigint")
     )
@@ -158,9 +157,13 @@ def representatives(
     df: DataFrame, keys: Sequence[str], value: str, tie: str, n: int
 ) -> DataFrame:
     """Rows spread evenly over the range of ``value`` in each group, with their
-    1-based ``rank``. ``tie`` is a number, unique in a group, that orders rows
-    of equal value."""
+    1-based ``rank``; all rows where ``n`` is below two. ``tie`` is a number,
+    unique in a group, that orders rows of equal value."""
     key_cols = [_column(k) for k in keys]
+    if n <= 1:
+        known = df.filter(_column(value).isNotNull())
+        ranked = scan(known, keys, [value, tie], _log_bin(_column(value)), position="rank")
+        return finish(ranked).withColumn("rank", F.col("rank") + 1)
     at = order_statistics(df, keys, value, spread_ranks(n))
     wanted = at.groupBy(*key_cols, "value").agg(F.collect_set("tie").alias("_wanted"))
     left = df.withColumn("_x", _column(value).cast("double"))

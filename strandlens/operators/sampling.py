@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timing import _column
 
 _GRAIN = 1_000_000
+_RANGE_BITS = 20
 
 
 def top_rows(df: DataFrame, by: str, tiebreak: Sequence[str], k: int) -> DataFrame:
@@ -32,10 +33,35 @@ def sample_fraction(df: DataFrame, key: Sequence[str], fraction: float, seed: in
 
 
 def sample_cap(df: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:
-    """``n`` random rows, or all where there are no more. The same rows on every
-    run; each task keeps at most ``n``."""
+    """``n`` random rows, or all where there are no more; the same rows on every
+    run.
+
+    Rows are taken in the order of a hash of their key. Counts per hash range
+    tell which ranges are taken whole; only the one range in which the cap falls
+    is sorted, so no more than a millionth of the rows meets in one task.
+    """
     place = F.xxhash64(F.lit(seed), *[_column(c) for c in key])
-    return df.orderBy(place, *[_column(c) for c in key]).limit(n)
+    hashed = df.withColumn("_hash", place).withColumn(
+        "_range", F.shiftrightunsigned("_hash", 64 - _RANGE_BITS)
+    )
+    upto = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
+    counts = hashed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    at_cap = (
+        counts.withColumn("_upto", upto)
+        .filter(F.col("_upto") >= n)
+        .agg(F.min_by(F.struct("_range", (F.col("_upto") - F.col("_n")).alias("before")), "_range").alias("c"))
+    )
+    cut = at_cap.select("c._range").scalar()
+    room = n - at_cap.select("c.before").scalar()
+    whole = hashed.filter(F.coalesce(F.col("_range") < cut, F.lit(True)))
+    order = Window.partitionBy("_range").orderBy("_hash", *[_column(c) for c in key])
+    split = (
+        hashed.filter(F.col("_range") == cut)
+        .withColumn("_row", F.row_number().over(order))
+        .filter(F.col("_row") <= room)
+        .drop("_row")
+    )
+    return whole.unionByName(split).drop("_hash", "_range")
 
 
 def time_slice(df: DataFrame, ts: str, start, end) -> DataFrame:

@@ -23,10 +23,20 @@ def series_window(
     limit: int = 50_000,
     tiebreak: Sequence[str] = (),
 ) -> DataFrame:
-    """The first ``limit`` rows of a time range, in time order."""
+    """The first ``limit`` rows of a time range, in time order.
+
+    Hourly counts tell by which hour the limit is reached; rows of later hours
+    are dropped at the scan and never meet in the task that sorts.
+    """
+    inside = f"`{ts}` BETWEEN CAST(:start_date AS TIMESTAMP_NTZ) AND CAST(:end_date AS TIMESTAMP_NTZ)"
     return spark.sql(
-        f"""SELECT `{ts}` AS time, {_quoted(columns)} FROM {{signal}}
-            WHERE `{ts}` BETWEEN CAST(:start_date AS TIMESTAMP_NTZ) AND CAST(:end_date AS TIMESTAMP_NTZ)
+        f"""WITH hours AS (
+              SELECT date_trunc('HOUR', `{ts}`) AS h, count(*) AS n FROM {{signal}} WHERE {inside} GROUP BY 1),
+            reached AS (
+              SELECT min(h) AS h FROM (SELECT h, sum(n) OVER (ORDER BY h) AS upto FROM hours) WHERE upto >= {int(limit)})
+            SELECT `{ts}` AS time, {_quoted(columns)} FROM {{signal}}
+            WHERE {inside}
+              AND date_trunc('HOUR', `{ts}`) <= coalesce((SELECT h FROM reached), date_trunc('HOUR', CAST(:end_date AS TIMESTAMP_NTZ)))
             ORDER BY {_quoted([ts, *tiebreak])} LIMIT {int(limit)}""",
         args={"start_date": start, "end_date": end},
         signal=signal,

@@ -8,6 +8,7 @@ read are staged as files in the shared scratch folder.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from ..functions.columns import active_filter, convert_units, process_filter, pr
 from ..functions.timing import _column
 from ..operators.detectors import flag_disturbances
 from ..operators.intervals import attach
+from ..operators.ordered import fit_chunk_seconds
 from ..operators.reshape import union_strands
 from ..operators.stats import downsample, sequence_stats
 from ..operators.windows import (
@@ -138,6 +140,7 @@ def run(
     loaded = load_signal(spark, strands, castings, spec, cfg)
     write_parquet(loaded, path, spec.keys)
     signal = spark.read.schema(loaded.schema).parquet(path)
+    spec = replace(spec, chunk_seconds=fit_chunk_seconds(signal, spec.keys, spec.ts))
     out = {"signal": signal, **analyze(signal, spec, cfg)}
     if export_to:
         base = f"{export_to.rstrip('/')}/sequence_statistics_{stamp}"

@@ -19,6 +19,8 @@ from strandlens.functions import timing as TM
 from strandlens.functions.features import add_features
 from strandlens.operators import intervals as I
 from strandlens.operators import quantiles as Q
+from strandlens.operators import sampling as P
+from strandlens.plans.datasets import series_window
 from strandlens.operators import reports as R
 from strandlens.operators import stats as S
 from strandlens.sources import readers, sinks
@@ -175,6 +177,24 @@ def test_representatives_among_equal_values(spark):
     assert [r.id for r in out] == [0, 10, 20, 30, 40]
 
 
+@pytest.mark.parametrize("n", [1, 7, 100, 5000])
+def test_capped_sample_has_exactly_n_rows(spark, n):
+    df = spark.range(3000)
+    rows = [r.id for r in P.sample_cap(df, ["id"], n, 42).collect()]
+    assert len(rows) == len(set(rows)) == min(n, 3000)
+    assert sorted(rows) == sorted(r.id for r in P.sample_cap(df.repartition(7), ["id"], n, 42).collect())
+
+
+@pytest.mark.parametrize("limit", [3, 90, 1000])
+def test_series_window_keeps_the_first_rows(spark, limit):
+    df = spark.range(200).select(
+        "id", F.expr("timestamp_ntz'2025-05-01 00:00:00' + make_dt_interval(0, 0, id * 7)").alias("ts")
+    )
+    out = series_window(spark, df, "ts", ["id"], "2025-05-01 01:00:00", "2025-05-01 20:00:00", limit)
+    want = [i for i in range(200) if 60 <= i * 7 <= 20 * 60][:limit]
+    assert [r.id for r in out.collect()] == want
+
+
 def test_mode_unique_and_range(spark):
     df = spark.createDataFrame(
         [("m", "a", 1.0), ("m", "b", 2.0), ("m", "a", None), ("m", "b", 4.0), ("u", "x", 1.0), ("u", " x", 5.0), ("u", "y", 2.0), ("n", None, 1.0)],
