@@ -228,13 +228,14 @@ def detect_excursion_timed(spark, sf):
     return timed(spark, sf).select(*SEQ_KEYS, flag.alias("has_excursion_event"))
 
 
-CLASSIFIED = f"""{SEQ_ROWS_SQL}, {EXCURSION}, {DRIFT}, {BUMP}, {VARIABILITY}, flags AS (
+FLAGS_SQL = f"""{EXCURSION}, {DRIFT}, {BUMP}, {VARIABILITY}, flags AS (
   SELECT * FROM excursion JOIN drift USING (strand, seq_id) JOIN bump USING (strand, seq_id) JOIN variability USING (strand, seq_id)),
 classified AS (SELECT *, has_excursion_event OR has_slow_drift OR has_transient_bump OR has_high_variability AS has_disturbance,
   CASE WHEN NOT (has_excursion_event OR has_slow_drift OR has_transient_bump OR has_high_variability) THEN 'Normal'
        ELSE CONCAT_WS(' + ', CASE WHEN has_excursion_event THEN 'Excursion' END, CASE WHEN has_slow_drift THEN 'Slow drift' END,
             CASE WHEN has_transient_bump THEN 'Transient bump' END, CASE WHEN has_high_variability THEN 'High variability' END)
   END AS disturbance_type FROM flags)"""
+CLASSIFIED = f"{SEQ_ROWS_SQL}, {FLAGS_SQL}"
 
 
 def classified(spark, sf):

@@ -15,6 +15,7 @@ from ..plans.pipeline import classify_windows, stable_sequences
 from ..sources.sinks import stage
 from .joins import GAPS, deltas, long_gaps
 from .registry import query
+from .sequences import FLAGS_SQL
 from .tables import CFG, SIGNAL, SPEC, signal, table
 
 DAY = 86_400
@@ -252,7 +253,11 @@ def starts(spark, sf):
 
 
 _W = CFG.window_size
-WALK = f"""active AS (SELECT * FROM signal WHERE COALESCE(k <> 0, TRUE)), {_cut_sql('active', CFG.max_gap_seconds)},
+
+
+def _walk_sql(active: str) -> str:
+    """Row marks and the walk over them, from a CTE body for the active rows."""
+    return f"""active AS ({active}), {_cut_sql('active', CFG.max_gap_seconds)},
 stepped AS (SELECT *, ABS(k - LAG(k) OVER (PARTITION BY strand ORDER BY pos)) AS dk FROM cut),
 marked AS (
   SELECT strand, event_id, ts, segment_id, pos,
@@ -270,6 +275,10 @@ walk AS (
   FROM walk w JOIN marked m ON m.strand = w.strand AND m.pos = w.pos + CASE WHEN w.steady THEN {_W} ELSE 1 END)"""
 
 
+_ACTIVE = "SELECT * FROM signal WHERE COALESCE(k <> 0, TRUE)"
+WALK = _walk_sql(_ACTIVE)
+
+
 @query(
     "stable_windows",
     f"WITH RECURSIVE {SIGNAL}, {WALK} SELECT strand, segment_id, pos AS start_pos FROM walk WHERE steady",
@@ -349,7 +358,18 @@ def sequence_stats(spark, sf):
     )
 
 
-@query("pipeline_labels")
+@query(
+    "pipeline_labels",
+    f"""WITH RECURSIVE {SIGNAL}, running AS ({_ACTIVE}), {_rounded_sql('running', 'speed', 1.0)},
+        {_walk_sql('SELECT * REPLACE (r AS speed) FROM rounded')},
+        seq_rows AS (SELECT m.strand, w.pos AS seq_id, m.pos, s.level FROM walk w
+          JOIN marked m ON m.strand = w.strand AND m.pos BETWEEN w.pos AND w.pos + {_W - 1}
+          JOIN signal s ON s.strand = m.strand AND s.event_id = m.event_id WHERE w.steady),
+        {FLAGS_SQL}
+        SELECT strand, disturbance_type, COUNT(*) AS count,
+               ROUND(COUNT(*) * 100.0 / SUM(COUNT(*)) OVER (PARTITION BY strand), 1) AS percentage
+        FROM classified GROUP BY strand, disturbance_type""",
+)
 def pipeline_labels(spark, sf):
     """The whole chain with rounded speed, down to a count per label."""
     s, picks = stable_sequences(signal(spark, sf), SPEC, CFG)
