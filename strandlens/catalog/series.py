@@ -117,7 +117,7 @@ def _hourly(spark, sf):
         F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"),
         "ts",
         "event_id",
-        "level",
+        F.sqrt("level").alias("level"),
         "user_id",
         "quality",
     )
@@ -125,7 +125,7 @@ def _hourly(spark, sf):
 
 @query(
     "downsample",
-    f"""WITH {SIGNAL} SELECT strand, hour, AVG(level) AS level, AVG(user_id) AS user_id, MAX(CASE WHEN rn = 1 THEN quality END) AS quality
+    f"""WITH {SIGNAL} SELECT strand, hour, AVG(SQRT(level)) AS level, AVG(user_id) AS user_id, MAX(CASE WHEN rn = 1 THEN quality END) AS quality
         FROM (SELECT *, DATE_TRUNC('hour', ts) AS hour,
                      ROW_NUMBER() OVER (PARTITION BY strand, DATE_TRUNC('hour', ts) ORDER BY ts, event_id) AS rn FROM signal)
         GROUP BY strand, hour""",
@@ -137,7 +137,7 @@ def downsample(spark, sf):
 
 @query(
     "downsample_first_known",
-    f"""WITH {SIGNAL} SELECT strand, hour, AVG(level) AS level, AVG(user_id) AS user_id, MAX(CASE WHEN rn = 1 THEN quality END) AS quality
+    f"""WITH {SIGNAL} SELECT strand, hour, AVG(SQRT(level)) AS level, AVG(user_id) AS user_id, MAX(CASE WHEN rn = 1 THEN quality END) AS quality
         FROM (SELECT *, DATE_TRUNC('hour', ts) AS hour,
                      ROW_NUMBER() OVER (PARTITION BY strand, DATE_TRUNC('hour', ts) ORDER BY quality IS NULL, ts, event_id) AS rn FROM signal)
         GROUP BY strand, hour""",

@@ -163,7 +163,8 @@ def windows_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("l_orderkey")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            (F.stddev_samp("l_quantity") / 10).alias("sigma"),
+            # Rounded, so that equal spreads are equal whatever order they sum in.
+            F.round(F.stddev_samp("l_quantity") / 10, 9).alias("sigma"),
             (F.max("l_quantity") - F.min("l_quantity")).alias("ptp"),
             (F.avg("l_discount") * 20 + 0.5).alias("speed"),
             (F.avg("l_extendedprice") / 59999 + 0.8).alias("width"),
@@ -195,7 +196,7 @@ WINDOWS_TABLE = """windows AS (
   FROM (SELECT o_orderkey AS seq_id, o_orderstatus AS strand, o_orderdate AS start_ts,
                CASE WHEN o_custkey % 11 <> 0 THEN o_orderpriority END AS grade, l.*
         FROM orders JOIN (
-          SELECT l_orderkey, COUNT(*) AS n, STDDEV_SAMP(l_quantity) / 10 AS sigma,
+          SELECT l_orderkey, COUNT(*) AS n, ROUND(STDDEV_SAMP(l_quantity) / 10, 9) AS sigma,
                  MAX(l_quantity) - MIN(l_quantity) AS ptp, AVG(l_discount) * 20 + 0.5 AS speed,
                  AVG(l_extendedprice) / 59999 + 0.8 AS width, AVG(l_tax) * 1000 + 100 AS depth,
                  MAX(l_quantity) > 48 AS has_excursion_event, MIN(l_quantity) < 3 AS has_slow_drift,
