@@ -25,29 +25,32 @@ def fit_chunk_seconds(
     keys: Sequence[str],
     ts: str,
     max_rows: int = 2_000_000,
-    widths: Sequence[int] = (86_400, 3_600, 60, 1),
-) -> int:
-    """Widest chunk that keeps every (series, chunk) within ``max_rows``.
+    widths: Sequence[float] = (86_400, 3_600, 60, 1, 0.001),
+) -> float:
+    """Widest chunk that keeps every (series, chunk) within ``max_rows``, or the
+    narrowest one.
 
-    Runs one job over the key and time columns and brings back one row.
+    Rows are counted per series and narrowest chunk; the wider counts build on
+    each other. One job over the key and time columns brings back one row.
     """
-    narrow, peaks = None, []
-    for i, width in enumerate(sorted(widths)):
-        at = bucket(ts, width) if narrow is None else F.floor(F.col("_start") / (width * 1_000_000))
-        source = df if narrow is None else narrow
-        n = F.count(F.lit(1)) if narrow is None else F.sum("_n")
-        narrow = (
-            source.groupBy(*[_column(k) for k in keys], at.cast("bigint").alias("_at"))
-            .agg(n.alias("_n"))
-            .withColumn("_start", F.col("_at") * (width * 1_000_000))
-        )
-        peaks.append(narrow.agg(F.max("_n").alias("peak")).withColumn("width", F.lit(width)))
-    rows = peaks[0]
-    for p in peaks[1:]:
-        rows = rows.unionByName(p)
-    fitting = rows.filter(F.coalesce(F.col("peak"), F.lit(0)) <= max_rows)
-    best = fitting.agg(F.max("width").alias("w")).first()["w"]
-    return int(best) if best is not None else int(min(widths))
+    widths = sorted(widths)
+    at = F.floor(micros(ts) / int(widths[0] * 1_000_000)).cast("bigint")
+    counts = df.groupBy(*[_column(k) for k in keys], at.alias("_at")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    fitting = None
+    for narrower, width in zip([None, *widths], widths):
+        if narrower is not None:
+            ratio = int(width * 1_000_000) // int(narrower * 1_000_000)
+            wider = F.floor(F.col("_at") / ratio).cast("bigint")
+            counts = counts.groupBy(*[_column(k) for k in keys], wider.alias("_at")).agg(
+                F.sum("_n").alias("_n")
+            )
+        peak = counts.agg(F.coalesce(F.max("_n"), F.lit(0)).alias("peak"))
+        row = peak.filter(F.col("peak") <= max_rows).select(F.lit(float(width)).alias("w"))
+        fitting = row if fitting is None else fitting.unionByName(row)
+    best = fitting.agg(F.max("w")).first()[0]
+    return best if best is not None else float(widths[0])
 
 
 def scan(

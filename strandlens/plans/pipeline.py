@@ -7,9 +7,10 @@ read are staged as files in the shared scratch folder.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from ..functions.timing import _column
 from ..operators.detectors import flag_disturbances
 from ..operators.intervals import attach
 from ..operators.ordered import fit_chunk_seconds
+from ..operators.reports import strand_summary, summary_report
 from ..operators.reshape import union_strands
 from ..operators.stats import downsample, sequence_stats
 from ..operators.windows import (
@@ -29,7 +31,7 @@ from ..operators.windows import (
     window_rows,
 )
 from ..sources.readers import read_logs
-from ..sources.sinks import scratch_path, stage, write_csv, write_parquet
+from ..sources.sinks import scratch_path, stage, write_csv, write_parquet, write_report
 from ..spec import AnalysisConfig, SignalSpec, StrandConfig
 
 _ROUNDED = "_rounded_speed"
@@ -51,8 +53,21 @@ def load_strand(spark: SparkSession, strand: StrandConfig) -> DataFrame:
     return convert_units(join_logs(downsample(temperatures, [ts]), process, [ts]))
 
 
-def load_signal(
-    spark: SparkSession,
+def load_strands(
+    spark: SparkSession, strands: Sequence[StrandConfig]
+) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """The strands that can be read, and why the others cannot."""
+    frames, failed = {}, {}
+    for strand in strands:
+        try:
+            frames[strand.strand_name] = load_strand(spark, strand)
+        except (FileNotFoundError, AnalysisException) as error:
+            failed[strand.strand_name] = str(error)
+    return frames, failed
+
+
+def clean_signal(
+    frames: Mapping[str, DataFrame],
     strands: Sequence[StrandConfig],
     castings: DataFrame,
     spec: SignalSpec,
@@ -64,7 +79,6 @@ def load_signal(
     they do not depend on. ``castings`` carries ``Strand ID``, ``ts_start``,
     ``ts_end`` and the grade.
     """
-    frames = {s.strand_name: load_strand(spark, s) for s in strands}
     joined = union_strands(frames)
     numbers = F.create_map(*[F.lit(x) for s in strands for x in (s.strand_name, s.strand_number)])
     joined = joined.withColumn("Strand ID", F.element_at(numbers, F.col("strand")))
@@ -128,24 +142,47 @@ def run(
     cfg: AnalysisConfig | None = None,
     export_to: str | None = None,
     stamp: str = "latest",
-) -> dict[str, DataFrame]:
-    """The whole analysis of all strands.
-
-    The cleaned signal is used several times, so it is written once, by strand,
-    to the shared scratch folder and read back; that also makes a lost executor
-    cheap. With ``export_to`` the windows are written as CSV and Parquet.
+) -> dict[str, object]:
+    """The whole analysis of all strands that can be read.
+
+    Returns the frames ``signal``, ``sequences``, ``abnormal`` and ``summary``,
+    and under ``failed`` the strands left out with the reason. The cleaned
+    signal is used several times, so it is staged once, by strand, in the shared
+    scratch folder, and the width of the time chunks is fitted to it. With
+    ``export_to`` the windows are written as CSV and Parquet, with a report.
     """
     spec, cfg = spec or SignalSpec(), cfg or AnalysisConfig()
+    frames, failed = load_strands(spark, strands)
+    if not frames:
+        raise FileNotFoundError(f"no strand can be read: {failed}")
     path = scratch_path(spark, "signal")
-    loaded = load_signal(spark, strands, castings, spec, cfg)
+    loaded = clean_signal(frames, strands, castings, spec, cfg)
     write_parquet(loaded, path, spec.keys)
     signal = spark.read.schema(loaded.schema).parquet(path)
     spec = replace(spec, chunk_seconds=fit_chunk_seconds(signal, spec.keys, spec.ts))
-    out = {"signal": signal, **analyze(signal, spec, cfg)}
+    out = {"signal": signal, "failed": failed, **analyze(signal, spec, cfg)}
     if export_to:
-        base = f"{export_to.rstrip('/')}/sequence_statistics_{stamp}"
-        schema = out["sequences"].schema
-        write_parquet(out["sequences"], f"{base}.parquet", spec.keys)
-        out["sequences"] = spark.read.schema(schema).parquet(f"{base}.parquet")
-        write_csv(out["sequences"], f"{base}.csv")
+        out["sequences"] = export(out["sequences"], export_to, stamp, spec, cfg)
+    sigma, label = "MOLD_LEVEL_std [mm]", "disturbance_type"
+    out["summary"] = strand_summary(out["sequences"], spec.keys, sigma, label, cfg.stable_sigma)
     return out
+
+
+def export(
+    sequences: DataFrame, folder: str, stamp: str, spec: SignalSpec, cfg: AnalysisConfig
+) -> DataFrame:
+    """Write the windows as Parquet, and from that as CSV and as a report."""
+    base = f"{folder.rstrip('/')}/sequence_statistics_{stamp}"
+    write_parquet(sequences, f"{base}.parquet", spec.keys)
+    written = sequences.sparkSession.read.schema(sequences.schema).parquet(f"{base}.parquet")
+    write_csv(written, f"{base}.csv")
+    report = summary_report(
+        written, "MOLD_LEVEL_std [mm]", "disturbance_type", cfg.stable_sigma,
+        {
+            "Casting Speed [m/min]": ("CASTING_SPEED_avg [m/min]", None),
+            "Mold Width [m]": ("MOLD_WIDTH_avg [m]", None),
+            "SEN Depth [mm]": ("SEN_avg [mm]", None),
+        },
+    )
+    write_report(report, f"{folder.rstrip('/')}/summary_report_{stamp}.txt", "Analysis Summary")
+    return written

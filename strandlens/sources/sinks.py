@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.columns import clean_names
 
@@ -41,6 +42,19 @@ def write_parquet(
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
+def write_report(report: DataFrame, path: str, title: str, mode: str = "error") -> None:
+    """The figures of ``reports.summary_report`` as lines of text. A report has
+    a dozen figures and one line per label, so it is one small file."""
+    share = F.when(F.col("pct").isNotNull(), F.format_string(" (%.1f%%)", "pct"))
+    line = F.concat_ws("", F.format_string("%s / %s: %.3f", "section", "item", "value"), share)
+    lines = report.select("section", "item", line.alias("line"))
+    head = report.sparkSession.createDataFrame(
+        [("", "", title)], "section string, item string, line string"
+    )
+    ordered = head.unionByName(lines).coalesce(1).sortWithinPartitions("section", "item")
+    ordered.select("line").write.mode(mode).text(path)
+
+
 def table_name(database: str, base: str, strand_id: str) -> str:
     safe = re.sub(r"\W", "_", f"{base}_strand_{strand_id}")
     return f"{database}.{safe}"

@@ -188,6 +188,7 @@ def test_chunk_width_is_measured(spark):
     assert O.fit_chunk_seconds(df, KEYS, "ts", max_rows=1000) == 86_400
     assert O.fit_chunk_seconds(df, KEYS, "ts", max_rows=70) == 60
     assert O.fit_chunk_seconds(df, KEYS, "ts", max_rows=3) == 1
+    assert O.fit_chunk_seconds(df, KEYS, "ts", max_rows=0) == 0.001
 
 
 def test_ecdf_spreads_a_frequent_value(spark):
