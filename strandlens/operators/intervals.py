@@ -3,8 +3,12 @@
 A join on range predicates alone becomes a nested loop. Here an interval is
 listed once per time bucket it touches and a point has exactly one bucket, so
 the join is a hash or sort-merge join on (keys, bucket), adds no duplicates, and
-splits a busy series over its buckets. Whether a side is small enough to
-broadcast is left to Spark's own size check.
+splits a busy series over its buckets.
+
+Spark's size estimate does not see that the listing multiplies the intervals.
+So the listing is staged: its real size is known when the join is planned, it is
+broadcast only below Spark's threshold and sort-merged beyond it, and intervals
+that come from a long computation are worked out once.
 """
 
 from __future__ import annotations
@@ -15,15 +19,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timing import _column, bucket, hours_between
+from ..sources.sinks import stage
 from .ordered import finish, scan
 
 _BUCKET = "_bucket"
 
 
 def by_bucket(intervals: DataFrame, start: str, end: str, bucket_seconds: float) -> DataFrame:
+    """Every interval once per time bucket it touches, staged."""
     valid = intervals.filter(_column(start) <= _column(end))
     touched = F.sequence(bucket(start, bucket_seconds), bucket(end, bucket_seconds))
-    return valid.withColumn(_BUCKET, F.explode(touched))
+    return stage(valid.withColumn(_BUCKET, F.explode(touched)), "intervals")
 
 
 def join_points(

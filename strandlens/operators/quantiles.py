@@ -69,11 +69,12 @@ def order_statistics(
         .filter(F.col("_value").isNotNull() & ~F.isnan("_value"))
         .withColumn("_bin", _log_bin(F.col("_value")))
     )
-    bins = base.groupBy(*key_cols, "_bin").agg(
+    # What is constant in a group is a grouping column, not an aggregate: array
+    # aggregates would force a sort.
+    bins = base.groupBy(*key_cols, *[_column(c) for c in carry], "_bin").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min("_value").alias("_low"),
         F.max("_value").alias("_high"),
-        *[F.first(_column(c)).alias(c) for c in carry],
     )
     whole = Window.partitionBy(*key_cols)
     bins = bins.withColumn(TOTAL, F.sum("_n").over(whole)).withColumn("_ranks", ranks)
@@ -92,15 +93,15 @@ def order_statistics(
     constants = ["_low", "_high", "_before", TOTAL, "_ranks"]
     parts = (
         rows_in(hit_bins)
-        .groupBy(*key_cols, "_bin", part.alias("_part"))
-        .agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in constants])
+        .groupBy(*key_cols, "_bin", part.alias("_part"), *constants)
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
     hit_parts = _hits(parts, [*keys, "_bin"], "_part", F.col("_before")).drop("_n")
     values = (
         rows_in(hit_parts)
         .filter(part == F.col("_part"))
-        .groupBy(*key_cols, "_bin", "_part", "_value")
-        .agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in ("_before", TOTAL, "_ranks")])
+        .groupBy(*key_cols, "_bin", "_part", "_value", "_before", TOTAL, "_ranks")
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
     found = _hits(values, [*keys, "_bin", "_part"], "_value", F.col("_before"))
     return found.withColumn("rank", F.explode("_ranks")).select(
