@@ -9,7 +9,7 @@ from ..functions import labels as L
 from ..functions import timing as TM
 from ..functions.features import add_features
 from ..operators.reshape import melt, union_strands
-from ..operators.sampling import first_span, sample_cap, sample_fraction, time_slice
+from ..operators.sampling import first_span, sample_about, sample_cap, sample_fraction, time_slice
 from ..sources import readers, sinks
 from .registry import query
 from .tables import (
@@ -456,6 +456,11 @@ def sample_fraction_query(spark, sf):
     return sample_fraction(table(spark, sf, "events"), ["event_id"], 0.25, 42)
 
 
+@query("sample_about")
+def sample_about_query(spark, sf):
+    return sample_about(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], 10_000, 42)
+
+
 @query("sample_cap")
 def sample_cap_query(spark, sf):
     return sample_cap(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], 10_000, 42)

@@ -208,10 +208,12 @@ def hysteresis_round(
     step: float = 0.01,
 ) -> DataFrame:
     """Two-decimal rounding that keeps the previous output while the raw value
-    moves by at most ``step``. A move re-rounds, half a unit up or down."""
+    moves by at most ``step``. A move re-rounds, half a unit up or down; a
+    missing value stays missing and the next one is a move."""
     moved = scan(df, keys, order, chunk, lag={"_before": value})
     fresh = _re_rounded(_column(value), F.col("_before"), round_up, step)
-    return finish(scan(moved, keys, order, last={name: fresh})).drop("_before")
+    held = finish(scan(moved, keys, order, last={name: fresh})).drop("_before")
+    return held.withColumn(name, F.when(_column(value).isNotNull(), F.col(name)))
 
 
 def segment_by_gaps(
@@ -243,6 +245,9 @@ def segment_by_gaps(
     if rounded:
         last[rounded[1]] = _re_rounded(_column(rounded[0]), F.col("_before"), True, step)
     cut = finish(scan(stepped, keys, order, counts={"segment_id": starts}, last=last))
+    if rounded:
+        known = F.when(_column(rounded[0]).isNotNull(), _column(rounded[1]))
+        cut = cut.withColumn(rounded[1], known)
     seg_pos = F.col("pos") - F.coalesce(F.col("_first"), F.lit(0))
     return cut.withColumn("seg_pos", seg_pos.cast("bigint")).drop("_prev", "_first", "_before")
 

@@ -32,6 +32,13 @@ def sample_fraction(df: DataFrame, key: Sequence[str], fraction: float, seed: in
     return df.filter(place < int(fraction * _GRAIN))
 
 
+def sample_about(df: DataFrame, key: Sequence[str], rows: int, seed: int) -> DataFrame:
+    """About ``rows`` rows: the share that the row count calls for."""
+    share = F.least(F.lit(1.0), rows / df.agg(F.count(F.lit(1))).scalar())
+    place = F.pmod(F.xxhash64(F.lit(seed), *[_column(c) for c in key]), F.lit(_GRAIN))
+    return df.filter(place < share * _GRAIN)
+
+
 def sample_cap(df: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:
     """``n`` random rows, or all where there are no more; the same rows on every
     run.

@@ -66,6 +66,16 @@ def test_rounding_matches_rule_and_known_cases(spark):
     assert rules.rounding([1.2, 1.205, 1.235]) == [1.2, 1.2, 1.24]
 
 
+def test_rounding_leaves_missing_values_missing(spark):
+    df = series(spark, [1.2, None, 1.205, 1.206])
+    for out in (
+        O.hysteresis_round(df, KEYS, ORDER, chunk(2), "v", "r"),
+        O.segment_by_gaps(df, KEYS, ORDER, chunk(2), 5, ("v", "r")),
+    ):
+        got = [r.r for r in out.orderBy("id").collect()]
+        assert got == [1.2, None, 1.21, 1.21]
+
+
 def test_gap_of_an_hour_makes_two_segments(spark):
     df = series(spark, [1.2] * 600, gaps={300})
     out = O.segment_by_gaps(df, KEYS, ORDER, chunk(60), 5).collect()

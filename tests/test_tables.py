@@ -185,6 +185,18 @@ def test_capped_sample_has_exactly_n_rows(spark, n):
     assert sorted(rows) == sorted(r.id for r in P.sample_cap(df.repartition(7), ["id"], n, 42).collect())
 
 
+def test_shares_do_not_depend_on_the_layout(spark):
+    df = spark.range(20_000)
+    for sample in (
+        lambda d: P.sample_fraction(d, ["id"], 0.25, 7),
+        lambda d: P.sample_about(d, ["id"], 5_000, 7),
+    ):
+        ids = {r.id for r in sample(df).collect()}
+        assert 4_600 < len(ids) < 5_400
+        assert ids == {r.id for r in sample(df.repartition(5)).collect()}
+    assert P.sample_about(df, ["id"], 50_000, 7).count() == 20_000
+
+
 @pytest.mark.parametrize("limit", [3, 90, 1000])
 def test_series_window_keeps_the_first_rows(spark, limit):
     df = spark.range(200).select(
