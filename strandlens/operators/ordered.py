@@ -10,25 +10,27 @@ ever ordered per series.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timing import _column, bucket, micros
+from ..functions.timing import _column, micros
+from ..spec import SignalSpec
 
 CHUNK = "_chunk"
 BLOCK = "_block"
 
 
-def fit_chunk_seconds(
+def widest_chunk(
     df: DataFrame,
     keys: Sequence[str],
     ts: str,
     max_rows: int = 2_000_000,
     widths: Sequence[float] = (86_400, 3_600, 60, 1, 0.001),
-) -> float:
-    """Widest chunk that keeps every (series, chunk) within ``max_rows``, or the
-    narrowest one.
+) -> float | None:
+    """Widest chunk in seconds that keeps every (series, chunk) within
+    ``max_rows``; None where even the narrowest does not.
 
     Rows are counted per series and narrowest chunk; the wider counts build on
     each other. One job over the key and time columns brings back one row.
@@ -49,8 +51,18 @@ def fit_chunk_seconds(
         peak = counts.agg(F.coalesce(F.max("_n"), F.lit(0)).alias("peak"))
         row = peak.filter(F.col("peak") <= max_rows).select(F.lit(float(width)).alias("w"))
         fitting = row if fitting is None else fitting.unionByName(row)
-    best = fitting.agg(F.max("w")).first()[0]
-    return best if best is not None else float(widths[0])
+    return fitting.agg(F.max("w")).first()[0]
+
+
+def fit_chunks(df: DataFrame, spec: SignalSpec, max_rows: int = 2_000_000) -> SignalSpec:
+    """The spec with chunks fitted to the data: as wide in time as ``max_rows``
+    allows, or parted by the tiebreak where one timestamp alone has too many."""
+    width = widest_chunk(df, spec.keys, spec.ts, max_rows)
+    if width is not None:
+        return replace(spec, chunk_seconds=width, tie_width=None)
+    if spec.tiebreak:
+        return replace(spec, tie_width=max_rows)
+    return replace(spec, chunk_seconds=0.001)
 
 
 def scan(
@@ -73,7 +85,8 @@ def scan(
     ``last``      latest non-null value up to and including this row
     ``following`` next non-null value from this row on
 
-    ``order`` must be a total order without nulls, ``chunk`` monotone in it.
+    ``order`` must be a total order without nulls, ``chunk`` any orderable value
+    that never decreases along it.
     When ``chunk`` is None the frame already carries the chunk column. The
     chunk column stays on the result so that a further scan needs no new
     shuffle; ``finish`` drops it. A scan reads its input twice, once for the

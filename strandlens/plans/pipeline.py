@@ -8,7 +8,6 @@ read are staged as files in the shared scratch folder.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +17,7 @@ from ..functions.columns import active_filter, convert_units, process_filter, pr
 from ..functions.timing import _column
 from ..operators.detectors import flag_disturbances
 from ..operators.intervals import attach
-from ..operators.ordered import fit_chunk_seconds
+from ..operators.ordered import fit_chunks
 from ..operators.reports import strand_summary, summary_report
 from ..operators.reshape import union_strands
 from ..operators.stats import downsample, sequence_stats
@@ -148,7 +147,7 @@ def run(
     Returns the frames ``signal``, ``sequences``, ``abnormal`` and ``summary``,
     and under ``failed`` the strands left out with the reason. The cleaned
     signal is used several times, so it is staged once, by strand, in the shared
-    scratch folder, and the width of the time chunks is fitted to it. With
+    scratch folder, and the chunks of ordered scans are fitted to it. With
     ``export_to`` the windows are written as CSV and Parquet, with a report.
     """
     spec, cfg = spec or SignalSpec(), cfg or AnalysisConfig()
@@ -159,7 +158,7 @@ def run(
     loaded = clean_signal(frames, strands, castings, spec, cfg)
     write_parquet(loaded, path, spec.keys)
     signal = spark.read.schema(loaded.schema).parquet(path)
-    spec = replace(spec, chunk_seconds=fit_chunk_seconds(signal, spec.keys, spec.ts))
+    spec = fit_chunks(signal, spec)
     out = {"signal": signal, "failed": failed, **analyze(signal, spec, cfg)}
     if export_to:
         out["sequences"] = export(out["sequences"], export_to, stamp, spec, cfg)

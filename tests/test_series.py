@@ -10,6 +10,7 @@ import reference_rules as rules
 from strandlens.functions.timing import bucket
 from strandlens.operators import ordered as O
 from strandlens.operators import windows as W
+from strandlens.spec import SignalSpec
 
 T0 = datetime(2025, 4, 1)
 
@@ -195,10 +196,23 @@ def test_break_windows_resume_behind_the_break(spark):
 
 def test_chunk_width_is_measured(spark):
     df = series(spark, [0.0] * 500)
-    assert O.fit_chunk_seconds(df, KEYS, "ts", max_rows=1000) == 86_400
-    assert O.fit_chunk_seconds(df, KEYS, "ts", max_rows=70) == 60
-    assert O.fit_chunk_seconds(df, KEYS, "ts", max_rows=3) == 1
-    assert O.fit_chunk_seconds(df, KEYS, "ts", max_rows=0) == 0.001
+    spec = SignalSpec(keys=("strand",), ts="ts")
+    for max_rows, seconds in ((1000, 86_400), (70, 60), (3, 1), (0, 0.001)):
+        assert O.fit_chunks(df, spec, max_rows).chunk_seconds == seconds
+
+
+def test_rows_of_one_timestamp_are_parted_by_the_tiebreak(spark):
+    df = spark.range(1000).select(
+        F.lit("a").alias("strand"), F.lit(T0).cast("timestamp_ntz").alias("ts"), "id",
+        F.when(F.col("id") % 97 == 5, F.col("id")).alias("v"),
+    )
+    spec = O.fit_chunks(df, SignalSpec(keys=("strand",), ts="ts", tiebreak=("id",)), max_rows=64)
+    assert spec.tie_width == 64
+    out = O.scan(df, spec.keys, spec.order, spec.chunk(), position="pos", last={"left": "v"}, lag={"prev": "id"})
+    assert out.groupBy(O.CHUNK).count().agg(F.max("count")).first()[0] == 64
+    for r in out.collect():
+        assert r.pos == r.id and r.prev == (r.id - 1 if r.id else None)
+        assert r.left == ((r.id - 5) // 97 * 97 + 5 if r.id >= 5 else None)
 
 
 def test_ecdf_spreads_a_frequent_value(spark):
