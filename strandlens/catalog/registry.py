@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,14 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _six_decimals(c: str) -> Column:
+    """Half away from zero on the binary value, in plain arithmetic; Spark's own
+    ``round`` goes through decimals."""
+    x = F.col(f"`{c}`")
+    near = F.signum(x) * F.floor(F.abs(x) * 1e6 + 0.5) / 1e6
+    return F.when(F.abs(x) < 1e12, near).otherwise(x)
+
+
 def query(name: str, sql: str | None = None, round_cols: str | list[str] = "") -> Callable[[Query], Query]:
     """Register a query. Doubles are compared at 6 decimals: all of them are
     rounded on the Spark side, ``round_cols`` names them for the SQL side."""
@@ -22,7 +30,7 @@ def query(name: str, sql: str | None = None, round_cols: str | list[str] = "") -
         def rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = fn(spark, sf_dir)
             doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
-            return df.withColumns({c: F.round(F.col(f"`{c}`"), 6) for c in doubles})
+            return df.withColumns({c: _six_decimals(c) for c in doubles}) if doubles else df
 
         QUERIES[name] = rounded
         if sql:
