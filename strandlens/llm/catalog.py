@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, warc
+from . import mixing, packing, piecewise, sharding, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -27,6 +27,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 @query
 def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
     back = warc.round_trip(table(spark, sf, "pages"))
@@ -58,6 +65,11 @@ def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.decide(table(spark, sf, "documents"))
 
 
+@query
+def op9_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return piecewise.fingerprint_with_next(table(spark, sf, "documents"))
+
+
 @query
 def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf, "documents"), "doc_id", SHARDS)

@@ -48,7 +48,7 @@ class Ranges:
         if n <= 0:
             return np.zeros(0, np.uint64)
         raw = (self.sums[length:] - self.sums[:n]) * _powers[1][:n]
-        return mix(raw + np.uint64(length) * _M2)
+        return mix(raw + np.uint64(length * int(_M2) & (1 << 64) - 1))
 
 
 def signed(x: np.ndarray) -> np.ndarray:
