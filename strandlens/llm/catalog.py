@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, piecewise, sharding, toxicity, warc
+from . import chat_roles, mixing, packing, permutation_index, piecewise, sharding, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -27,6 +27,27 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def transcripts(conversations: DataFrame) -> DataFrame:
+    """Lines of raw transcripts made from the turns: seven of ten turns open with one of several spellings of a speaker
+    marker, the others with none. role and begins are what a reader of the lines doesn't see."""
+    u = F.pmod(F.xxhash64(F.lit("marker"), "conv_id", "turn"), F.lit(10))
+    style = F.pmod(F.xxhash64(F.lit("style"), "conv_id"), F.lit(3)).cast("int") + 1
+    spelled = {"system": ("System: ", "[context]: ", "Instructions - "), "user": ("User: ", "Human: ", "Q: "), "assistant": ("Assistant: ", "AI: ", "A: ")}
+    marker = F.lit("")
+    for role, ways in spelled.items():
+        marker = F.when(F.col("role") == role, F.element_at(F.array(*map(F.lit, ways)), style)).otherwise(marker)
+    text = F.concat(F.when(u < 7, marker).otherwise(""), F.coalesce("text", F.lit("")))
+    lines = chat_roles.lines_of(conversations.withColumn("text", text), "conv_id", "turn", "text", "role")
+    return lines.withColumn("begins", F.col("line_no") == 0)
+
+
+@query
+def op1_chat_roles(spark: SparkSession, sf: str) -> DataFrame:
+    lines = transcripts(table(spark, sf, "conversations"))
+    turns = chat_roles.render(chat_roles.recover(lines, chat_roles.train(lines)))
+    return turns.withColumnsRenamed({"key": "conv_id", "order": "turn"})
+
+
 @query
 def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
@@ -60,6 +81,13 @@ def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), tokenizer_path())
 
 
+@query
+def op6_permutation_index(spark: SparkSession, sf: str) -> DataFrame:
+    vectors, dim = permutation_index.usable(table(spark, sf, "embeddings"))
+    index, pivots = permutation_index.build(vectors, dim)
+    return permutation_index.search(index, pivots, dim, index.filter("vec_id % 20 = 0"), 20)
+
+
 @query
 def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.decide(table(spark, sf, "documents"))
