@@ -17,7 +17,7 @@ from .frames import stage
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 REPEATS = 2
-RANK_ROWS = 4096  # about so many documents are ranked in one group
+RANK_ROWS = 512  # about so many documents are ranked in one group
 KNAPSACK = 1 << 16  # budget in words that the dynamic program covers
 
 
