@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_roles, mixing, packing, permutation_index, piecewise, sharding, toxicity, warc
+from . import chat_roles, jaccard_join, mixing, packing, permutation_index, piecewise, sharding, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -48,6 +48,11 @@ def op1_chat_roles(spark: SparkSession, sf: str) -> DataFrame:
     return turns.withColumnsRenamed({"key": "conv_id", "order": "turn"})
 
 
+@query
+def op2_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf, "documents"), width=4, percent=85)
+
+
 @query
 def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
