@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_roles, jaccard_join, mixing, packing, permutation_index, piecewise, sharding, toxicity, warc
+from . import chat_roles, jaccard_join, mixing, packing, permutation_index, piecewise, repeats, sharding, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -93,6 +93,11 @@ def op6_permutation_index(spark: SparkSession, sf: str) -> DataFrame:
     return permutation_index.search(index, pivots, dim, index.filter("vec_id % 20 = 0"), 20)
 
 
+@query
+def op7_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.report(table(spark, sf, "documents"))
+
+
 @query
 def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.decide(table(spark, sf, "documents"))
