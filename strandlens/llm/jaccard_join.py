@@ -26,6 +26,7 @@ FREQUENT = 200_000  # frequent n-grams that the order ranks by count, at most
 LOCAL = 3  # times that an n-gram occurs in a task's documents before it is counted
 COUNTED = 1 << 21  # n-grams counted at once in a task
 SALTS = 64
+FILTER_WORDS = 1 << 17  # 64-bit words of the map of documents that are read again
 _A = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -56,14 +57,28 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarr
     return out
 
 
-def _keys(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
-    one = [int(np.add.reduce(mix(s ^ _A))) - (1 << 64 if int(np.add.reduce(mix(s ^ _A))) >> 63 else 0) for s in sets]
-    two = [int(np.bitwise_xor.reduce(s * _A)) - (1 << 64 if int(np.bitwise_xor.reduce(s * _A)) >> 63 else 0) for s in sets]
-    return one, two
+def _key(grams: np.ndarray) -> int:
+    """A set's 64-bit key, as a signed number. Two of N different sets share one with a chance of about N^2 / 2^65."""
+    with np.errstate(over="ignore"):
+        k = int(np.add.reduce(mix(grams ^ _A))) if len(grams) else 0
+    return k - (1 << 64) if k >> 63 else k
+
+
+def _sketch(grams: np.ndarray) -> np.ndarray:
+    """Bit b is the parity of the n-grams whose hash ends in b; at least two bits an n-gram. Two sets differ in at
+    least as many n-grams as their sketches in bits."""
+    bits = max(64, 1 << (2 * len(grams) - 1).bit_length()) if len(grams) else 64
+    odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def _listed(rows: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate([*rows, np.zeros(0, np.int64)])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(flat))
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of kind 0: doc_id, n, k1, k2 (the set's 128-bit key); of kind 1: k1 (an n-gram) and n (a task's count)."""
+    """Rows of kind 0: doc_id, k (the set's key), n and sketch; of kind 1: k (an n-gram) and n (a task's count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         seen: set[int] = set()
@@ -74,13 +89,13 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             grams, times = np.unique(np.concatenate(held), return_counts=True)
             grams, times = grams[times >= LOCAL], times[times >= LOCAL]
             n = len(grams)
-            return {"kind": [1] * n, "doc_id": pa.nulls(n), "n": times, "k1": signed(grams), "k2": pa.nulls(n)}
+            return {"kind": [1] * n, "doc_id": pa.nulls(n), "k": signed(grams), "n": times, "sketch": pa.nulls(n)}
 
         for batch, i, j, data, offsets in blocks(batches):
             sets = shingles(data, offsets, width)
-            one, two = _keys(sets)
-            yield {"kind": [0] * (j - i), "doc_id": batch.column("doc_id")[i:j], "n": [len(s) for s in sets], "k1": one, "k2": two}
-            for s, k in zip(sets, one):
+            keys = [_key(s) for s in sets]
+            yield {"kind": [0] * (j - i), "doc_id": batch.column("doc_id")[i:j], "k": keys, "n": [len(s) for s in sets], "sketch": _listed([_sketch(s) for s in sets])}
+            for s, k in zip(sets, keys):
                 if k not in seen:
                     seen.add(k)
                     held.append(s)
@@ -91,137 +106,179 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
         if held:
             yield counts()
 
-    return map_batches(texts_only(docs), "kind int, doc_id long, n long, k1 long, k2 long", run)
+    return map_batches(docs, "kind int, doc_id long, k long, n long, sketch array<long>", run)
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, frequent: list[int]) -> DataFrame:
-    """doc_id, k1, n, first (the n-grams that a similar document may share first, in the global order) and, of those,
-    how many are not frequent."""
+    """k, n, first (the n-grams that a similar set may share first, in the global order) and rare: how many of those are not
+    frequent. A set that several documents of a task have comes once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         often = np.array(frequent, np.int64).view(np.uint64)  # most frequent first
-        by = np.argsort(often)
-        ordered, rank = often[by], by
+        rank = np.argsort(often)
+        ordered = often[rank]
+        low = np.uint64((1 << 22) - 1)
         maybe = np.zeros(1 << 22, bool)
-        maybe[(often & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        for batch, i, j, data, offsets in blocks(batches):
-            firsts, rare = [], []
-            sets = shingles(data, offsets, width)
-            for s in sets:
-                size = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                hit = np.flatnonzero(maybe[(s & np.uint64((1 << 22) - 1)).astype(np.int64)])
-                if len(hit) and len(ordered):
-                    place = np.minimum(np.searchsorted(ordered, s[hit]), len(ordered) - 1)
-                    real = ordered[place] == s[hit]
-                    hit, place = hit[real], place[real]
-                    mask = np.ones(len(s), bool)
-                    mask[hit] = False
-                    light = s[mask][:size]
-                    heavy = s[hit][np.argsort(-rank[place])][: size - len(light)]
-                    firsts.append(signed(np.concatenate([light, heavy])))
-                    rare.append(len(light))
-                else:
-                    firsts.append(signed(s[:size]))
-                    rare.append(size)
-            flat = np.concatenate([*firsts, np.zeros(0, np.int64)])
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(flat))
-            yield {"doc_id": batch.column("doc_id")[i:j], "k1": _keys(sets)[0], "n": [len(s) for s in sets], "first": lists, "rare": rare}
-
-    return map_batches(texts_only(docs), "doc_id long, k1 long, n long, first array<long>, rare int", run)
-
-
-def _fragments(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, k1, fragment, grams: a document's n-grams cut along the hash."""
-    cuts = np.array([i * (1 << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], np.uint64)
+        maybe[(often & low).astype(np.int64)] = True
+        seen: set[int] = set()
+        for _, _, _, data, offsets in blocks(batches):
+            keys, sizes, firsts, rare = [], [], [], []
+            for s in shingles(data, offsets, width):
+                k = _key(s)
+                if not len(s) or k in seen:
+                    continue
+                seen.add(k)
+                size = len(s) - -(-percent * len(s) // 100) + 1
+                hit = np.flatnonzero(maybe[(s & low).astype(np.int64)])
+                place = np.minimum(np.searchsorted(ordered, s[hit]), max(len(ordered) - 1, 0))
+                real = ordered[place] == s[hit] if len(hit) else np.zeros(0, bool)
+                hit, place = hit[real], place[real]
+                mask = np.ones(len(s), bool)
+                mask[hit] = False
+                light = s[mask][:size]
+                heavy = s[hit[np.argsort(-rank[place])]][: size - len(light)]
+                keys.append(k)
+                sizes.append(len(s))
+                firsts.append(signed(np.concatenate([light, heavy])))
+                rare.append(len(light))
+            yield {"k": keys, "n": sizes, "first": _listed(firsts), "rare": rare}
+
+    return map_batches(docs, "k long, n long, first array<long>, rare int", run)
+
+
+def _bits(wanted: DataFrame) -> np.ndarray:
+    """A bit map of FILTER_WORDS x 64 bits, set where a row's number (column h) falls: a fixed size, whatever the rows."""
+    at = wanted.select(F.pmod(F.col("h"), F.lit(FILTER_WORDS * 64)).alias("at"))
+    words_ = at.select(F.expr("cast(at div 64 as int)").alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
+    out = np.zeros(FILTER_WORDS, np.int64)
+    for r in words_.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+        out[r["word"]] = r["bits"]
+    return out
+
+
+def _fragments(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """k, fragment, grams of the sets in ``nodes`` (k, doc_id: one document that has it): n-grams cut along the hash. Which
+    documents are needed reaches the tasks as a bit map, so texts are not shuffled; a few more rows than needed come,
+    and a row may come twice."""
+    cuts = np.array([i * ((1 << 64) // FRAGMENTS) for i in range(1, FRAGMENTS)], np.uint64)
+    bits = _bits(nodes.select(F.coalesce("doc_id", F.lit(0)).bitwiseXOR(F.col("k")).alias("h")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch, i, j, data, offsets in blocks(batches):
-            sets = shingles(data, offsets, width)
-            ids, keys = batch.column("doc_id")[i:j], _keys(sets)[0]
-            rows, parts, bounds = [], [], [0]
-            for r, s in enumerate(sets):
+            keys, parts, grams = [], [], []
+            for doc, s in zip(batch.column("doc_id")[i:j].to_pylist(), shingles(data, offsets, width)):
+                k = _key(s)
+                h = ((doc or 0) ^ k) % (FILTER_WORDS * 64)
+                if not int(bits[h // 64]) >> (h % 64) & 1:
+                    continue
                 at = [0, *np.searchsorted(s, cuts).tolist(), len(s)]
                 for f, (a, b) in enumerate(zip(at, at[1:])):
                     if b > a:
-                        rows.append(r)
+                        keys.append(k)
                         parts.append(f)
-                        bounds.append(bounds[-1] + b - a)
-            flat = pa.array(signed(np.concatenate([*sets, np.zeros(0, np.uint64)])))
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat)
-            yield {"doc_id": ids.take(pa.array(rows, pa.int64())), "k1": [keys[r] for r in rows], "fragment": parts, "grams": lists}
+                        grams.append(signed(s[a:b]))
+            yield {"k": keys, "fragment": parts, "grams": _listed(grams)}
+
+    return map_batches(docs, "k long, fragment int, grams array<long>", run)
+
+
+def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b, na, nb) those whose similarity is at least ``percent`` (u, v): overlaps per fragment, summed."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    named = keys.join(nodes.select("k", "doc_id"), "k")
+    pieces = stage(_fragments(docs, named, width), "grams-fragments")
+    cut = pairs.withColumn("fragment", F.explode(F.array(*[F.lit(f) for f in range(FRAGMENTS)])))
+    left = pieces.select(F.col("k").alias("a"), "fragment", F.col("grams").alias("ga"))
+    right = pieces.select(F.col("k").alias("b"), "fragment", F.col("grams").alias("gb"))
+    partial = cut.join(left, ["a", "fragment"]).join(right, ["b", "fragment"])
+    partial = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max(F.size(F.array_intersect("ga", "gb"))).alias("overlap"))
+    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
+    linked = total.filter(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap")))
+    return stage(linked.select(F.col("a").alias("u"), F.col("b").alias("v")), "grams-links")
 
-    return map_batches(docs, "doc_id long, k1 long, fragment int, grams array<long>", run)
 
-
-def _links(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose similarity is at least ``percent``: overlaps per fragment, summed."""
-    left = fragments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("ga"))
-    right = fragments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("overlap"))
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
-    return total.filter(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+def _need(percent: int):
+    return F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
 
 
 def _compatible(percent: int):
     """A pair's shared n-gram is early enough in both, and their sizes are near enough, to be linked."""
-    need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("pa") <= F.col("na") - need) & (F.col("pb") <= F.col("nb") - need)
+    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return near & (F.col("pa") <= F.col("na") - _need(percent)) & (F.col("pb") <= F.col("nb") - _need(percent))
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sketches differ in no more bits than linked sets may differ in n-grams."""
+    sketches = nodes.select("k", "sketch")
+    both = pairs.join(sketches.withColumnsRenamed({"k": "a", "sketch": "sa"}), "a").join(sketches.withColumnsRenamed({"k": "b", "sketch": "sb"}), "b")
+    size = F.least(F.size("sa"), F.size("sb"))
+
+    def folded(c: str):
+        halves = F.zip_with(F.slice(c, F.lit(1), size), F.slice(c, size + 1, size), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(c) > size, halves).otherwise(F.col(c))
+
+    differ = F.aggregate(F.zip_with(folded("sa"), folded("sb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return both.filter(differ <= F.col("na") + F.col("nb") - 2 * _need(percent)).select("a", "b", "na", "nb")
+
+
+def _pairs(rows: DataFrame, one, two, percent: int) -> DataFrame:
+    made = rows.select(*[one(c).alias(f"{n}a") for c, n in (("k", "k"), ("n", "n"), ("place", "p"))], *[two(c).alias(f"{n}b") for c, n in (("k", "k"), ("n", "n"), ("place", "p"))])
+    made = made.filter(_compatible(percent) & (F.col("ka") != F.col("kb")))
+    first = F.col("ka") < F.col("kb")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return made.select(pick("ka", "kb").alias("a"), pick("kb", "ka").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb")).distinct()
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links of ``percent`` or more).
-
-    Null and empty texts have no n-grams and are linked with nothing. Rows that repeat a doc_id are one document, of
-    different texts the one with the most n-grams; a null doc_id is a document like others. Equal sets are one node, so
-    a group of copies of any size costs one. An empty table gives an empty result; other columns are ignored. N-grams are
-    compared as 64-bit hashes, sets of one size as 128-bit ones."""
-    made = stage(_sets(docs, width), "grams-sets")
-    each = made.filter("kind = 0").groupBy("doc_id").agg(F.max(F.struct("n", "k1", "k2")).alias("s")).select("doc_id", "s.*")
-    # A node is a set, named by its smallest doc_id.
-    nodes = each.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"))
+    """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable over links of ``percent`` or more).
+
+    Null and empty texts have no n-grams and are linked with nothing. Rows are documents of their own, also such
+    as repeat a doc_id or have none; those with equal sets are linked, and cost no more than one: the work is done on
+    distinct sets, so a group of copies of any size is one node. An empty table gives an empty result; other columns are
+    ignored. N-grams and sets are compared by 64-bit hashes."""
+    texts = texts_only(docs)
+    made = stage(_sets(texts, width), "grams-sets")
+    each = made.filter("kind = 0").select("doc_id", "k", "n")
+    nodes = made.filter("kind = 0 and n > 0").groupBy("k").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
     nodes = stage(nodes, "grams-nodes")
-    often = made.filter("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k1").limit(FREQUENT)
-    frequent = [r["k1"] for r in often.select("k1").collect()]  # at most FREQUENT numbers
-
-    own = nodes.select(F.col("node").alias("doc_id"), "k1").filter("doc_id is not null")
-    first = _prefixes(docs, width, percent, frequent).join(own, ["doc_id", "k1"], "left_semi").dropDuplicates(["doc_id", "k1"])
-    posts = first.select(F.col("doc_id").alias("node"), "n", "rare", F.posexplode("first").alias("place", "gram"))
-    # Frequent n-grams are dealt over SALTS; chains only spare checks, so it doesn't matter that salts cut them.
-    posts = posts.withColumn("salt", F.when(F.col("place") >= F.col("rare"), F.pmod(F.xxhash64("node"), F.lit(SALTS)) + 1).otherwise(0)).drop("rare")
-    chain = Window.partitionBy("gram", "salt").orderBy("n", "node")
-    before = F.lag(F.struct("node", "n", "place")).over(chain)
-    posts = posts.withColumn("before", before).withColumn("shared", (F.col("salt") > 0) | before.isNotNull() | F.lead("node").over(chain).isNotNull())
-    posts = stage(posts.filter("shared").drop("shared"), "grams-shared")
-    heads = posts.filter("salt > 0 and before is null").drop("before")
-    heads = heads.withColumn("before", F.lag(F.struct("node", "n", "place")).over(Window.partitionBy("gram").orderBy("n", "node")))
-    chained = posts.filter("before is not null").unionByName(heads.filter("before is not null").select(*posts.columns))
-    pair = lambda x, y: [x("node").alias("a"), y("node").alias("b"), x("n").alias("na"), y("n").alias("nb"), x("place").alias("pa"), y("place").alias("pb")]
-    one, two = (lambda c: F.col(f"before.{c}")), (lambda c: F.col(c))
-    swap = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
-    tried = stage(swap(chained.select(*pair(one, two)).filter(_compatible(percent))).distinct(), "grams-chained")
-
-    # Which documents may have a partner at all: those that share an early n-gram with one of compatible size.
-    wanted = posts.select("node").distinct()
-    texts = texts_only(docs).join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    pieces = _fragments(texts, width).join(own, ["doc_id", "k1"], "left_semi").withColumnRenamed("doc_id", "node").drop("k1")
-    pieces = stage(pieces.dropDuplicates(["node", "fragment"]), "grams-fragments")
-    links = stage(_links(tried, pieces, percent), "grams-links")
-    merged = components(links)
+    often = made.filter("kind = 1").groupBy("k").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k").limit(FREQUENT)
+    frequent = [r["k"] for r in often.select("k").collect()]  # at most FREQUENT numbers
+
+    first = _prefixes(texts, width, percent, frequent)
+    # Frequent n-grams are dealt over SALTS; a chain only spares checks, so it doesn't matter that salts cut it.
+    salt = F.when(F.col("place") >= F.col("rare"), F.pmod(F.xxhash64("k"), F.lit(SALTS)) + 1).otherwise(0)
+    posts = first.select("k", "n", "rare", F.posexplode("first").alias("place", "gram"))
+    # One number for what belongs to a set, to keep the largest shuffle small: n, place, salt.
+    info = F.shiftleft("n", 31) + F.shiftleft(F.col("place").cast("long"), 7) + salt
+    posts = posts.select("gram", "k", info.alias("info"), salt.cast("int").alias("salt"))
+    here = Window.partitionBy("gram", "salt")
+    posts = posts.withColumn("others", (F.min("k").over(here) != F.max("k").over(here)) | (F.col("salt") > 0)).filter("others")
+    posts = posts.select("gram", "k", "salt", F.shiftright("info", 31).alias("n"), F.shiftright("info", 7).bitwiseAND(F.lit((1 << 24) - 1)).alias("place"))
+    posts = stage(posts.distinct(), "grams-shared")
+
+    before = F.lag(F.struct("k", "n", "place"))
+    chained = posts.withColumn("before", before.over(Window.partitionBy("gram", "salt").orderBy("n", "k")))
+    heads = chained.filter("salt > 0 and before is null").withColumn("before", before.over(Window.partitionBy("gram").orderBy("n", "k")))
+    chained = chained.filter("before is not null").unionByName(heads.filter("before is not null"))
+    tried = stage(_pairs(chained, lambda c: F.col(f"before.{c}"), F.col, percent), "grams-chained")
+    merged = components(_links(stage(_possible(tried, nodes, percent), "grams-possible"), texts, nodes, width, percent))
 
     # What the chains did not bring together: candidates of different classes that weren't tried.
-    member = posts.select("gram", "node", "n", "place").join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    member = stage(member, "grams-members")
-    mixed = member.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("gram")
-    open_ = member.join(mixed, "gram", "left_semi")
-    left = open_.select("gram", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "place", "component")])
-    right = open_.select("gram", *[F.col(c).alias(f"r_{c}") for c in ("node", "n", "place", "component")])
-    crossed = left.join(right, "gram").filter("l_node < r_node and l_component <> r_component")
-    left_, right_ = (lambda c: F.col(f"l_{c}")), (lambda c: F.col(f"r_{c}"))
-    rest = crossed.select(*pair(left_, right_)).filter(_compatible(percent)).select("a", "b", "na", "nb").distinct()
-    rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "grams-rest")
-    more = stage(_links(rest, pieces, percent), "grams-more")
-    final = components(merged.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
-
-    labelled = nodes.join(final, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component_id"))
-    out = each.join(labelled, ["k1", "k2", "n"], "left")
+    member = posts.join(merged.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
+    member = stage(member.drop("salt"), "grams-members")
+    several = member.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("gram")
+    open_ = member.join(several, "gram", "left_semi")
+    left, right = (open_.select("gram", *[F.col(c).alias(f"{side}_{c}") for c in ("k", "n", "place", "component")]) for side in ("l", "r"))
+    crossed = left.join(right, "gram").filter("l_k < r_k and l_component <> r_component")
+    rest = _pairs(crossed, lambda c: F.col(f"l_{c}"), lambda c: F.col(f"r_{c}"), percent).join(tried, ["a", "b"], "left_anti")
+    rest = stage(_possible(rest, nodes, percent), "grams-rest")
+    if not rest.isEmpty():
+        more = _links(rest, texts, nodes, width, percent)
+        merged = components(merged.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+
+    root = nodes.select("k", "doc_id").join(merged.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("component", "k"))
+    root = stage(root.select("k", "doc_id", "root"), "grams-roots")
+    smallest = root.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = root.join(smallest, "root").select("k", "component_id")
+    out = each.join(named, "k", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
