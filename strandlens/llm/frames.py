@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.sinks import scratch_path, stage
 
-__all__ = ["blocks", "code_bytes", "combine", "map_batches", "scratch_path", "stage", "texts_only"]
+__all__ = ["blocks", "code_bytes", "combine", "fresh", "map_batches", "scratch_path", "stage", "texts_only"]
 
 # Python steps work on this many bytes of text at once (a longer text is a block by itself), so their
 # memory depends on neither the batch size nor the number of rows.
@@ -24,6 +24,16 @@ def texts_only(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened where ``df`` has such a column already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def map_batches(df: DataFrame, schema: str, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
     """mapInArrow for functions that yield a dict of arrays."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import blocks, map_batches, stage, texts_only
+from .frames import blocks, fresh, map_batches, stage, texts_only
 from .graph import components
 from .hashing import mix, signed, words
 
@@ -282,3 +282,13 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     named = root.join(smallest, "root").select("k", "component_id")
     out = each.join(named, "k", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of their class (see ``classes``), all columns kept. Of rows that are equal in
+    doc_id and text one stays; texts without words are classes of their own."""
+    (name,) = fresh(docs, "key")
+    key = F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"))
+    keep = classes(docs, width, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = docs.withColumn(name, key).join(keep.select(key.alias(name)).distinct(), name, "left_semi").dropDuplicates([name, "text"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

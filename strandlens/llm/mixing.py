@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import stage
+from .frames import fresh, stage
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -163,10 +163,10 @@ def decide(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = "mix") -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as many times as it is taken; see ``decide``."""
     slim = stage(_slim(docs, seed, "source"), "mix-slim")
-    cuts = _cuts(slim, weights, share, repeats).select("_key", F.col("size").alias("_size"), "base", "cut")
-    u = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    rows = docs.withColumns({"_key": _key("source"), "_size": size_of(F.col("text")), "_u": u})
-    times = F.col("base") + F.when(F.col("_u") <= F.col("cut"), 1).otherwise(0)
-    rows = rows.join(cuts, ["_key", "_size"]).withColumn("_times", F.when(F.col("_size") > 0, times).otherwise(0).cast("int"))
-    rows = rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times"))))
+    key, size, u, base, cut, copy = fresh(docs, "key", "words", "u", "base", "cut", "copy")
+    cuts = _cuts(slim, weights, share, repeats).select(*[F.col(c).alias(n) for c, n in (("_key", key), ("size", size), ("base", base), ("cut", cut))])
+    rows = docs.withColumns({key: _key("source"), size: size_of(F.col("text")), u: F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))})
+    times = F.col(base) + F.when(F.col(u) <= F.col(cut), 1).otherwise(0)
+    rows = rows.join(cuts, [key, size])
+    rows = rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.when(F.col(size) > 0, times).otherwise(0).cast("int"))))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import blocks, combine, map_batches, stage, texts_only
+from .frames import blocks, combine, fresh, map_batches, stage, texts_only
 from .hashing import Ranges, mix, signed
 
 WIDTH = 400
@@ -161,11 +161,14 @@ def _removed(size: int, runs: np.ndarray, width: int) -> tuple[np.ndarray, int]:
     return gone, int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if size else 0
 
 
-def _joined(docs: DataFrame, width: int) -> DataFrame:
-    held = docs.withColumns({"_text": F.coalesce(F.col("text"), F.lit(""))}).withColumn("_th", F.xxhash64("_text"))
-    runs = _runs(held.select("doc_id", F.col("_th").alias("th"), F.col("_text").alias("text")), width)
-    runs = runs.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_run_th"), F.col("runs").alias("_runs"))
-    return held.join(runs, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_run_th")), "left").drop("_doc", "_run_th")
+def _joined(docs: DataFrame, width: int) -> tuple[DataFrame, str]:
+    """``docs`` with a column of runs, and that column's name."""
+    runs_name, th, doc, of = fresh(docs, "runs", "th", "run_doc", "run_th")
+    held = docs.withColumn(th, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    runs = _runs(held.select("doc_id", F.col(th).alias("th"), F.coalesce(F.col("text"), F.lit("")).alias("text")), width)
+    runs = runs.select(F.col("doc_id").alias(doc), F.col("th").alias(of), F.col("runs").alias(runs_name))
+    joined = held.join(runs, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(th) == F.col(of)), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], runs_name), runs_name
 
 
 def report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -179,7 +182,7 @@ def report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             sizes, removed, spans, digests = [], [], [], []
-            for text, runs in zip(batch.column("_text"), batch.column("_runs")):
+            for text, runs in zip(batch.column("text"), batch.column("runs")):
                 data = text.as_buffer()
                 size = data.size
                 n, s, digest = 0, 0, None
@@ -193,18 +196,20 @@ def report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 digests.append((digest or hashlib.sha256(data)).hexdigest())
             yield {"doc_id": batch.column("doc_id"), "n_bytes": sizes, "n_removed": removed, "n_spans": spans, "kept_sha256": digests}
 
-    return map_batches(_joined(docs, width).select("doc_id", "_text", "_runs"), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", run)
+    joined, _ = _joined(texts_only(docs), width)
+    return map_batches(joined, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", run)
 
 
 def remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with text cut by the bytes that ``report`` counts; bytes of characters that a cut splits go too, and n_chars,
     where there is such a column, follows. No row goes: a text of repeats only is left empty, a null one null."""
-    changed = {"text"} | {"n_chars"} & set(docs.columns)
+    names = docs.columns
+    joined, runs_name = _joined(docs, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, runs in zip(batch.column("text"), batch.column("_runs")):
+            for text, runs in zip(batch.column("text"), batch.column(runs_name)):
                 if runs.is_valid and text.is_valid:
                     data = np.frombuffer(text.as_py().encode(), np.uint8)
                     gone, _ = _removed(len(data), runs.values.to_numpy(zero_copy_only=False), width)
@@ -212,10 +217,10 @@ def remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 else:
                     texts.append(text.as_py())
             made = {"text": pa.array(texts, pa.string())}
-            if "n_chars" in changed:
-                old = batch.column("n_chars").to_pylist()
-                cut = [r.is_valid for r in batch.column("_runs")]
-                made["n_chars"] = pa.array([len(t) if c and t is not None else o for t, o, c in zip(texts, old, cut)], pa.int64())
-            yield pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in docs.columns], names=docs.columns)
+            if "n_chars" in names:
+                old, cut = batch.column("n_chars"), batch.column(runs_name)
+                counts = [len(t) if c.is_valid and t is not None else o.as_py() for t, o, c in zip(texts, old, cut)]
+                made["n_chars"] = pa.array(counts, old.type)
+            yield pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in names], names=names)
 
-    return _joined(docs, width).select(*[F.col(f"`{c}`") for c in docs.columns], "_runs").mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, docs.schema)
