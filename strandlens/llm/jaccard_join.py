@@ -5,8 +5,8 @@ may be similar share one of their first n-grams in that order (prefix filter wit
 candidate pair, each document's n-grams are cut along the n-gram hash into fragments; overlaps are counted fragment by
 fragment and summed per pair, so no task needs a whole pair of long documents.
 
-Only links that join classes matter: candidates are first chained, checked and merged, and then every candidate pair that
-is still in different classes is checked."""
+Only links that join classes matter: candidates are first chained, checked and merged, in a few rounds, and then every
+candidate pair that is still in different classes is checked."""
 
 from __future__ import annotations
 
@@ -21,11 +21,14 @@ from .frames import blocks, fresh, map_batches, stage, texts_only
 from .graph import components
 from .hashing import mix, signed, words
 
-FRAGMENTS = 8  # a power of two
+FRAGMENTS = 4  # a power of two
 FREQUENT = 200_000  # frequent n-grams that the order ranks by count, at most
 LOCAL = 3  # times that an n-gram occurs in a task's documents before it is counted
 COUNTED = 1 << 21  # n-grams counted at once in a task
 SALTS = 64
+ROUNDS = 4  # of chains, before all candidates of different classes are checked
+LAGS = 4  # neighbours that a set is paired with in a list
+PARTNERS = 8
 FILTER_WORDS = 1 << 17  # 64-bit words of the map of documents that are read again
 _A = np.uint64(0x9FB21C651E98DF25)
 
@@ -72,6 +75,12 @@ def _sketch(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
+def _mini(grams: np.ndarray) -> np.ndarray:
+    """The same with 256 bits, for all sets."""
+    odd = np.bincount((grams & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def _listed(rows: list[np.ndarray]) -> pa.Array:
     flat = np.concatenate([*rows, np.zeros(0, np.int64)])
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(flat))
@@ -89,12 +98,12 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             grams, times = np.unique(np.concatenate(held), return_counts=True)
             grams, times = grams[times >= LOCAL], times[times >= LOCAL]
             n = len(grams)
-            return {"kind": [1] * n, "doc_id": pa.nulls(n), "k": signed(grams), "n": times, "sketch": pa.nulls(n)}
+            return {"kind": [1] * n, "doc_id": pa.nulls(n), "k": signed(grams), "n": times, "sketch": pa.nulls(n), "mini": pa.nulls(n)}
 
         for batch, i, j, data, offsets in blocks(batches):
             sets = shingles(data, offsets, width)
             keys = [_key(s) for s in sets]
-            yield {"kind": [0] * (j - i), "doc_id": batch.column("doc_id")[i:j], "k": keys, "n": [len(s) for s in sets], "sketch": _listed([_sketch(s) for s in sets])}
+            yield {"kind": [0] * (j - i), "doc_id": batch.column("doc_id")[i:j], "k": keys, "n": [len(s) for s in sets], "sketch": _listed([_sketch(s) for s in sets]), "mini": _listed([_mini(s) for s in sets])}
             for s, k in zip(sets, keys):
                 if k not in seen:
                     seen.add(k)
@@ -106,7 +115,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
         if held:
             yield counts()
 
-    return map_batches(docs, "kind int, doc_id long, k long, n long, sketch array<long>", run)
+    return map_batches(docs, "kind int, doc_id long, k long, n long, sketch array<long>, mini array<long>", run)
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, frequent: list[int]) -> DataFrame:
@@ -229,6 +238,27 @@ def _pairs(rows: DataFrame, one, two, percent: int) -> DataFrame:
     return made.select(pick("ka", "kb").alias("a"), pick("kb", "ka").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb")).distinct()
 
 
+def _chained(member: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs of neighbours in each n-gram's list that are not in one class: sets of near sizes side by side, otherwise in an
+    order that differs by n-gram and turn. Long lists are dealt over parts. At most PARTNERS pairs of a set are kept, which
+    may be any as the pairs left over are checked at the end."""
+    mixed = F.xxhash64(F.lit(turn), "k", "gram")
+    part = F.pmod(mixed, F.ceil(F.col("size") / 4096).cast("long"))
+    here = Window.partitionBy("gram", "part").orderBy(F.floor(F.log("n") / 0.05), mixed)
+    near = [F.lag(F.struct("k", "n", "place", "component"), i).over(here) for i in range(1, LAGS + 1)]
+    rows = member.withColumn("part", part).withColumn("before", F.array(*near))
+    rows = rows.withColumn("before", F.explode(F.filter("before", lambda x: x["component"] != F.col("component"))))
+    pairs = _pairs(rows, lambda c: F.col(f"before.{c}"), F.col, percent)
+    first = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))
+    return pairs.withColumn("_n", first).filter(F.col("_n") <= PARTNERS).drop("_n")
+
+
+def _merge(merged: DataFrame | None, links: DataFrame) -> DataFrame:
+    if merged is not None:
+        links = links.unionByName(merged.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    return components(links)
+
+
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable over links of ``percent`` or more).
 
@@ -239,13 +269,13 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     texts = texts_only(docs)
     made = stage(_sets(texts, width), "grams-sets")
     each = made.filter("kind = 0").select("doc_id", "k", "n")
-    nodes = made.filter("kind = 0 and n > 0").groupBy("k").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
+    nodes = made.filter("kind = 0 and n > 0").groupBy("k").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("mini").alias("mini"))
     nodes = stage(nodes, "grams-nodes")
     often = made.filter("kind = 1").groupBy("k").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k").limit(FREQUENT)
     frequent = [r["k"] for r in often.select("k").collect()]  # at most FREQUENT numbers
 
     first = _prefixes(texts, width, percent, frequent)
-    # Frequent n-grams are dealt over SALTS; a chain only spares checks, so it doesn't matter that salts cut it.
+    # Frequent n-grams are shared anyway; they are dealt over SALTS.
     salt = F.when(F.col("place") >= F.col("rare"), F.pmod(F.xxhash64("k"), F.lit(SALTS)) + 1).otherwise(0)
     posts = first.select("k", "n", "rare", F.posexplode("first").alias("place", "gram"))
     # One number for what belongs to a set, to keep the largest shuffle small: n, place, salt.
@@ -256,25 +286,39 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     posts = posts.select("gram", "k", "salt", F.shiftright("info", 31).alias("n"), F.shiftright("info", 7).bitwiseAND(F.lit((1 << 24) - 1)).alias("place"))
     posts = stage(posts.distinct(), "grams-shared")
 
-    before = F.lag(F.struct("k", "n", "place"))
-    chained = posts.withColumn("before", before.over(Window.partitionBy("gram", "salt").orderBy("n", "k")))
-    heads = chained.filter("salt > 0 and before is null").withColumn("before", before.over(Window.partitionBy("gram").orderBy("n", "k")))
-    chained = chained.filter("before is not null").unionByName(heads.filter("before is not null"))
-    tried = stage(_pairs(chained, lambda c: F.col(f"before.{c}"), F.col, percent), "grams-chained")
-    merged = components(_links(stage(_possible(tried, nodes, percent), "grams-possible"), texts, nodes, width, percent))
-
-    # What the chains did not bring together: candidates of different classes that weren't tried.
-    member = posts.join(merged.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
-    member = stage(member.drop("salt"), "grams-members")
+    sizes = posts.groupBy("gram").agg(F.count("*").alias("size"))
+    member = stage(posts.drop("salt").join(sizes, "gram").withColumn("component", F.col("k")), "grams-members")
+    total, tried, merged = member.count(), None, None
+    for turn in range(ROUNDS):
+        fresh_ = _chained(member, turn, percent)
+        if tried is not None:
+            fresh_ = fresh_.join(tried, ["a", "b"], "left_anti")
+        fresh_ = stage(fresh_, "grams-chained")
+        tried = fresh_.select("a", "b") if tried is None else tried.unionByName(fresh_.select("a", "b"))
+        merged = _merge(merged, _links(stage(_possible(fresh_, nodes, percent), "grams-possible"), texts, nodes, width, percent))
+        member = member.drop("component").join(merged.withColumnRenamed("node", "k"), "k", "left")
+        member = stage(member.withColumn("component", F.coalesce("component", "k")), "grams-members")
+        # How many pairs of different classes share a gram; another round only where those are far more than rows.
+        inside = member.groupBy("gram", "component").agg(F.count("*").cast("double").alias("n"))
+        crossing = inside.groupBy("gram").agg((F.pow(F.sum("n"), 2) - F.sum(F.pow("n", 2))).alias("pairs"))
+        if (crossing.agg(F.sum("pairs")).first()[0] or 0) <= 2 * total:
+            break
+
+    # What the rounds did not bring together: all candidates of different classes that weren't tried.
     several = member.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("gram")
-    open_ = member.join(several, "gram", "left_semi")
-    left, right = (open_.select("gram", *[F.col(c).alias(f"{side}_{c}") for c in ("k", "n", "place", "component")]) for side in ("l", "r"))
-    crossed = left.join(right, "gram").filter("l_k < r_k and l_component <> r_component")
+    open_ = member.join(several, "gram", "left_semi").join(nodes.select("k", "mini"), "k")
+    left, right = (open_.select("gram", *[F.col(c).alias(f"{side}_{c}") for c in ("k", "n", "place", "component", "mini")]) for side in ("l", "r"))
+    need = F.ceil(percent * (F.col("l_n") + F.col("r_n")) / (100 + percent))
+    differ = sum((F.bit_count(F.get("l_mini", F.lit(i)).bitwiseXOR(F.get("r_mini", F.lit(i)))) for i in range(4)), F.lit(0))
+    # All that can be told of a pair without its n-grams is told in the join.
+    told = (F.col("l_k") < F.col("r_k")) & (F.col("l_component") != F.col("r_component"))
+    told = told & (100 * F.least("l_n", "r_n") >= percent * F.greatest("l_n", "r_n")) & (differ <= F.col("l_n") + F.col("r_n") - 2 * need)
+    told = told & (F.col("l_place") <= F.col("l_n") - need) & (F.col("r_place") <= F.col("r_n") - need)
+    crossed = left.join(right.withColumnRenamed("gram", "r_gram"), (F.col("gram") == F.col("r_gram")) & told)
     rest = _pairs(crossed, lambda c: F.col(f"l_{c}"), lambda c: F.col(f"r_{c}"), percent).join(tried, ["a", "b"], "left_anti")
     rest = stage(_possible(rest, nodes, percent), "grams-rest")
     if not rest.isEmpty():
-        more = _links(rest, texts, nodes, width, percent)
-        merged = components(merged.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+        merged = _merge(merged, _links(rest, texts, nodes, width, percent))
 
     root = nodes.select("k", "doc_id").join(merged.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("component", "k"))
     root = stage(root.select("k", "doc_id", "root"), "grams-roots")
