@@ -71,36 +71,59 @@ def _phrases(ranges: Ranges, offsets: np.ndarray, width: int) -> tuple[np.ndarra
 ROWS = "key long, weight int, phrase long, whole long, doc_id long, th long, place long"
 
 
-def _sent(key: np.ndarray, ids: dict[str, pa.Array], rows: np.ndarray, place: np.ndarray, whole: np.ndarray | None = None, settled: np.ndarray | None = None) -> dict:
-    """Rows under combined keys. settled: keys that are known to be repeated and stand for no row."""
-    extra = np.zeros(0, np.uint64) if settled is None else np.repeat(settled, 2)
-    spread = mix(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + key)
-    sent, weight, hubs = combine(np.concatenate([key, extra]), np.concatenate([spread, extra]))
+def _rows(ids: dict[str, pa.Array], rows: np.ndarray, place: np.ndarray, key: np.ndarray, weight: np.ndarray, hubs: np.ndarray, phrase: np.ndarray | None = None, whole: np.ndarray | None = None) -> dict:
     n, pad = len(key), len(hubs)
-    take = pa.concat_arrays([pa.array(rows, pa.int64()), pa.nulls(pad, pa.int64())])
-    fill = lambda x: pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(pad, pa.int64())])
+    fill = lambda x, kind=None: pa.concat_arrays([pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64()), pa.nulls(pad, pa.int64())])
+    take = fill(rows)
     return {
-        "key": signed(np.concatenate([sent[:n], hubs])), "weight": np.concatenate([weight[:n], np.full(pad, 2, np.int8)]).astype(np.int32),
-        "phrase": fill(signed(key)), "whole": fill(signed(whole) if whole is not None else np.zeros(n, np.int64)),
+        "key": signed(np.concatenate([key, hubs])), "weight": np.concatenate([weight, np.full(pad, 2, np.int8)]).astype(np.int32),
+        "phrase": fill(None if phrase is None else signed(phrase)), "whole": fill(None if whole is None else signed(whole)),
         "doc_id": ids["doc_id"].take(take), "th": ids["th"].take(take), "place": fill(place),
     }
 
 
+def _spread(key: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return mix(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + key)
+
+
+def _send_phrases(key: np.ndarray, whole: np.ndarray, ids: dict[str, pa.Array], rows: np.ndarray, place: np.ndarray) -> dict:
+    sent, weight, hubs = combine(key, _spread(key, place))
+    return _rows(ids, rows, place, sent, weight, hubs, key, whole)
+
+
+def _send_starts(key: np.ndarray, ids: dict[str, pa.Array], rows: np.ndarray, at: np.ndarray, settled: np.ndarray | None = None) -> dict:
+    """Single starts under their key. Those that repeat within the chunk are known to be repeated: neighbours among them are
+    merged to runs. settled: keys that are known to be repeated and stand for no row."""
+    extra = np.zeros(0, np.uint64) if settled is None else np.repeat(settled, 2)
+    every = np.concatenate([key, extra])
+    _, weight, hubs = combine(every, every)
+    known = weight[: len(key)] == 2
+    i = np.flatnonzero(known)
+    opens = np.ones(len(i), bool)
+    opens[1:] = (rows[i][1:] != rows[i][:-1]) | (at[i][1:] != at[i][:-1] + 1)
+    opens[:: _N // 2] = True  # a run's length must fit its field
+    first = np.flatnonzero(opens)
+    length = np.diff(np.append(first, len(i)))
+    run, one = i[first], np.flatnonzero(~known)
+    place = np.concatenate([at[one] * _N + 1, at[run] * _N + length])
+    sent = np.concatenate([key[one], _spread(key[run], at[run])])
+    weights = np.concatenate([np.ones(len(one), np.int8), np.full(len(run), 2, np.int8)])
+    return _rows(ids, np.concatenate([rows[one], rows[run]]), place, sent, weights, hubs)
+
+
 def _parse(docs: DataFrame, width: int) -> DataFrame:
-    """A row per phrase (under the hash of the text after it; whole: the hash of all that its starts reach) and per start
-    without a trigger (under its string's hash, with 0 for the number of starts)."""
+    """A row per phrase, under the hash of the text after it (whole: the hash of all that its starts reach), and rows without a
+    phrase for starts that no trigger follows, under their strings' hashes. place: the first start, and how many."""
     _, parse = _reach(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch, i, j, data, offsets in blocks(batches):
             ranges = Ranges(data)
             marks, lo, hi, rows, free, free_rows = _phrases(ranges, offsets, width)
-            key = np.concatenate([ranges.of(marks, marks + parse), mix(ranges.of(free, free + width))])
-            whole = np.concatenate([mix(ranges.of(lo, hi + width) + (marks - lo).astype(np.uint64)), np.zeros(len(free), np.uint64)])
-            all_rows = np.concatenate([rows, free_rows])
-            place = (np.concatenate([lo, free]) - offsets[all_rows]) * _N + np.concatenate([hi - lo + 1, np.zeros(len(free), np.int64)])
             ids = {c: batch.column(c)[i:j] for c in ("doc_id", "th")}
-            yield _sent(key, ids, all_rows, place, whole)
+            whole = mix(ranges.of(lo, hi + width) + (marks - lo).astype(np.uint64))
+            yield _send_phrases(ranges.of(marks, marks + parse), whole, ids, rows, (lo - offsets[rows]) * _N + hi - lo + 1)
+            yield _send_starts(mix(ranges.of(free, free + width)), ids, free_rows, free - offsets[free_rows])
 
     return map_batches(docs, ROWS, run)
 
@@ -128,7 +151,7 @@ def _starts(docs: DataFrame, width: int) -> DataFrame:
             key = mix(ranges.of(begin, begin + width))
             once = np.repeat(often, n) == 1
             ids = {c: batch.column(c)[i:j] for c in ("doc_id", "th")}
-            yield _sent(key[once], ids, row[once], at[once] * _N + 1, settled=key[~once])
+            yield _send_starts(key[once], ids, row[once], at[once], settled=key[~once])
 
     return map_batches(docs, ROWS, run)
 
@@ -136,9 +159,8 @@ def _starts(docs: DataFrame, width: int) -> DataFrame:
 def _runs(docs: DataFrame, width: int) -> DataFrame:
     """Per document: doc_id, th and runs: (place of a start * _N + number of starts from there) of repeated strings."""
     live = stage(_repeated(_parse(docs.select("doc_id", "th", "text"), width)), "repeats-live")
-    place, n = F.floor(F.col("place") / _N), F.col("place") % _N
-    free = live.filter(n == 0).select("doc_id", "th", (place * _N + 1).cast("long").alias("place"))
-    phrases = live.filter(n > 0)
+    free = live.filter("phrase is null").select("doc_id", "th", "place")
+    phrases = live.filter("phrase is not null")
     wholes = phrases.groupBy("phrase", "whole").agg(F.count("*").alias("often"), F.min(F.struct("doc_id", "th", "place")).alias("one"))
     wholes = stage(wholes, "repeats-wholes")
     settled = phrases.join(wholes.filter("often > 1").select("phrase", "whole"), ["phrase", "whole"], "left_semi").select("doc_id", "th", "place")
