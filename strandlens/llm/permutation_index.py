@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .frames import map_batches, stage
 
 PIVOTS = 256  # vectors of the sample that serves as pivots, at most
-NEAREST = 64  # pivots in a vector's order
+NEAREST = 48  # pivots in a vector's order
 SHARE = 0.25  # of a slice's vectors, ranked again
 QUERIES = 1024  # about so many queries are answered together
 SLICES = 24  # parts of the vectors; each gives its own best for each query
