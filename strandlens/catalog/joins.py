@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.timing import bucket, utc_to_local
+from ..functions.timing import utc_to_local
 from ..operators import intervals as I
 from ..operators import ordered as O
 from ..operators import reports as R
@@ -20,6 +20,7 @@ from .tables import (
     SPEC,
     STRAND_CASTINGS,
     castings,
+    fitted,
     seq_bounds,
     signal,
     strand_castings,
@@ -27,7 +28,6 @@ from .tables import (
 )
 
 DAY = 86_400
-GAP_CHUNK = 6 * 3_600
 GAP_SECONDS = 1200
 
 GAPS = f"""gaps AS (
@@ -40,7 +40,7 @@ GAPS = f"""gaps AS (
 def deltas(spark, sf):
     """Steps between neighbouring rows of all strands together."""
     rows = table(spark, sf, "events").select("ts", "event_id")
-    return O.time_deltas(rows, [], ["ts", "event_id"], bucket("ts", GAP_CHUNK))
+    return O.time_deltas(rows, [], ["ts", "event_id"], fitted(spark, sf, ()).chunk())
 
 
 def long_gaps(spark, sf):

@@ -23,6 +23,10 @@ from .tables import (
     windows_table,
 )
 
+# The number that samples order keys by.
+PLACE = "('0x' || substr(md5(concat_ws('|', 42, {})), 1, 15))::BIGINT"
+LINEITEM_DOUBLES = "l_quantity l_extendedprice l_discount l_tax"
+
 EVENTS_SQL = "SELECT event_id, ts, user_id, event_type, value, props FROM events"
 
 
@@ -451,17 +455,26 @@ def normal_only(spark, sf):
     return windows_table(spark, sf).filter(F.col("label") == L.NORMAL).select("seq_id", "sigma")
 
 
-@query("sample_fraction")
+@query("sample_fraction", f"SELECT * FROM events WHERE {PLACE.format('event_id')} % 1000000 < 250000", "value")
 def sample_fraction_query(spark, sf):
     return sample_fraction(table(spark, sf, "events"), ["event_id"], 0.25, 42)
 
 
-@query("sample_about")
+@query(
+    "sample_about",
+    f"""SELECT * FROM lineitem WHERE {PLACE.format('l_orderkey, l_linenumber')} % 1000000
+          < LEAST(1.0::DOUBLE, 10000::DOUBLE / (SELECT COUNT(*) FROM lineitem)::DOUBLE) * 1000000""",
+    LINEITEM_DOUBLES,
+)
 def sample_about_query(spark, sf):
     return sample_about(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], 10_000, 42)
 
 
-@query("sample_cap")
+@query(
+    "sample_cap",
+    f"SELECT * FROM lineitem ORDER BY {PLACE.format('l_orderkey, l_linenumber')}, l_orderkey, l_linenumber LIMIT 10000",
+    LINEITEM_DOUBLES,
+)
 def sample_cap_query(spark, sf):
     return sample_cap(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], 10_000, 42)
 

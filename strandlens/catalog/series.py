@@ -16,7 +16,7 @@ from ..sources.sinks import stage
 from .joins import GAPS, deltas, long_gaps
 from .registry import query
 from .sequences import FLAGS_SQL
-from .tables import CFG, SIGNAL, SPEC, signal, table
+from .tables import CFG, SIGNAL, SPEC, fitted, signal, table
 
 DAY = 86_400
 STEP = 0.01
@@ -153,7 +153,7 @@ def downsample_first_known(spark, sf):
 )
 def compressed_index(spark, sf):
     rows = signal(spark, sf).select("strand", "ts", "event_id")
-    return O.with_position(rows, SPEC.keys, SPEC.order, SPEC.chunk()).drop("ts")
+    return O.with_position(rows, SPEC.keys, SPEC.order, fitted(spark, sf).chunk()).drop("ts")
 
 
 @query(
@@ -164,7 +164,7 @@ def compressed_index(spark, sf):
 )
 def every_kth(spark, sf):
     rows = signal(spark, sf).select("strand", "ts", "event_id", "level")
-    return O.every_kth(rows, SPEC.keys, SPEC.order, SPEC.chunk(), 7).drop("ts")
+    return O.every_kth(rows, SPEC.keys, SPEC.order, fitted(spark, sf).chunk(), 7).drop("ts")
 
 
 def _cut_sql(source: str, gap: float) -> str:
@@ -182,7 +182,7 @@ def _cut_sql(source: str, gap: float) -> str:
 )
 def segment_gaps(spark, sf):
     rows = signal(spark, sf).select("strand", "ts", "event_id")
-    return O.segment_by_gaps(rows, SPEC.keys, SPEC.order, SPEC.chunk(), 3600).drop("ts")
+    return O.segment_by_gaps(rows, SPEC.keys, SPEC.order, fitted(spark, sf).chunk(), 3600).drop("ts")
 
 
 def _rounded_sql(source: str, value: str, scale: float) -> str:
@@ -202,7 +202,7 @@ def hysteresis_round(spark, sf):
     rows = signal(spark, sf).select(
         "strand", "ts", "event_id", (F.col("speed") / 1000.0).alias("x")
     )
-    out = O.hysteresis_round(rows, SPEC.keys, SPEC.order, SPEC.chunk(), "x", "r")
+    out = O.hysteresis_round(rows, SPEC.keys, SPEC.order, fitted(spark, sf).chunk(), "x", "r")
     return out.drop("ts")
 
 
@@ -216,7 +216,7 @@ def hysteresis_round(spark, sf):
 def run_groups(spark, sf):
     rows = signal(spark, sf).select("strand", "ts", "event_id", "user_id", "level")
     return O.run_groups(
-        rows, SPEC.keys, SPEC.order, SPEC.chunk(), F.col("user_id") % 4 != 0, "level", 60, 5
+        rows, SPEC.keys, SPEC.order, fitted(spark, sf).chunk(), F.col("user_id") % 4 != 0, "level", 60, 5
     ).select("strand", "event_id", "run")
 
 
@@ -237,7 +237,7 @@ def run_groups(spark, sf):
 def spike_clean(spark, sf):
     rows = signal(spark, sf).select("strand", "ts", "event_id", "level")
     return O.spike_clean(
-        rows, SPEC.keys, SPEC.order, SPEC.chunk(), "level", "clean", jump=20.0
+        rows, SPEC.keys, SPEC.order, fitted(spark, sf).chunk(), "level", "clean", jump=20.0
     ).drop("ts")
 
 
@@ -247,7 +247,7 @@ def _active(spark, sf):
 
 def starts(spark, sf):
     return W.segmented_starts(
-        _active(spark, sf), SPEC.keys, SPEC.order, SPEC.chunk(), SPEC.speed, CFG.window_size,
+        _active(spark, sf), SPEC.keys, SPEC.order, fitted(spark, sf).chunk(), SPEC.speed, CFG.window_size,
         CFG.speed_threshold, SPEC.currents, CFG.current_threshold, CFG.max_gap_seconds,
     )
 
@@ -380,20 +380,20 @@ def pipeline_labels(spark, sf):
     "break_windows",
     f"""WITH RECURSIVE {SIGNAL}, e AS (
           SELECT strand, speed, ROW_NUMBER() OVER (PARTITION BY strand ORDER BY ts, event_id) - 1 AS pos,
-                 COUNT(*) OVER (PARTITION BY strand) AS n
-          FROM (SELECT *, MIN(ts) OVER (PARTITION BY strand) AS t0 FROM signal) WHERE ts <= t0 + INTERVAL 3 DAY),
-        v AS (SELECT strand, n, pos, (SELECT MIN(b.pos) FROM e b WHERE b.strand = a.strand AND b.pos BETWEEN a.pos AND a.pos + 7
-                                 AND ABS(b.speed - a.speed) > 60) AS break_pos FROM e a WHERE pos + 8 <= n),
+                 COUNT(*) OVER (PARTITION BY strand) AS n FROM signal),
+        l AS (SELECT *, list(speed) OVER (PARTITION BY strand ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS vs FROM e),
+        v AS (SELECT strand, pos, pos - 1 + list_position([abs(x - speed) > 60 FOR x IN vs], true) AS break_pos FROM l WHERE pos + 8 <= n),
         walk AS (SELECT strand, 0 AS window_no, pos, break_pos FROM v WHERE pos = 0
           UNION ALL SELECT v.strand, w.window_no + 1, v.pos, v.break_pos FROM walk w JOIN v ON v.strand = w.strand
-            AND v.pos = CASE WHEN w.break_pos IS NULL THEN w.pos + 8 ELSE w.break_pos + 1 END WHERE w.window_no < 11)
+            AND v.pos = CASE WHEN w.break_pos IS NULL THEN w.pos + 8 ELSE w.break_pos + 1 END)
         SELECT strand, CAST(window_no AS BIGINT) AS window_no, pos AS start_pos, CAST(break_pos AS DOUBLE) AS break_pos, break_pos IS NULL AS stable FROM walk""",
 )
 def break_windows(spark, sf):
     rows = signal(spark, sf).select("strand", "ts", "event_id", "speed")
-    return W.break_windows(
-        rows, SPEC.keys, SPEC.order, "speed", 8, 60.0, span="interval 3 days", chunk_seconds=3_600
-    ).withColumn("break_pos", F.col("break_pos").cast("double"))
+    found = W.break_windows(
+        rows, SPEC.keys, SPEC.order, "speed", 8, 60.0, chunk_seconds=fitted(spark, sf).chunk_seconds
+    )
+    return found.withColumn("break_pos", F.col("break_pos").cast("double"))
 
 
 @query(
@@ -439,7 +439,7 @@ def null_edges(spark, sf):
 @query(
     "series_window_sql",
     f"""WITH {SIGNAL} SELECT ts AS time, strand, level, width FROM signal
-        WHERE ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20' ORDER BY ts, event_id LIMIT 50000""",
+        WHERE ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20' """,
     "level width",
 )
 def series_window_sql(spark, sf):

@@ -8,11 +8,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import any_flag, disturbance_label
-from ..operators.ordered import with_position
+from ..operators.ordered import fit_chunks, with_position
 from ..spec import AnalysisConfig, SignalSpec
 
 SPEC = SignalSpec(
@@ -53,6 +56,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+CHUNK_ROWS = 2_000_000
+
+
+@lru_cache(maxsize=64)
+def _fitted(session: SparkSession, sf_dir: str, keys: tuple[str, ...], max_rows: int) -> SignalSpec:
+    rows = signal(session, sf_dir).select(*SPEC.keys, *SPEC.order)
+    return fit_chunks(rows, replace(SPEC, keys=keys), max_rows)
+
+
+def fitted(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = SPEC.keys) -> SignalSpec:
+    """The signal's roles, with chunks fitted to the rows of this folder."""
+    return _fitted(spark, sf_dir, keys, CHUNK_ROWS)
+
+
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("double")
     user, value = F.col("user_id"), F.col("value")
@@ -82,7 +99,7 @@ SIGNAL = """signal AS (
 
 def seq_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The signal cut into windows of a fixed number of rows."""
-    placed = with_position(signal(spark, sf_dir), SPEC.keys, SPEC.order, SPEC.chunk())
+    placed = with_position(signal(spark, sf_dir), SPEC.keys, SPEC.order, fitted(spark, sf_dir).chunk())
     return placed.withColumn("seq_id", F.floor(F.col("pos") / SEQ_ROWS).cast("bigint"))
 
 

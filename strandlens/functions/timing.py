@@ -49,8 +49,11 @@ def with_plain_timestamp(df: DataFrame, name: str = "plainTimeStamp") -> DataFra
 
     ``plainTimeStamp`` wins over ``dt_timestamp_utc``, which wins over
     ``TIMESTAMP``. A frame without a usable candidate comes back unchanged; a
-    string ``TIMESTAMP`` is not a usable candidate.
+    string ``TIMESTAMP`` is not a usable candidate. A time column of this name in
+    another spelling is taken under this one.
     """
+    spelled = {c.lower(): c for c in df.columns}.get(name.lower(), name)
+    df = df.withColumnRenamed(spelled, name)
     types = {f.name: f.dataType for f in df.schema.fields}
     if name in types:
         if isinstance(types[name], T.StringType):

@@ -18,18 +18,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timing import _column, bucket, hours_between
+from ..functions.timing import _column, bucket, hours_between, micros
 from ..sources.sinks import stage
 from .ordered import finish, scan
 
 _BUCKET = "_bucket"
+_LEVEL = "_level"
+LEVELS = 6
+LEVEL_RATIO = 64
 
 
 def by_bucket(intervals: DataFrame, start: str, end: str, bucket_seconds: float) -> DataFrame:
-    """Every interval once per time bucket it touches, staged."""
+    """Every interval once per time bucket it touches, staged.
+
+    Buckets have levels, each ``LEVEL_RATIO`` times as wide as the one below. An interval is listed at the lowest level
+    at which it touches about LEVEL_RATIO buckets at most, so one that lasts for ages is listed as briefly as any other."""
     valid = intervals.filter(_column(start) <= _column(end))
-    touched = F.sequence(bucket(start, bucket_seconds), bucket(end, bucket_seconds))
-    return stage(valid.withColumn(_BUCKET, F.explode(touched)), "intervals")
+    lasts = (micros(end) - micros(start)) / 1e6 / bucket_seconds
+    level = F.lit(LEVELS - 1)
+    for n in reversed(range(LEVELS - 1)):
+        level = F.when(lasts <= float(LEVEL_RATIO ** (n + 1)), n).otherwise(level)
+    width = F.element_at(F.array(*[F.lit(int(bucket_seconds * LEVEL_RATIO**n * 1e6)) for n in range(LEVELS)]), level + 1)
+    touched = F.sequence(F.floor(micros(start) / width).cast("bigint"), F.floor(micros(end) / width).cast("bigint"))
+    return stage(valid.withColumn(_LEVEL, level).withColumn(_BUCKET, F.explode(touched)), "intervals")
+
+
+def levels_of(listed: DataFrame) -> list[int]:
+    """The levels in use, LEVELS at most."""
+    return sorted(r[0] for r in listed.select(_LEVEL).distinct().collect())
 
 
 def join_points(
@@ -47,20 +63,43 @@ def join_points(
 
     Overlapping intervals repeat the point. ``extra`` is a further condition
     over the columns of both sides. Column names of the two sides must differ
-    but for ``keys``.
+    but for ``keys``. ``how``: left, inner or left_semi. A point probes the one bucket that holds it at each level in
+    use; points without time match nothing and stay out of the shuffle.
     """
-    left = points.withColumn(_BUCKET, bucket(ts, bucket_seconds))
-    right = by_bucket(intervals, start, end, bucket_seconds)
-    right = right.withColumnsRenamed({c: f"_iv_{c}" for c in [*keys, _BUCKET]})
-    match = (F.col(_BUCKET) == F.col(f"_iv_{_BUCKET}")) & _column(ts).between(
-        _column(start), _column(end)
-    )
-    for k in keys:
-        match = match & (_column(k) == _column(f"_iv_{k}"))
-    if extra is not None:
-        match = match & extra
-    joined = left.join(right, match, how)
-    return joined.drop(_BUCKET, *[f"_iv_{c}" for c in [*keys, _BUCKET]])
+    listed = by_bucket(intervals, start, end, bucket_seconds)
+    levels = levels_of(listed) or [0]
+    at = _column(ts)
+
+    def probe(rows: DataFrame, n: int, how: str) -> DataFrame:
+        left = rows.withColumn(_BUCKET, bucket(ts, bucket_seconds * LEVEL_RATIO**n))
+        right = listed.filter(F.col(_LEVEL) == n).drop(_LEVEL)
+        right = right.withColumnsRenamed({c: f"_iv_{c}" for c in [*keys, _BUCKET]})
+        match = (F.col(_BUCKET) == F.col(f"_iv_{_BUCKET}")) & at.between(_column(start), _column(end))
+        for k in keys:
+            match = match & (_column(k) == _column(f"_iv_{k}"))
+        if extra is not None:
+            match = match & extra
+        return left.join(right, match, how).drop(_BUCKET, *[f"_iv_{c}" for c in [*keys, _BUCKET]])
+
+    timed = points.filter(at.isNotNull())
+    if how == "inner" or len(levels) == 1:
+        parts = [probe(timed, n, how) for n in levels]
+    elif how == "left_semi":
+        parts = []
+        for n in levels:
+            parts.append(probe(timed, n, "left_semi"))
+            timed = probe(timed, n, "left_anti")
+    else:
+        parts = [probe(timed, n, "inner") for n in levels]
+        for n in levels:
+            timed = probe(timed, n, "left_anti")
+        parts.append(timed)
+    if how == "left":
+        parts.append(points.filter(at.isNull()))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def attach(
@@ -91,16 +130,31 @@ def overlaps_any(
     bucket_seconds: float = 3_600,
 ) -> DataFrame:
     """Spans that share an instant with any interval; ``identity`` names a span."""
-    left = by_bucket(spans, *span, bucket_seconds)
-    right = by_bucket(intervals, *bounds, bucket_seconds).select(
-        _column(bounds[0]).alias("_s"), _column(bounds[1]).alias("_e"), F.col(_BUCKET).alias("_b")
-    )
-    match = (
-        (F.col(_BUCKET) == F.col("_b"))
-        & (F.col("_s") <= _column(span[1]))
-        & (F.col("_e") >= _column(span[0]))
+    listed = by_bucket(intervals, *bounds, bucket_seconds)
+    wide = listed.select(
+        _column(bounds[0]).alias("_s"), _column(bounds[1]).alias("_e"), F.col(_BUCKET).alias("_b"), F.col(_LEVEL).alias("_l")
     )
-    return left.join(right, match, "left_semi").drop(_BUCKET).dropDuplicates(list(identity))
+    spans_ = spans.filter(_column(span[0]) <= _column(span[1]))
+    found = None
+    for n in levels_of(listed):
+        # A span meets the intervals of a level in the buckets of that level; a long span among short intervals is found
+        # from the other side, by the buckets of its own level, which the intervals' starts fall into.
+        seconds = bucket_seconds * LEVEL_RATIO**n
+        cut = by_bucket(spans_, *span, seconds)
+        for m in levels_of(cut):
+            ratio = LEVEL_RATIO**m
+            left = cut.filter(F.col(_LEVEL) == m).drop(_LEVEL)
+            right = wide.filter(F.col("_l") == n).withColumn("_b", F.floor(F.col("_b") / ratio).cast("bigint"))
+            match = (
+                (F.col(_BUCKET) == F.col("_b"))
+                & (F.col("_s") <= _column(span[1]))
+                & (F.col("_e") >= _column(span[0]))
+            )
+            hit = left.join(right, match, "left_semi").drop(_BUCKET)
+            found = hit if found is None else found.unionByName(hit)
+    if found is None:
+        return spans.limit(0)
+    return found.dropDuplicates(list(identity))
 
 
 def classify_gaps(

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import FAMILIES, WIDTH_LABELS, family_name
+from ..functions.columns import FAMILIES, WIDTH_LABELS, family_name, known
 from ..functions.labels import FLAGS, NORMAL
 from ..functions.timing import _column, hours_between
 from .quantiles import quantiles
@@ -196,16 +196,16 @@ def histogram(
 ) -> DataFrame:
     """Counts in equal bins from the smallest to the largest value, the last bin
     closed; empty bins are listed. ``weight`` counts a row several times."""
-    v = _column(value)
-    known = df.filter(v.isNotNull())
-    bounds = known.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
+    v = known(value)
+    rows = df.filter(v.isNotNull())
+    bounds = rows.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
     lo = bounds.select("lo").scalar().cast("double")
     hi = bounds.select("hi").scalar().cast("double")
     at = F.coalesce(
         F.least(F.floor(F.try_divide(v - lo, hi - lo) * bins), F.lit(bins - 1)), F.lit(0)
     ).cast("bigint")
     n = F.sum(_column(weight)) if weight else F.count(F.lit(1))
-    counts = known.groupBy(at.alias("bin")).agg(n.cast("bigint").alias("n"))
+    counts = rows.groupBy(at.alias("bin")).agg(n.cast("bigint").alias("n"))
     spine = df.sparkSession.range(bins).withColumnRenamed("id", "bin")
     step = (hi - lo) / bins
     return (
@@ -218,10 +218,10 @@ def histogram(
 
 
 def histogram_with_centre(df: DataFrame, value: str, bins: int) -> DataFrame:
-    centre = quantiles(df, [], value, {"m": 0.5})
+    centre = quantiles(df.withColumn(value, known(value)), [], value, {"m": 0.5})
     return histogram(df, value, bins).withColumns(
         {
-            "mean": df.agg(F.avg(_column(value))).scalar(),
+            "mean": df.agg(F.avg(known(value))).scalar(),
             "median": centre.select("m").scalar(),
         }
     )
@@ -229,36 +229,32 @@ def histogram_with_centre(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 def density_2d(df: DataFrame, x: str, y: str, bins_x: int, bins_y: int) -> DataFrame:
     """Counts of the filled cells of an equal grid over both ranges."""
-    known = df.filter(_column(x).isNotNull() & _column(y).isNotNull())
-    bounds = known.agg(
-        F.min(_column(x)).alias("x0"),
-        F.max(_column(x)).alias("x1"),
-        F.min(_column(y)).alias("y0"),
-        F.max(_column(y)).alias("y1"),
+    rows = df.filter(known(x).isNotNull() & known(y).isNotNull())
+    bounds = rows.agg(
+        F.min(known(x)).alias("x0"),
+        F.max(known(x)).alias("x1"),
+        F.min(known(y)).alias("y0"),
+        F.max(known(y)).alias("y1"),
     )
 
     def cell(c: str, low: str, high: str, bins: int) -> Column:
         a = bounds.select(low).scalar().cast("double")
         b = bounds.select(high).scalar().cast("double")
-        at = F.floor(F.try_divide(_column(c) - a, b - a) * bins)
+        at = F.floor(F.try_divide(known(c) - a, b - a) * bins)
         return F.coalesce(F.least(at, F.lit(bins - 1)), F.lit(0)).cast("bigint")
 
-    return known.groupBy(
+    return rows.groupBy(
         cell(x, "x0", "x1", bins_x).alias("x_bin"), cell(y, "y0", "y1", bins_y).alias("y_bin")
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _as_double(c: str) -> Column:
-    return _column(c).cast("double")
-
-
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair over the rows that have both, from one
     aggregation."""
     pairs = list(combinations(range(len(columns)), 2))
     row = df.agg(
         *[
-            F.corr(_as_double(columns[i]), _as_double(columns[j])).alias(f"c_{i}_{j}")
+            F.corr(known(columns[i]), known(columns[j])).alias(f"c_{i}_{j}")
             for i, j in pairs
         ]
     )
@@ -271,7 +267,7 @@ def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def corr_target(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
-    row = df.agg(*[F.corr(_as_double(c), _as_double(target)).alias(c) for c in columns])
+    row = df.agg(*[F.corr(known(c), known(target)).alias(c) for c in columns])
     return row.unpivot([], list(columns), "parameter", "corr")
 
 
@@ -282,11 +278,11 @@ def quality_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         *[
             F.struct(
                 F.lit(c).alias("parameter"),
-                ((total - F.count(_column(c))) * 100.0 / total).alias("missing_pct"),
-                F.avg(_as_double(c)).alias("mean"),
-                F.stddev_samp(_as_double(c)).alias("std"),
-                F.min(_as_double(c)).alias("min"),
-                F.max(_as_double(c)).alias("max"),
+                ((total - F.count(known(c))) * 100.0 / total).alias("missing_pct"),
+                F.avg(known(c)).alias("mean"),
+                F.stddev_samp(known(c)).alias("std"),
+                F.min(known(c)).alias("min"),
+                F.max(known(c)).alias("max"),
             ).alias(f"q{i}")
             for i, c in enumerate(columns)
         ]

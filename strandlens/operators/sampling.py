@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timing import _column
 
 _GRAIN = 1_000_000
 _RANGE_BITS = 20
+_PLACE_BITS = 60
+
+
+def _place(key: Sequence[str], seed: int) -> Column:
+    """A number below 2^60 from the MD5 of seed and key, which any engine can work out again."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed), *[_column(c).cast("string") for c in key]))
+    return F.conv(F.substring(digest, 1, _PLACE_BITS // 4), 16, 10).cast("bigint")
 
 
 def top_rows(df: DataFrame, by: str, tiebreak: Sequence[str], k: int) -> DataFrame:
@@ -28,15 +35,13 @@ def edges(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
 def sample_fraction(df: DataFrame, key: Sequence[str], fraction: float, seed: int) -> DataFrame:
     """A share of the rows that depends only on their key and the seed, so a
     lost task picks the same rows again."""
-    place = F.pmod(F.xxhash64(F.lit(seed), *[_column(c) for c in key]), F.lit(_GRAIN))
-    return df.filter(place < int(fraction * _GRAIN))
+    return df.filter(_place(key, seed) % _GRAIN < int(fraction * _GRAIN))
 
 
 def sample_about(df: DataFrame, key: Sequence[str], rows: int, seed: int) -> DataFrame:
     """About ``rows`` rows: the share that the row count calls for."""
     share = F.least(F.lit(1.0), rows / df.agg(F.count(F.lit(1))).scalar())
-    place = F.pmod(F.xxhash64(F.lit(seed), *[_column(c) for c in key]), F.lit(_GRAIN))
-    return df.filter(place < share * _GRAIN)
+    return df.filter(_place(key, seed) % _GRAIN < share * _GRAIN)
 
 
 def sample_cap(df: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:
@@ -47,9 +52,8 @@ def sample_cap(df: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFram
     tell which ranges are taken whole; only the one range in which the cap falls
     is sorted, so no more than a millionth of the rows meets in one task.
     """
-    place = F.xxhash64(F.lit(seed), *[_column(c) for c in key])
-    hashed = df.withColumn("_hash", place).withColumn(
-        "_range", F.shiftrightunsigned("_hash", 64 - _RANGE_BITS)
+    hashed = df.withColumn("_hash", _place(key, seed)).withColumn(
+        "_range", F.shiftrightunsigned("_hash", _PLACE_BITS - _RANGE_BITS)
     )
     upto = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
     counts = hashed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))

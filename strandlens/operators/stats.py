@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import present
+from ..functions.columns import known, present
 from ..functions.timing import _column, minutes_between
 from ..spec import SignalSpec
 from .detectors import samples
@@ -58,8 +58,8 @@ def unique_or_multiple(c: str | Column) -> Column:
 
 
 def strict_ptp(c: str | Column) -> Column:
-    """Range that is null when any value is."""
-    x = _column(c)
+    """Range that is null when any value is missing."""
+    x = known(c)
     return F.when(F.count(x) == F.count(F.lit(1)), F.max(x) - F.min(x))
 
 
@@ -68,15 +68,15 @@ def sequence_stats(
 ) -> DataFrame:
     """Statistics per window, from the raw values. ``keep_samples`` adds the
     level samples as an array column for the detectors, in the same pass."""
-    ts, level = _column(spec.ts), _column(spec.level)
+    ts, level = _column(spec.ts), known(spec.level)
     have = set(rows.columns)
     aggs = [
         F.min(ts).alias("Seq_time_Start"),
         F.max(ts).alias("Seq_time_End"),
         F.count(F.lit(1)).alias("Seq_num_samples"),
-        F.avg(_column(spec.speed)).alias("CASTING_SPEED_avg [m/min]"),
-        F.avg(_column(spec.width)).alias("MOLD_WIDTH_avg [m]"),
-        (F.avg(_column(spec.depth)) * 1000).alias("SEN_avg [mm]"),
+        F.avg(known(spec.speed)).alias("CASTING_SPEED_avg [m/min]"),
+        F.avg(known(spec.width)).alias("MOLD_WIDTH_avg [m]"),
+        (F.avg(known(spec.depth)) * 1000).alias("SEN_avg [mm]"),
         F.avg(level).alias("MOLD_LEVEL_avg [mm]"),
         F.stddev_samp(level).alias("MOLD_LEVEL_std [mm]"),
         strict_ptp(spec.level).alias("ptp_mm"),
@@ -89,13 +89,15 @@ def sequence_stats(
 
 
 def current_name(column: str) -> str:
-    return column.replace(" ", "_").replace("EMBR_Current_", "")
+    """The words of a current's column behind what all of them begin with."""
+    words = column.split(" ")
+    return "_".join(words[2:] if words[:2] == ["EMBR", "Current"] else words)
 
 
 def sequence_stats_extended(rows: DataFrame, keys: Sequence[str], spec: SignalSpec) -> DataFrame:
     """The statistics with duration, spreads, extremes, gas and currents."""
     have = set(rows.columns)
-    ts, level = _column(spec.ts), _column(spec.level)
+    ts, level = _column(spec.ts), known(spec.level)
     aggs = {
         "Seq_time_Start": F.min(ts),
         "Seq_time_End": F.max(ts),
@@ -107,23 +109,23 @@ def sequence_stats_extended(rows: DataFrame, keys: Sequence[str], spec: SignalSp
         ("SEN", "mm", spec.depth, 1000),
         ("MOLD_LEVEL", "mm", spec.level, 1),
     ):
-        aggs[f"{label}_avg [{unit}]"] = F.avg(_column(c)) * scale
-        aggs[f"{label}_std [{unit}]"] = F.stddev_samp(_column(c)) * scale
+        aggs[f"{label}_avg [{unit}]"] = F.avg(known(c)) * scale
+        aggs[f"{label}_std [{unit}]"] = F.stddev_samp(known(c)) * scale
     aggs["MOLD_LEVEL_min [mm]"] = F.min(level)
     aggs["MOLD_LEVEL_max [mm]"] = F.max(level)
     aggs["ptp_mm"] = F.max(level) - F.min(level)
     if have.issuperset(spec.gas):
         total = F.lit(0.0)
         for g in spec.gas:
-            total = total + F.avg(_column(g))
+            total = total + F.avg(known(g))
         aggs["ArFlow_avg [NL/min]"] = total
     else:
         aggs["ArFlow_avg [NL/min]"] = F.lit(None).cast("double")
     if spec.quality in have:
         aggs["Quality casting"] = modal(spec.quality)
     for c in present(rows, spec.currents):
-        aggs[f"{current_name(c)}_avg [A]"] = F.avg(_column(c))
-        aggs[f"{current_name(c)}_std [A]"] = F.stddev_samp(_column(c))
+        aggs[f"{current_name(c)}_avg [A]"] = F.avg(known(c))
+        aggs[f"{current_name(c)}_std [A]"] = F.stddev_samp(known(c))
     out = rows.groupBy(*[_column(k) for k in keys]).agg(*[v.alias(k) for k, v in aggs.items()])
     return out.withColumn("Seq_duration_min", minutes_between("Seq_time_Start", "Seq_time_End"))
 
@@ -138,21 +140,21 @@ def sequence_stats_manual(
     """Statistics with current extremes and the spread of the gas total; depth
     is not rescaled. ``currents`` maps a column to its display name."""
     ts = _column(spec.ts)
-    gas = _column(spec.gas[0])
+    gas = known(spec.gas[0])
     for g in spec.gas[1:]:
-        gas = gas + _column(g)
+        gas = gas + known(g)
     aggs = {"Seq_time_Start": F.min(ts), "Seq_time_End": F.max(ts)}
     for label, unit, c in (
-        ("SEN", "mm", _column(spec.depth)),
-        ("CASTING_SPEED", "m/min", _column(spec.speed)),
-        ("MOLD_WIDTH", "m", _column(spec.width)),
-        ("MOLD_LEVEL", "mm", _column(spec.level)),
+        ("SEN", "mm", known(spec.depth)),
+        ("CASTING_SPEED", "m/min", known(spec.speed)),
+        ("MOLD_WIDTH", "m", known(spec.width)),
+        ("MOLD_LEVEL", "mm", known(spec.level)),
         ("ArFlow", "NL/min", gas),
     ):
         aggs[f"{label}_avg [{unit}]"] = F.avg(c)
         aggs[f"{label}_std [{unit}]"] = F.stddev_samp(c)
     for column, label in currents.items():
-        c = _column(column)
+        c = known(column)
         aggs[f"min {label} [A]"] = F.min(c)
         aggs[f"mean {label} [A]"] = F.avg(c)
         aggs[f"max {label} [A]"] = F.max(c)

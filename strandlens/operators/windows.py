@@ -11,15 +11,19 @@ rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.timing import _column, bucket
 from .ordered import BLOCK, finish, halo_blocks, scan, segment_by_gaps, with_position
 
-PIECE_ROWS = 1 << 20
+# Lists of runs and picks grow inside a fold by copying, so a piece is kept short.
+PIECE_ROWS = 1 << 14
 
 
 def steady_starts(
@@ -119,6 +123,37 @@ def _after_run(free: Column, run: Column, window: int) -> Column:
     return F.when(first <= run["b"], first + taken * window).otherwise(free)
 
 
+def chain_entries(tables: DataFrame, group: Sequence[str], restart: bool) -> DataFrame:
+    """(group, _piece, _entry): the offset at which a walk enters each piece.
+
+    ``_leave`` lists, per offset of entry, the offset in the next piece, -1 where the walk ends. The pieces of a group are
+    read one after the other and only the current offset is held. A piece whose predecessor is missing is entered at 0 with
+    ``restart``; without, only piece 0 is, and pieces behind the end of the walk are left out.
+    """
+    group = list(group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, following, offset = None, -1, 0
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in group)))
+            pieces = batch.column("_piece").to_pylist()
+            entries = []
+            for i, (key, piece) in enumerate(zip(keys, pieces)):
+                linked = key == at and piece == following
+                entry = offset if linked else 0 if restart or piece == 0 else -1
+                entries.append(entry)
+                at, following = key, piece + 1
+                offset = batch.column("_leave")[i][entry].as_py() if entry >= 0 else -1
+            kept = pa.array([e >= 0 for e in entries])
+            made = [*(batch.column(c) for c in group), batch.column("_piece"), pa.array(entries, pa.int32())]
+            yield pa.RecordBatch.from_arrays(made, names=[*group, "_piece", "_entry"]).filter(kept)
+
+    columns = [*[_column(g) for g in group], F.col("_piece"), F.col("_leave")]
+    dealt = tables.select(*columns).repartition(*columns[: len(group)]).sortWithinPartitions(*columns[:-1])
+    schema = tables.select(*columns[:-1], F.lit(0).alias("_entry")).schema
+    return dealt.mapInArrow(run, schema)
+
+
 def pick_windows(
     starts: DataFrame,
     keys: Sequence[str],
@@ -182,34 +217,10 @@ def pick_windows(
             F.lit(0),
         ).cast("int"),
     )
-    tables = (
-        pieces.join(long_segments, [*keys, segment], "left_semi")
-        .select(*group, F.struct(F.col("_piece").alias("piece"), leave.alias("leave")).alias("t"))
-        .groupBy(*group)
-        .agg(F.sort_array(F.collect_list("t")).alias("_tables"))
-    )
-
-    def step(state: Column, t: Column) -> Column:
-        linked = (t["piece"] == state["next"]) & (t["piece"] > 0)
-        entry = F.when(linked, state["offset"]).otherwise(F.lit(0))
-        left = F.element_at(t["leave"], entry + 1)
-        return F.struct(
-            (t["piece"] + 1).alias("next"),
-            left.alias("offset"),
-            F.concat(
-                state["entries"],
-                F.array(F.struct(t["piece"].alias("_piece"), entry.alias("_entry"))),
-            ).alias("entries"),
-        )
-
-    begin = F.expr(
-        "named_struct('next', 0L, 'offset', 0,"
-        " 'entries', cast(array() as array<struct<_piece: bigint, _entry: int>>))"
-    )
-    chained = F.aggregate(F.col("_tables"), begin, step, lambda s: s["entries"])
-    entries = tables.select(*group, F.explode(chained).alias("_e")).select(
-        *group, "_e._piece", "_e._entry"
+    tables = pieces.join(long_segments, [*keys, segment], "left_semi").select(
+        *group, "_piece", leave.alias("_leave")
     )
+    entries = chain_entries(tables, [*keys, segment], restart=True)
 
     def take(state: Column, run: Column) -> Column:
         first = F.greatest(state["free"], run["a"])
@@ -326,6 +337,16 @@ def abnormal_starts(
     return window_rows(rows, picks, keys, window, pos, "left_anti")
 
 
+def _breaks(values: np.ndarray, window: int, threshold: float) -> np.ndarray:
+    """Steps from each row to the first one of its window that is off by more than ``threshold``; -1 without one."""
+    found = np.full(len(values), -1, np.int64)
+    for step in range(1, window):
+        off = np.zeros(len(values), bool)
+        off[:-step] = np.abs(values[step:] - values[:-step]) > threshold
+        found[(found < 0) & off] = step
+    return found
+
+
 def break_windows(
     rows: DataFrame,
     keys: Sequence[str],
@@ -333,67 +354,73 @@ def break_windows(
     speed: str,
     window: int,
     threshold: float,
-    max_windows: int = 12,
-    span: str = "interval 30 minutes",
-    chunk_seconds: float = 60,
+    max_windows: int | None = None,
+    span: str | None = None,
+    chunk_seconds: float = 86_400,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
-    """The first visited windows of each series when a failed window is resumed
-    behind the row that broke it.
+    """The visited windows of each series when a failed window is resumed behind the row that broke it.
 
-    Only the first ``span`` of a series is searched. The walk never gets
-    further than ``max_windows * window`` rows, so no more are gathered per
-    series.
+    The whole series is walked. ``span`` asks for the first part of each series only, ``max_windows`` for its first
+    windows. From any row the walk moves on by one to ``window`` rows, so a piece of ``piece_rows`` rows is entered at one
+    of ``window`` offsets: pieces are folded for each of them in parallel, chained, and walked once more.
     """
-    key_cols = [_column(k) for k in keys]
+    if piece_rows < window:
+        raise ValueError("a piece must hold at least one window")
+    keys = list(keys)
     ts = order[0]
-    first = rows.groupBy(*key_cols).agg(F.min(_column(ts)).alias("_t0"))
-    early = rows.join(first, list(keys)).filter(
-        _column(ts) <= F.col("_t0") + F.expr(span)
-    )
-    ranked = with_position(early, keys, order, bucket(ts, chunk_seconds), "_n").filter(
-        F.col("_n") < max_windows * window
-    )
-    values = ranked.groupBy(*key_cols).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("_n", _column(speed).alias("v")))),
-            lambda x: x["v"],
-        ).alias("_v")
-    )
-
-    n = F.size("_v")
-
-    def visit(state: Column, _i: Column) -> Column:
-        i = state["at"]
-        seen = F.slice(F.col("_v"), i + 1, window)
-        first_value = F.element_at(F.col("_v"), i + 1)
-        bad = F.array_position(
-            F.transform(
-                seen, lambda x: F.coalesce(F.abs(x - first_value) > threshold, F.lit(False))
-            ),
-            True,
-        ).cast("int")
-        found = F.array(
-            F.struct(
-                i.alias("start_pos"),
-                F.when(bad > 0, i + bad - 1).alias("break_pos"),
-                (bad == 0).alias("stable"),
-            )
-        )
-        moved = F.struct(
-            F.when(bad > 0, i + bad).otherwise(i + window).alias("at"),
-            F.concat(state["found"], found).alias("found"),
-        )
-        return F.when(i + window <= n, moved).otherwise(state)
-
-    begin = F.expr(
-        "named_struct('at', 0, 'found',"
-        " cast(array() as array<struct<start_pos: int, break_pos: int, stable: boolean>>))"
-    )
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(max_windows)), begin, visit, lambda s: s["found"])
-    return values.select(*key_cols, F.posexplode(walk).alias("window_no", "_w")).select(
-        *key_cols,
-        F.col("window_no").cast("bigint").alias("window_no"),
-        F.col("_w.start_pos").cast("bigint").alias("start_pos"),
-        F.col("_w.break_pos").cast("bigint").alias("break_pos"),
-        F.col("_w.stable").alias("stable"),
-    )
+    if span is not None:
+        first = rows.groupBy(*[_column(k) for k in keys]).agg(F.min(_column(ts)).alias("_t0"))
+        rows = rows.join(first, keys).filter(_column(ts) <= F.col("_t0") + F.expr(span)).drop("_t0")
+    placed = with_position(rows, keys, order, bucket(ts, chunk_seconds), "_n")
+    if max_windows is not None:
+        placed = placed.filter(F.col("_n") < max_windows * window)
+    value = F.coalesce(_column(speed).cast("double"), F.lit(float("nan")))
+    cut = placed.select(*[_column(k) for k in keys], "_n", value.alias("_v"))
+    blocked = halo_blocks(cut, "_n", piece_rows, after=window - 1)
+    key_schema = rows.select(*[_column(k) for k in keys]).schema
+
+    def steps(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Positions, steps to breaks, next positions (relative; beyond the series: -1) and the number of own rows."""
+        table = table.sort_by("_n")
+        pos = table.column("_n").to_numpy()
+        breaks = _breaks(table.column("_v").to_numpy(), window, threshold)
+        at = np.arange(len(pos))
+        following = np.where(breaks < 0, at + window, at + breaks + 1)
+        following[at + window > len(pos)] = -1
+        return pos, breaks, following, int(np.count_nonzero(table.column("_owned").to_numpy(zero_copy_only=False)))
+
+    def keyed(table: pa.Table, n: int) -> list[pa.Array]:
+        return [table.column(k).combine_chunks().take(pa.array([0] * n, pa.int64())) for k in keys]
+
+    def fold(table: pa.Table) -> pa.Table:
+        _, _, following, own = steps(table)
+        leave = [0] * own
+        ahead = following.tolist()
+        for i in range(own - 1, -1, -1):
+            to = ahead[i]
+            leave[i] = -1 if to < 0 else leave[to] if to < own else to - own
+        held = (leave + [-1] * window)[:window]
+        piece = table.column(BLOCK).combine_chunks()[:1]
+        return pa.Table.from_arrays([*keyed(table, 1), piece, pa.array([held], pa.list_(pa.int32()))], names=[*keys, "_piece", "_leave"])
+
+    def walk(table: pa.Table) -> pa.Table:
+        pos, breaks, following, own = steps(table)
+        at, visited = table.column("_entry")[0].as_py(), []
+        while 0 <= at < own and following[at] >= 0:
+            visited.append(at)
+            at = int(following[at])
+        i = np.array(visited, np.int64)
+        broken = pa.array(pos[i] + breaks[i], pa.int64(), mask=breaks[i] < 0)
+        made = [*keyed(table, len(i)), pa.array(pos[i], pa.int64()), broken, pa.array(breaks[i] < 0)]
+        return pa.Table.from_arrays(made, names=[*keys, "start_pos", "break_pos", "stable"])
+
+    group = [*[_column(k) for k in keys], F.col(BLOCK)]
+    pieces = T.StructType([*key_schema.fields, T.StructField("_piece", T.LongType()), T.StructField("_leave", T.ArrayType(T.IntegerType()))])
+    # A piece holds at most piece_rows + window - 1 rows.
+    tables = blocked.groupBy(*group).applyInArrow(fold, pieces)
+    entries = chain_entries(tables, keys, restart=False).withColumnRenamed("_piece", BLOCK)
+    visits = T.StructType([*key_schema.fields, T.StructField("start_pos", T.LongType()), T.StructField("break_pos", T.LongType()), T.StructField("stable", T.BooleanType())])
+    found = blocked.join(entries, [*keys, BLOCK]).groupBy(*group).applyInArrow(walk, visits)
+    numbered = number_windows(found, keys, "window_no")
+    return numbered if max_windows is None else numbered.filter(F.col("window_no") < max_windows)

@@ -20,15 +20,22 @@ def series_window(
     columns: Sequence[str],
     start: str,
     end: str,
-    limit: int = 50_000,
+    limit: int | None = None,
     tiebreak: Sequence[str] = (),
 ) -> DataFrame:
-    """The first ``limit`` rows of a time range, in time order.
+    """The rows of a time range, in time order; with ``limit`` only the first ones.
 
-    Hourly counts tell by which hour the limit is reached; rows of later hours
+    For a limit, hourly counts tell by which hour the limit is reached; rows of later hours
     are dropped at the scan and never meet in the task that sorts.
     """
     inside = f"`{ts}` BETWEEN CAST(:start_date AS TIMESTAMP_NTZ) AND CAST(:end_date AS TIMESTAMP_NTZ)"
+    if limit is None:
+        return spark.sql(
+            f"""SELECT `{ts}` AS time, {_quoted(columns)} FROM {{signal}} WHERE {inside}
+                ORDER BY {_quoted([ts, *tiebreak])}""",
+            args={"start_date": start, "end_date": end},
+            signal=signal,
+        )
     return spark.sql(
         f"""WITH hours AS (
               SELECT date_trunc('HOUR', `{ts}`) AS h, count(*) AS n FROM {{signal}} WHERE {inside} GROUP BY 1),

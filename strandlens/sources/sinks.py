@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +17,35 @@ from ..functions.columns import clean_names
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The session's own folder inside the shared one that the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset, a session in one process gets a temporary folder, removed when Python ends. On a cluster it is an
+    error: executors would each write to a disk of their own."""
+    root = spark.conf.get(CHECKPOINT_DIR, None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
+        root = _local_root()
+    return f"{root.rstrip('/')}/strandlens-{spark.sparkContext.applicationId}"
+
+
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    folder = tempfile.mkdtemp(prefix="strandlens-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder that the cluster names; a local
-    temporary folder only where none is set."""
-    root = spark.conf.get(CHECKPOINT_DIR, None) or tempfile.gettempdir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the session's scratch folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the session's scratch folder; frames that read from it can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
