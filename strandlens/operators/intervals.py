@@ -28,6 +28,11 @@ LEVELS = 6
 LEVEL_RATIO = 64
 
 
+def _width(bucket_seconds: float, level: int) -> float:
+    """Seconds of a bucket; at most what covers all times that Spark has, in one number of microseconds."""
+    return min(bucket_seconds * LEVEL_RATIO**level, 2.0**62 / 1e6)
+
+
 def by_bucket(intervals: DataFrame, start: str, end: str, bucket_seconds: float) -> DataFrame:
     """Every interval once per time bucket it touches, staged.
 
@@ -38,7 +43,7 @@ def by_bucket(intervals: DataFrame, start: str, end: str, bucket_seconds: float)
     level = F.lit(LEVELS - 1)
     for n in reversed(range(LEVELS - 1)):
         level = F.when(lasts <= float(LEVEL_RATIO ** (n + 1)), n).otherwise(level)
-    width = F.element_at(F.array(*[F.lit(int(bucket_seconds * LEVEL_RATIO**n * 1e6)) for n in range(LEVELS)]), level + 1)
+    width = F.element_at(F.array(*[F.lit(int(_width(bucket_seconds, n) * 1e6)) for n in range(LEVELS)]), level + 1)
     touched = F.sequence(F.floor(micros(start) / width).cast("bigint"), F.floor(micros(end) / width).cast("bigint"))
     return stage(valid.withColumn(_LEVEL, level).withColumn(_BUCKET, F.explode(touched)), "intervals")
 
@@ -71,7 +76,7 @@ def join_points(
     at = _column(ts)
 
     def probe(rows: DataFrame, n: int, how: str) -> DataFrame:
-        left = rows.withColumn(_BUCKET, bucket(ts, bucket_seconds * LEVEL_RATIO**n))
+        left = rows.withColumn(_BUCKET, bucket(ts, _width(bucket_seconds, n)))
         right = listed.filter(F.col(_LEVEL) == n).drop(_LEVEL)
         right = right.withColumnsRenamed({c: f"_iv_{c}" for c in [*keys, _BUCKET]})
         match = (F.col(_BUCKET) == F.col(f"_iv_{_BUCKET}")) & at.between(_column(start), _column(end))
@@ -139,8 +144,7 @@ def overlaps_any(
     for n in levels_of(listed):
         # A span meets the intervals of a level in the buckets of that level; a long span among short intervals is found
         # from the other side, by the buckets of its own level, which the intervals' starts fall into.
-        seconds = bucket_seconds * LEVEL_RATIO**n
-        cut = by_bucket(spans_, *span, seconds)
+        cut = by_bucket(spans_, *span, _width(bucket_seconds, n))
         for m in levels_of(cut):
             ratio = LEVEL_RATIO**m
             left = cut.filter(F.col(_LEVEL) == m).drop(_LEVEL)

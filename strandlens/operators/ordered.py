@@ -14,6 +14,7 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.timing import _column, micros
 from ..spec import SignalSpec
@@ -54,15 +55,34 @@ def widest_chunk(
     return fitting.agg(F.max("w")).first()[0]
 
 
+TIEBREAK = "_tie"
+
+
+def with_tiebreak(df: DataFrame, spec: SignalSpec) -> tuple[DataFrame, SignalSpec]:
+    """A total order for rows that share a timestamp: the spec's own tiebreak behind a number hashed from the whole row, so
+    that rows of one timestamp can be parted evenly whatever their columns hold. Rows equal in all columns are
+    interchangeable."""
+    if spec.tiebreak:
+        return df, spec
+    return df.withColumn(TIEBREAK, F.xxhash64(*[_column(c) for c in df.columns])), replace(spec, tiebreak=(TIEBREAK,))
+
+
 def fit_chunks(df: DataFrame, spec: SignalSpec, max_rows: int = 2_000_000) -> SignalSpec:
-    """The spec with chunks fitted to the data: as wide in time as ``max_rows``
-    allows, or parted by the tiebreak where one timestamp alone has too many."""
+    """The spec with chunks fitted to the data: as wide in time as ``max_rows`` allows, or parted by the tiebreak where one
+    timestamp alone has too many rows. The spec must name a tiebreak, an integer first (see ``with_tiebreak``)."""
+    kind = {f.name: f.dataType for f in df.schema.fields}.get(spec.tiebreak[0]) if spec.tiebreak else None
+    if not isinstance(kind, T.IntegralType):
+        raise ValueError("rows need a total order: name an integer tiebreak, or add one by with_tiebreak")
     width = widest_chunk(df, spec.keys, spec.ts, max_rows)
     if width is not None:
         return replace(spec, chunk_seconds=width, tie_width=None)
-    if spec.tiebreak:
-        return replace(spec, tie_width=max_rows)
-    return replace(spec, chunk_seconds=0.001)
+    tie = _column(spec.tiebreak[0]).cast("double")
+    at = df.groupBy(*[_column(k) for k in spec.keys], _column(spec.ts)).agg(
+        F.count(F.lit(1)).alias("n"), (F.max(tie) - F.min(tie) + 1).alias("spread")
+    )
+    # Each part of a timestamp spans as many values as its rows, evenly spread, need to stay within half the limit.
+    fine = at.filter(F.col("n") > max_rows).agg(F.min(F.col("spread") / F.col("n"))).first()[0]
+    return replace(spec, tie_width=max(1, int((fine or 1.0) * max_rows / (1 if (fine or 1.0) <= 1 else 2))))
 
 
 def scan(

@@ -17,7 +17,7 @@ from ..functions.columns import active_filter, convert_units, process_filter, pr
 from ..functions.timing import _column
 from ..operators.detectors import flag_disturbances
 from ..operators.intervals import attach
-from ..operators.ordered import fit_chunks
+from ..operators.ordered import fit_chunks, with_tiebreak
 from ..operators.reports import strand_summary, summary_report
 from ..operators.reshape import union_strands
 from ..operators.stats import downsample, sequence_stats
@@ -37,17 +37,19 @@ _ROUNDED = "_rounded_speed"
 
 
 def join_logs(temperatures: DataFrame, process: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of both logs that share their keys. A column that both logs carry
-    is taken from the temperature log."""
-    extra = [c for c in process.columns if c not in temperatures.columns or c in keys]
-    return temperatures.join(process.select(*[_column(c) for c in extra]), list(keys))
+    """Rows of both logs that share their keys. A further column that both logs carry is an error: which log's value
+    were meant can't be told."""
+    both = [c for c in process.columns if c in temperatures.columns and c not in keys]
+    if both:
+        raise ValueError(f"both logs carry {', '.join(both)}")
+    return temperatures.join(process, list(keys))
 
 
 def load_strand(spark: SparkSession, strand: StrandConfig) -> DataFrame:
     """The joined logs of one strand, in physical units."""
-    temperatures, process = read_logs(spark, strand.data_path)
+    temperatures, process = read_logs(spark, strand.logs)
     if temperatures is None or process is None:
-        raise FileNotFoundError(f"{strand.strand_name}: both logs are needed in {strand.data_path}")
+        raise FileNotFoundError(f"{strand.name}: both logs are needed in {strand.logs}")
     ts = "plainTimeStamp"
     return convert_units(join_logs(downsample(temperatures, [ts]), process, [ts]))
 
@@ -59,9 +61,9 @@ def load_strands(
     frames, failed = {}, {}
     for strand in strands:
         try:
-            frames[strand.strand_name] = load_strand(spark, strand)
-        except (FileNotFoundError, AnalysisException) as error:
-            failed[strand.strand_name] = str(error)
+            frames[strand.name] = load_strand(spark, strand)
+        except (FileNotFoundError, ValueError, AnalysisException) as error:
+            failed[strand.name] = str(error)
     return frames, failed
 
 
@@ -79,7 +81,7 @@ def clean_signal(
     ``ts_end`` and the grade.
     """
     joined = union_strands(frames)
-    numbers = F.create_map(*[F.lit(x) for s in strands for x in (s.strand_name, s.strand_number)])
+    numbers = F.create_map(*[F.lit(x) for s in strands for x in (s.name, s.number)])
     joined = joined.withColumn("Strand ID", F.element_at(numbers, F.col("strand")))
     clean = process_filter(
         joined, spec.speed, spec.depth, cfg.min_casting_speed, cfg.depth_min, cfg.depth_max
@@ -133,13 +135,38 @@ def analyze(signal: DataFrame, spec: SignalSpec, cfg: AnalysisConfig) -> dict[st
     }
 
 
+def stage_strands(
+    frames: Mapping[str, DataFrame],
+    strands: Sequence[StrandConfig],
+    castings: DataFrame,
+    spec: SignalSpec,
+    cfg: AnalysisConfig,
+) -> tuple[DataFrame, dict[str, str]]:
+    """The cleaned signal of all strands, staged strand by strand, and why some could not be: a strand whose files turn out
+    to be broken costs none of the others."""
+    whole = clean_signal(frames, strands, castings, spec, cfg)
+    spark, failed = whole.sparkSession, {}
+    path = scratch_path(spark, "signal")
+    for name in frames:
+        own = clean_signal({name: frames[name]}, strands, castings, spec, cfg)
+        missing = {f.name: F.lit(None).cast(f.dataType) for f in whole.schema.fields if f.name not in own.columns}
+        own = own.withColumns(missing).select(*[_column(f.name).cast(f.dataType).alias(f.name) for f in whole.schema.fields])
+        try:
+            write_parquet(own, path, spec.keys, "append")
+        except Exception as error:  # whatever a file's reader raises in a task
+            failed[name] = str(error).split("\n")[0]
+    if len(failed) == len(frames):
+        raise FileNotFoundError(f"no strand can be read: {failed}")
+    return spark.read.schema(whole.schema).parquet(path), failed
+
+
 def run(
     spark: SparkSession,
     strands: Sequence[StrandConfig],
     castings: DataFrame,
     spec: SignalSpec | None = None,
     cfg: AnalysisConfig | None = None,
-    export_to: str | None = None,
+    export: bool = False,
     stamp: str = "latest",
 ) -> dict[str, object]:
     """The whole analysis of all strands that can be read.
@@ -147,41 +174,42 @@ def run(
     Returns the frames ``signal``, ``sequences``, ``abnormal`` and ``summary``,
     and under ``failed`` the strands left out with the reason. The cleaned
     signal is used several times, so it is staged once, by strand, in the shared
-    scratch folder, and the chunks of ordered scans are fitted to it. With
-    ``export_to`` the windows are written as CSV and Parquet, with a report.
+    scratch folder, and the chunks of ordered scans are fitted to it. With ``export`` each strand's windows and report are
+    written to its own folder, over those of an earlier run of the same stamp.
     """
     spec, cfg = spec or SignalSpec(), cfg or AnalysisConfig()
     frames, failed = load_strands(spark, strands)
     if not frames:
         raise FileNotFoundError(f"no strand can be read: {failed}")
-    path = scratch_path(spark, "signal")
-    loaded = clean_signal(frames, strands, castings, spec, cfg)
-    write_parquet(loaded, path, spec.keys)
-    signal = spark.read.schema(loaded.schema).parquet(path)
-    spec = fit_chunks(signal, spec)
-    out = {"signal": signal, "failed": failed, **analyze(signal, spec, cfg)}
-    if export_to:
-        out["sequences"] = export(out["sequences"], export_to, stamp, spec, cfg)
+    signal, broken = stage_strands(frames, strands, castings, spec, cfg)
+    ordered, spec = with_tiebreak(signal, spec)
+    spec = fit_chunks(ordered, spec)
+    out = {"signal": signal, "failed": failed | broken, **analyze(ordered, spec, cfg)}
+    if export:
+        out["sequences"] = stage(out["sequences"], "sequences")
+        for strand in strands:
+            if strand.name not in out["failed"]:
+                export_strand(out["sequences"], strand, stamp, spec, cfg)
     sigma, label = "MOLD_LEVEL_std [mm]", "disturbance_type"
     out["summary"] = strand_summary(out["sequences"], spec.keys, sigma, label, cfg.stable_sigma)
     return out
 
 
-def export(
-    sequences: DataFrame, folder: str, stamp: str, spec: SignalSpec, cfg: AnalysisConfig
-) -> DataFrame:
-    """Write the windows as Parquet, and from that as CSV and as a report."""
-    base = f"{folder.rstrip('/')}/sequence_statistics_{stamp}"
-    write_parquet(sequences, f"{base}.parquet", spec.keys)
-    written = sequences.sparkSession.read.schema(sequences.schema).parquet(f"{base}.parquet")
-    write_csv(written, f"{base}.csv")
+def export_strand(
+    sequences: DataFrame, strand: StrandConfig, stamp: str, spec: SignalSpec, cfg: AnalysisConfig
+) -> None:
+    """One strand's windows as Parquet and CSV, and its report, in the strand's folder."""
+    own = sequences.filter(_column(spec.keys[0]) == strand.name)
+    base = f"{strand.folder}/sequence_statistics_strand{strand.number}_{stamp}"
+    write_parquet(own, f"{base}.parquet", mode="overwrite")
+    write_csv(own, f"{base}.csv", mode="overwrite")
     report = summary_report(
-        written, "MOLD_LEVEL_std [mm]", "disturbance_type", cfg.stable_sigma,
+        own, "MOLD_LEVEL_std [mm]", "disturbance_type", cfg.stable_sigma,
         {
             "Casting Speed [m/min]": ("CASTING_SPEED_avg [m/min]", None),
             "Mold Width [m]": ("MOLD_WIDTH_avg [m]", None),
             "SEN Depth [mm]": ("SEN_avg [mm]", None),
         },
     )
-    write_report(report, f"{folder.rstrip('/')}/summary_report_{stamp}.txt", "Analysis Summary")
-    return written
+    title = f"Analysis Summary, {strand.name}"
+    write_report(report, f"{strand.folder}/summary_report_{stamp}.txt", title, mode="overwrite")

@@ -38,20 +38,27 @@ def test_two_strands_end_to_end(spark, tmp_path):
     write_strand(tmp_path / "s5", lambda i: 100.0 + (i % 3) * 0.1)
     write_strand(tmp_path / "s6", lambda i: 100.0 + (20.0 if 20 <= i < 60 else 0.0))
     strands = [
-        StrandConfig("23_5", "Strand 23-5", str(tmp_path / "s5"), "/out"),
-        StrandConfig("23_6", "Strand 23-6", str(tmp_path / "s6"), "/out"),
-        StrandConfig("23_7", "Strand 23-7", str(tmp_path / "absent"), "/out"),
+        StrandConfig(5, "Strand 23-5", str(tmp_path / "s5"), str(tmp_path / "out")),
+        StrandConfig(6, "Strand 23-6", str(tmp_path / "s6"), str(tmp_path / "out")),
+        StrandConfig(7, "Strand 23-7", str(tmp_path / "absent"), str(tmp_path / "out")),
+        StrandConfig(8, "Strand 23-8", str(tmp_path / "s8"), str(tmp_path / "out")),
     ]
+    # A file that looks sound by its end, with pages that can't be read.
+    write_strand(tmp_path / "s8", lambda i: 100.0)
+    data = bytearray((tmp_path / "s8" / "dtExpert.parquet").read_bytes())
+    data[4 : len(data) // 2] = b"\xff" * (len(data) // 2 - 4)
+    (tmp_path / "s8" / "dtExpert.parquet").write_bytes(bytes(data))
     castings = spark.createDataFrame(
         [(5, T0, T0 + timedelta(seconds=100), "1A"), (6, T0, T0 + timedelta(hours=1), "3B")],
         "`Strand ID` int, ts_start timestamp, ts_end timestamp, `Quality casting` string",
     )
     cfg = AnalysisConfig(window_size=100)
-    out = pipeline.run(spark, strands, castings, cfg=cfg, export_to=str(tmp_path / "out"))
+    pipeline.run(spark, strands[:1], castings, cfg=cfg, export=True)
+    out = pipeline.run(spark, strands, castings, cfg=cfg, export=True)
     rows = out["sequences"].orderBy("strand", "Seq_Name").collect()
     # Row 250 is inactive; one second is missing there, which is no gap.
     assert [(r.strand, r.Seq_Name) for r in rows] == [
-        (s.strand_name, f"seq_{i:04d}") for s in strands[:2] for i in range(3)
+        (s.name, f"seq_{i:04d}") for s in strands[:2] for i in range(3)
     ]
     assert [r["Quality casting"] for r in rows] == ["1A", "1A", None, "3B", "3B", "3B"]
     assert [r.disturbance_type for r in rows] == ["Normal"] * 3 + [
@@ -61,9 +68,12 @@ def test_two_strands_end_to_end(spark, tmp_path):
     assert all(r.Seq_num_samples == 100 for r in rows)
     # 399 active rows: after three windows 99 are left, too few for another.
     assert out["abnormal"].count() == 0
-    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "sequence_statistics_latest.csv")).count() == 6
-    assert list(out["failed"]) == ["Strand 23-7"]
+    for n in (5, 6):
+        folder = tmp_path / "out" / f"strand_{n}"
+        assert spark.read.option("header", True).csv(str(folder / f"sequence_statistics_strand{n}_latest.csv")).count() == 3
+    assert sorted(out["failed"]) == ["Strand 23-7", "Strand 23-8"]
     totals = {(r.strand, r.sequences, r.stable_sequences) for r in out["summary"].collect()}
     assert totals == {("Strand 23-5", 3, 3), ("Strand 23-6", 3, 2)}
-    lines = [r.value for r in spark.read.text(str(tmp_path / "out" / "summary_report_latest.txt")).collect()]
-    assert lines[0] == "Analysis Summary" and "Stability / Stable: 5.000 (83.3%)" in lines
+    report = tmp_path / "out" / "strand_6" / "summary_report_latest.txt"
+    lines = [r.value for r in spark.read.text(str(report)).collect()]
+    assert lines[0] == "Analysis Summary, Strand 23-6" and "Stability / Stable: 2.000 (66.7%)" in lines

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -194,10 +195,38 @@ def test_break_windows_resume_behind_the_break(spark):
     ]
 
 
+def test_break_windows_over_the_whole_series_in_any_pieces(spark):
+    rng = random.Random(7)
+    v = [None if rng.random() < 0.05 else float(rng.randint(0, 3)) for _ in range(400)]
+    want, at = [], 0
+    while at + 5 <= len(v):
+        off = [j for j in range(at, at + 5) if v[at] is not None and v[j] is not None and abs(v[j] - v[at]) > 1]
+        want.append((at, off[0] if off else None, not off))
+        at = off[0] + 1 if off else at + 5
+    for piece in (5, 16, 1000):
+        out = W.break_windows(series(spark, v), KEYS, ORDER, "v", 5, 1.0, piece_rows=piece).collect()
+        assert [(r.start_pos, r.break_pos, r.stable) for r in sorted(out, key=lambda r: r.window_no)] == want
+    some = W.break_windows(series(spark, v), KEYS, ORDER, "v", 5, 1.0, max_windows=7).count()
+    assert some == 7
+
+
+def test_long_runs_are_picked_in_linear_time(spark):
+    n = 1 << 20
+    rows = spark.range(n).select(
+        F.lit("a").alias("strand"), F.lit(0).cast("bigint").alias("segment_id"), F.col("id").alias("pos"),
+        F.col("id").alias("seg_pos"), (F.col("id") % 7 == 0).alias("steady"), F.floor(F.col("id") / 65_536).alias(O.BLOCK),
+    )
+    began = time.time()
+    assert W.pick_windows(rows, KEYS, 6).count() == -(-n // 7)
+    assert time.time() - began < 60
+
+
 def test_chunk_width_is_measured(spark):
     df = series(spark, [0.0] * 500)
-    spec = SignalSpec(keys=("strand",), ts="ts")
-    for max_rows, seconds in ((1000, 86_400), (70, 60), (3, 1), (0, 0.001)):
+    with pytest.raises(ValueError):
+        O.fit_chunks(df, SignalSpec(keys=("strand",), ts="ts"))
+    spec = SignalSpec(keys=("strand",), ts="ts", tiebreak=("id",))
+    for max_rows, seconds in ((1000, 86_400), (70, 60), (3, 1)):
         assert O.fit_chunks(df, spec, max_rows).chunk_seconds == seconds
 
 

@@ -32,9 +32,7 @@ T0 = datetime(2025, 5, 1)
 def test_default_thresholds():
     cfg = AnalysisConfig()
     assert (cfg.window_size, cfg.speed_threshold, cfg.stable_sigma) == (300, 0.1, 2.0)
-    strand = StrandConfig("23_6", "Strand 23-6", "/data/strand_6", "/out")
-    assert strand.strand_number == 6
-    assert strand.output_name("stats", "x") == "stats_strand23_6_x"
+    assert StrandConfig(6, "Strand 23-6", "/data/strand_6", "/out/").folder == "/out/strand_6"
 
 
 def test_epoch_seconds_and_milliseconds(spark):
@@ -197,7 +195,7 @@ def test_shares_do_not_depend_on_the_layout(spark):
     assert P.sample_about(df, ["id"], 50_000, 7).count() == 20_000
 
 
-@pytest.mark.parametrize("limit", [3, 90, 1000])
+@pytest.mark.parametrize("limit", [3, 90, 1000, None])
 def test_series_window_keeps_the_first_rows(spark, limit):
     df = spark.range(200).select(
         "id", F.expr("timestamp_ntz'2025-05-01 00:00:00' + make_dt_interval(0, 0, id * 7)").alias("ts")
@@ -269,3 +267,66 @@ def test_metadata_file(spark, tmp_path):
     assert local["ts_start"].hour == 21 and local["Casting ID"] == 7
     instant = readers.read_metadata(spark, str(path)).select(F.col("ts_start").cast("timestamp_ntz")).first()
     assert instant[0].hour == 19
+
+
+def test_nan_is_missing(spark):
+    nan = float("nan")
+    rows = [(float(i), float(i * i)) for i in range(10)] + [(nan, 1.0), (2.0, nan), (None, None)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    bins = R.histogram(df, "x", 9).orderBy("bin").collect()
+    assert sum(r.n for r in bins) == 11 and (bins[0].bin_start, bins[-1].bin_end) == (0.0, 9.0)
+    assert sum(r.n for r in R.density_2d(df, "x", "y", 4, 4).collect()) == 10
+    table = {r.parameter: r for r in R.quality_table(df, ["x", "y"]).collect()}
+    assert table["x"].missing_pct == pytest.approx(200 / 13) and table["x"].max == 9.0
+    plain = R.corr_matrix(df.filter("not isnan(x) and not isnan(y)"), ["x", "y"]).collect()
+    assert {(r.x, r.y): r.corr for r in R.corr_matrix(df, ["x", "y"]).collect()} == pytest.approx({(r.x, r.y): r.corr for r in plain})
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
+def test_intervals_of_all_lengths(spark, how):
+    start = datetime(2025, 5, 1)
+    points = [(i, start + timedelta(minutes=37 * i) if i % 11 else None) for i in range(300)]
+    spans = [(0, start, datetime(9999, 12, 31)), (1, start, start), (2, start + timedelta(minutes=74), start + timedelta(minutes=200))]
+    spans += [(3, start + timedelta(days=1), start + timedelta(days=6)), (4, start + timedelta(days=9), start)]
+    for some in (spans, spans[1:3], spans[:0]):
+        df = I.join_points(
+            spark.createDataFrame(points, "id bigint, ts timestamp_ntz"), spark.createDataFrame(some, "span bigint, a timestamp_ntz, b timestamp_ntz"),
+            "ts", "a", "b", how=how,
+        )
+        hits = [(i, [s for s, a, b in some if t is not None and a <= t <= b]) for i, t in points]
+        if how == "left_semi":
+            assert sorted(r.id for r in df.collect()) == [i for i, h in hits if h]
+        else:
+            want = [(i, s) for i, h in hits for s in h] + [(i, -1) for i, h in hits if not h and how == "left"]
+            assert sorted((r.id, -1 if r.span is None else r.span) for r in df.collect()) == sorted(want)
+
+
+def test_spans_that_meet_intervals_of_any_length(spark):
+    start = datetime(2025, 5, 1)
+    spans = [(i, start + timedelta(hours=5 * i), start + timedelta(hours=5 * i + (4000 if i == 3 else 1))) for i in range(40)]
+    for some in ([(start + timedelta(hours=99), start + timedelta(hours=101))], [(start + timedelta(days=3), datetime(9999, 1, 1))], [(start, start), (start + timedelta(days=90), start + timedelta(days=91))]):
+        df = I.overlaps_any(
+            spark.createDataFrame(spans, "id bigint, f timestamp_ntz, u timestamp_ntz"), spark.createDataFrame(some, "a timestamp_ntz, b timestamp_ntz"),
+            ("f", "u"), ("a", "b"), ["id"],
+        )
+        assert sorted(r.id for r in df.collect()) == [i for i, f, u in spans if any(a <= u and b >= f for a, b in some)]
+
+
+def test_time_column_in_another_spelling(spark):
+    df = spark.createDataFrame([(datetime(2025, 5, 1, 10),)], "PlainTimeStamp timestamp_ntz")
+    assert TM.with_plain_timestamp(df).columns == ["plainTimeStamp"]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    assert sinks.scratch_path(spark, "x").startswith(sinks.scratch_root(spark))
+    monkeypatch.setattr(sinks, "CHECKPOINT_DIR", "spark.no.such.setting")
+    assert "strandlens-" in sinks.scratch_root(spark)
+
+    class Cluster:
+        conf = spark.conf
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app"
+
+    with pytest.raises(ValueError):
+        sinks.scratch_root(Cluster)
