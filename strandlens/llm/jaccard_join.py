@@ -5,7 +5,7 @@ may be similar share one of their first n-grams in that order (prefix filter wit
 candidate pair, each document's n-grams are cut along the n-gram hash into fragments; overlaps are counted fragment by
 fragment and summed per pair, so no task needs a whole pair of long documents.
 
-Only links that join classes matter: candidates are first chained, checked and merged, in a few rounds, and then every
+Only links that join classes matter: candidates are first chained, checked and merged, and then every
 candidate pair that is still in different classes is checked."""
 
 from __future__ import annotations
@@ -26,9 +26,8 @@ FREQUENT = 200_000  # frequent n-grams that the order ranks by count, at most
 LOCAL = 3  # times that an n-gram occurs in a task's documents before it is counted
 COUNTED = 1 << 21  # n-grams counted at once in a task
 SALTS = 64
-ROUNDS = 4  # of chains, before all candidates of different classes are checked
-LAGS = 4  # neighbours that a set is paired with in a list
-PARTNERS = 8
+LAGS = 8  # neighbours that a set is paired with in a list
+PARTNERS = 16
 FILTER_WORDS = 1 << 17  # 64-bit words of the map of documents that are read again
 _A = np.uint64(0x9FB21C651E98DF25)
 
@@ -238,27 +237,21 @@ def _pairs(rows: DataFrame, one, two, percent: int) -> DataFrame:
     return made.select(pick("ka", "kb").alias("a"), pick("kb", "ka").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb")).distinct()
 
 
-def _chained(member: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs of neighbours in each n-gram's list that are not in one class: sets of near sizes side by side, otherwise in an
-    order that differs by n-gram and turn. Long lists are dealt over parts. At most PARTNERS pairs of a set are kept, which
+def _chained(member: DataFrame, percent: int) -> DataFrame:
+    """Pairs of neighbours in each n-gram's list: sets of near sizes side by side, otherwise in an
+    order that differs by n-gram. Long lists are dealt over parts. At most PARTNERS pairs of a set are kept, which
     may be any as the pairs left over are checked at the end."""
-    mixed = F.xxhash64(F.lit(turn), "k", "gram")
+    mixed = F.xxhash64("k", "gram")
     part = F.pmod(mixed, F.ceil(F.col("size") / 4096).cast("long"))
     here = Window.partitionBy("gram", "part").orderBy(F.floor(F.log("n") / 0.05), mixed)
-    near = [F.lag(F.struct("k", "n", "place", "component"), i).over(here) for i in range(1, LAGS + 1)]
+    near = [F.lag(F.struct("k", "n", "place"), i).over(here) for i in range(1, LAGS + 1)]
     rows = member.withColumn("part", part).withColumn("before", F.array(*near))
-    rows = rows.withColumn("before", F.explode(F.filter("before", lambda x: x["component"] != F.col("component"))))
+    rows = rows.withColumn("before", F.explode(F.filter("before", lambda x: x.isNotNull())))
     pairs = _pairs(rows, lambda c: F.col(f"before.{c}"), F.col, percent)
     first = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))
     return pairs.withColumn("_n", first).filter(F.col("_n") <= PARTNERS).drop("_n")
 
 
-def _merge(merged: DataFrame | None, links: DataFrame) -> DataFrame:
-    if merged is not None:
-        links = links.unionByName(merged.select(F.col("node").alias("u"), F.col("component").alias("v")))
-    return components(links)
-
-
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable over links of ``percent`` or more).
 
@@ -287,24 +280,13 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     posts = stage(posts.distinct(), "grams-shared")
 
     sizes = posts.groupBy("gram").agg(F.count("*").alias("size"))
-    member = stage(posts.drop("salt").join(sizes, "gram").withColumn("component", F.col("k")), "grams-members")
-    total, tried, merged = member.count(), None, None
-    for turn in range(ROUNDS):
-        fresh_ = _chained(member, turn, percent)
-        if tried is not None:
-            fresh_ = fresh_.join(tried, ["a", "b"], "left_anti")
-        fresh_ = stage(fresh_, "grams-chained")
-        tried = fresh_.select("a", "b") if tried is None else tried.unionByName(fresh_.select("a", "b"))
-        merged = _merge(merged, _links(stage(_possible(fresh_, nodes, percent), "grams-possible"), texts, nodes, width, percent))
-        member = member.drop("component").join(merged.withColumnRenamed("node", "k"), "k", "left")
-        member = stage(member.withColumn("component", F.coalesce("component", "k")), "grams-members")
-        # How many pairs of different classes share a gram; another round only where those are far more than rows.
-        inside = member.groupBy("gram", "component").agg(F.count("*").cast("double").alias("n"))
-        crossing = inside.groupBy("gram").agg((F.pow(F.sum("n"), 2) - F.sum(F.pow("n", 2))).alias("pairs"))
-        if (crossing.agg(F.sum("pairs")).first()[0] or 0) <= 2 * total:
-            break
-
-    # What the rounds did not bring together: all candidates of different classes that weren't tried.
+    member = stage(posts.drop("salt").join(sizes, "gram"), "grams-members")
+    tried = stage(_chained(member, percent), "grams-chained")
+    merged = components(_links(stage(_possible(tried, nodes, percent), "grams-possible"), texts, nodes, width, percent))
+    member = member.drop("size").join(merged.withColumnRenamed("node", "k"), "k", "left")
+    member = stage(member.withColumn("component", F.coalesce("component", "k")), "grams-members")
+
+    # What the chains did not bring together: all candidates of different classes that weren't tried.
     several = member.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("gram")
     open_ = member.join(several, "gram", "left_semi").join(nodes.select("k", "mini"), "k")
     left, right = (open_.select("gram", *[F.col(c).alias(f"{side}_{c}") for c in ("k", "n", "place", "component", "mini")]) for side in ("l", "r"))
@@ -318,7 +300,8 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     rest = _pairs(crossed, lambda c: F.col(f"l_{c}"), lambda c: F.col(f"r_{c}"), percent).join(tried, ["a", "b"], "left_anti")
     rest = stage(_possible(rest, nodes, percent), "grams-rest")
     if not rest.isEmpty():
-        merged = _merge(merged, _links(rest, texts, nodes, width, percent))
+        more = _links(rest, texts, nodes, width, percent)
+        merged = components(more.unionByName(merged.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
     root = nodes.select("k", "doc_id").join(merged.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("component", "k"))
     root = stage(root.select("k", "doc_id", "root"), "grams-roots")
