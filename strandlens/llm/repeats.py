@@ -30,7 +30,9 @@ WIDTH = 400
 K = 12  # bytes under the rolling hash
 PERIOD = 52  # one place in so many is a trigger
 PARSE = 0.3  # share of the width that the text after a trigger takes
-_N = 1 << 16  # number of starts and place travel in one integer
+# A place is one integer: 23 bits of the text's hash (they part texts under one doc_id), its first start, number of starts.
+_N_BITS, _START_BITS, _TH_BITS = 9, 31, 23
+_N = 1 << _N_BITS
 
 
 def _reach(width: int) -> tuple[int, int]:
@@ -68,17 +70,25 @@ def _phrases(ranges: Ranges, offsets: np.ndarray, width: int) -> tuple[np.ndarra
     return marks, lo, hi, rows, free, np.searchsorted(offsets, free, "right") - 1
 
 
-ROWS = "key long, weight int, phrase long, whole long, doc_id long, th long, place long"
+ROWS = "key long, weight int, phrase long, whole long, doc_id long, place long"
 
 
-def _rows(ids: dict[str, pa.Array], rows: np.ndarray, place: np.ndarray, key: np.ndarray, weight: np.ndarray, hubs: np.ndarray, phrase: np.ndarray | None = None, whole: np.ndarray | None = None) -> dict:
+def _pack(th: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return th << (_N_BITS + _START_BITS) | start << _N_BITS | n
+
+
+def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First starts, and how many."""
+    return place >> _N_BITS & (1 << _START_BITS) - 1, place & _N - 1
+
+
+def _rows(ids: pa.Array, rows: np.ndarray, place: np.ndarray, key: np.ndarray, weight: np.ndarray, hubs: np.ndarray, phrase: np.ndarray | None = None, whole: np.ndarray | None = None) -> dict:
     n, pad = len(key), len(hubs)
     fill = lambda x, kind=None: pa.concat_arrays([pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64()), pa.nulls(pad, pa.int64())])
-    take = fill(rows)
     return {
         "key": signed(np.concatenate([key, hubs])), "weight": np.concatenate([weight, np.full(pad, 2, np.int8)]).astype(np.int32),
         "phrase": fill(None if phrase is None else signed(phrase)), "whole": fill(None if whole is None else signed(whole)),
-        "doc_id": ids["doc_id"].take(take), "th": ids["th"].take(take), "place": fill(place),
+        "doc_id": ids.take(fill(rows)), "place": fill(place),
     }
 
 
@@ -86,12 +96,12 @@ def _spread(key: np.ndarray, place: np.ndarray) -> np.ndarray:
     return mix(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + key)
 
 
-def _send_phrases(key: np.ndarray, whole: np.ndarray, ids: dict[str, pa.Array], rows: np.ndarray, place: np.ndarray) -> dict:
+def _send_phrases(key: np.ndarray, whole: np.ndarray, ids: pa.Array, rows: np.ndarray, place: np.ndarray) -> dict:
     sent, weight, hubs = combine(key, _spread(key, place))
     return _rows(ids, rows, place, sent, weight, hubs, key, whole)
 
 
-def _send_starts(key: np.ndarray, ids: dict[str, pa.Array], rows: np.ndarray, at: np.ndarray, settled: np.ndarray | None = None) -> dict:
+def _send_starts(key: np.ndarray, ids: pa.Array, th: np.ndarray, rows: np.ndarray, at: np.ndarray, settled: np.ndarray | None = None) -> dict:
     """Single starts under their key. Those that repeat within the chunk are known to be repeated: neighbours among them are
     merged to runs. settled: keys that are known to be repeated and stand for no row."""
     extra = np.zeros(0, np.uint64) if settled is None else np.repeat(settled, 2)
@@ -101,11 +111,11 @@ def _send_starts(key: np.ndarray, ids: dict[str, pa.Array], rows: np.ndarray, at
     i = np.flatnonzero(known)
     opens = np.ones(len(i), bool)
     opens[1:] = (rows[i][1:] != rows[i][:-1]) | (at[i][1:] != at[i][:-1] + 1)
-    opens[:: _N // 2] = True  # a run's length must fit its field
+    opens[:: _N - 1] = True  # a run's length must fit its field
     first = np.flatnonzero(opens)
     length = np.diff(np.append(first, len(i)))
     run, one = i[first], np.flatnonzero(~known)
-    place = np.concatenate([at[one] * _N + 1, at[run] * _N + length])
+    place = np.concatenate([_pack(th[rows[one]], at[one], 1), _pack(th[rows[run]], at[run], length)])
     sent = np.concatenate([key[one], _spread(key[run], at[run])])
     weights = np.concatenate([np.ones(len(one), np.int8), np.full(len(run), 2, np.int8)])
     return _rows(ids, np.concatenate([rows[one], rows[run]]), place, sent, weights, hubs)
@@ -120,10 +130,10 @@ def _parse(docs: DataFrame, width: int) -> DataFrame:
         for batch, i, j, data, offsets in blocks(batches):
             ranges = Ranges(data)
             marks, lo, hi, rows, free, free_rows = _phrases(ranges, offsets, width)
-            ids = {c: batch.column(c)[i:j] for c in ("doc_id", "th")}
+            ids, th = batch.column("doc_id")[i:j], batch.column("th")[i:j].to_numpy()
             whole = mix(ranges.of(lo, hi + width) + (marks - lo).astype(np.uint64))
-            yield _send_phrases(ranges.of(marks, marks + parse), whole, ids, rows, (lo - offsets[rows]) * _N + hi - lo + 1)
-            yield _send_starts(mix(ranges.of(free, free + width)), ids, free_rows, free - offsets[free_rows])
+            yield _send_phrases(ranges.of(marks, marks + parse), whole, ids, rows, _pack(th[rows], lo - offsets[rows], hi - lo + 1))
+            yield _send_starts(mix(ranges.of(free, free + width)), ids, th, free_rows, free - offsets[free_rows])
 
     return map_batches(docs, ROWS, run)
 
@@ -144,49 +154,54 @@ def _starts(docs: DataFrame, width: int) -> DataFrame:
             rows = np.repeat(np.arange(j - i), np.diff(listed.offsets.to_numpy()))
             flat = listed.flatten()
             place, often = flat.field("place").to_numpy(), flat.field("often").to_numpy()
-            n = place % _N
+            start, n = _unpack(place)
             row = np.repeat(rows, n)
-            at = np.repeat(place // _N, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            at = np.repeat(start, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
             begin = at + offsets[row]
             key = mix(ranges.of(begin, begin + width))
             once = np.repeat(often, n) == 1
-            ids = {c: batch.column(c)[i:j] for c in ("doc_id", "th")}
-            yield _send_starts(key[once], ids, row[once], at[once], settled=key[~once])
+            ids, th = batch.column("doc_id")[i:j], batch.column("th")[i:j].to_numpy()
+            yield _send_starts(key[once], ids, th, row[once], at[once], settled=key[~once])
 
     return map_batches(docs, ROWS, run)
 
 
 def _runs(docs: DataFrame, width: int) -> DataFrame:
-    """Per document: doc_id, th and runs: (place of a start * _N + number of starts from there) of repeated strings."""
+    """Per document: doc_id, th and runs: the places of starts of repeated strings."""
     live = stage(_repeated(_parse(docs.select("doc_id", "th", "text"), width)), "repeats-live")
-    free = live.filter("phrase is null").select("doc_id", "th", "place")
+    free = live.filter("phrase is null").select("doc_id", "place")
     phrases = live.filter("phrase is not null")
-    wholes = phrases.groupBy("phrase", "whole").agg(F.count("*").alias("often"), F.min(F.struct("doc_id", "th", "place")).alias("one"))
+    wholes = phrases.groupBy("phrase", "whole").agg(F.count("*").alias("often"), F.min(F.struct("doc_id", "place")).alias("one"))
     wholes = stage(wholes, "repeats-wholes")
-    settled = phrases.join(wholes.filter("often > 1").select("phrase", "whole"), ["phrase", "whole"], "left_semi").select("doc_id", "th", "place")
+    settled = phrases.join(wholes.filter("often > 1").select("phrase", "whole"), ["phrase", "whole"], "left_semi").select("doc_id", "place")
     several = wholes.groupBy("phrase").agg(F.count("*").alias("n")).filter("n > 1").select("phrase")
     open_ = wholes.join(several, "phrase", "left_semi").select("one.*", "often")
-    open_ = open_.groupBy("doc_id", "th").agg(F.collect_list(F.struct("place", "often")).alias("open"))
+    th = F.shiftright("place", _N_BITS + _START_BITS).alias("th")
+    open_ = open_.groupBy("doc_id", th).agg(F.collect_list(F.struct("place", "often")).alias("open"))
     texts = docs.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "text")
     rows = open_.join(texts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).select("doc_id", "th", "text", "open")
-    single = _repeated(_starts(rows, width)).select("doc_id", "th", "place")
+    single = _repeated(_starts(rows, width)).select("doc_id", "place")
     every = free.unionByName(settled).unionByName(single).distinct()
-    return stage(every.groupBy("doc_id", "th").agg(F.collect_list("place").alias("runs")), "repeats-runs")
+    return stage(every.groupBy("doc_id", th).agg(F.collect_list("place").alias("runs")), "repeats-runs")
 
 
 def _removed(size: int, runs: np.ndarray, width: int) -> tuple[np.ndarray, int]:
     """Which bytes go, and in how many maximal runs."""
     edge = np.zeros(size + 1, np.int32)
-    np.add.at(edge, runs // _N, 1)
-    np.add.at(edge, runs // _N + runs % _N - 1 + width, -1)
+    start, n = _unpack(runs)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + n - 1 + width, -1)
     gone = np.cumsum(edge[:-1]) > 0
     return gone, int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if size else 0
 
 
 def _joined(docs: DataFrame, width: int) -> tuple[DataFrame, str]:
     """``docs`` with a column of runs, and that column's name."""
+    if not 1 <= width or _reach(width)[0] + 1 >= _N:
+        raise ValueError("width must be from 1 to 728 bytes")
     runs_name, th, doc, of = fresh(docs, "runs", "th", "run_doc", "run_th")
-    held = docs.withColumn(th, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    hashed = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    held = docs.withColumn(th, hashed.bitwiseAND(F.lit((1 << _TH_BITS) - 1)))
     runs = _runs(held.select("doc_id", F.col(th).alias("th"), F.coalesce(F.col("text"), F.lit("")).alias("text")), width)
     runs = runs.select(F.col("doc_id").alias(doc), F.col("th").alias(of), F.col("runs").alias(runs_name))
     joined = held.join(runs, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(th) == F.col(of)), "left")
@@ -198,7 +213,7 @@ def report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     at another place of the table too (in the same document included, overlapping included).
 
     Null and empty texts have nothing to remove; a row that repeats another repeats all its strings; rows of one
-    doc_id and different texts are separate, null ids are kept, other columns are ignored, an empty table gives an empty
+    doc_id and different texts are separate (told apart by 23 bits of their hash), null ids are kept, other columns are ignored, an empty table gives an empty
     result. Texts of any length are cut into places, so only a text itself has to fit a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
