@@ -1,12 +1,14 @@
 """Removal of repeated byte strings by prefix-free parsing.
 
-A rolling hash over K bytes marks triggers, and triggers cut texts into phrases; since they depend on content
-only, a repeated string is cut the same way wherever it occurs. A start of a string of ``width`` bytes is then (a suffix of
-a phrase, the text from the next trigger on), which is how suffixes of the dictionary and of the parse combine into the
+A rolling hash over PARSE of the width marks triggers, and triggers cut texts into phrases: a start's trigger is the place
+of the smallest hash within its string. Since that depends on the string only, a repeated string is cut the same way
+wherever it occurs, every string has a trigger, and there are few of them. A start of a string of ``width`` bytes is then (a suffix of
+a phrase, the text from its trigger on), which is how suffixes of the dictionary and of the parse combine into the
 order of the corpus. Two starts are equal where both parts are. So the order is refined in three steps, each
 on what the step before left undecided:
 
-1. the parse: phrases are grouped by the text after their trigger (PARSE bytes); groups of one are unique,
+1. the parse: phrases, cut at fixed distances from the trigger, are grouped by the text around it that all their starts
+   share; groups of one are unique,
 2. the dictionary: in groups of several, a whole phrase with all text that its starts reach, if it occurs twice, settles
    all its starts; a group of equal phrases is settled,
 3. the rest, groups of different phrases before equal text: single starts are ordered by their own strings.
@@ -27,11 +29,10 @@ from .frames import blocks, combine, fresh, map_batches, stage, texts_only
 from .hashing import Ranges, mix, signed
 
 WIDTH = 400
-K = 12  # bytes under the rolling hash
-PERIOD = 52  # one place in so many is a trigger
 PARSE = 0.3  # share of the width that the text after a trigger takes
-# A place is one integer: 23 bits of the text's hash (they part texts under one doc_id), its first start, number of starts.
-_N_BITS, _START_BITS, _TH_BITS = 9, 31, 23
+PIECES = 3  # a phrase is cut in so many at most
+# A place is one integer: the first start in a text, number of starts. The text is the 64-bit hash of its doc_id and text.
+_N_BITS = 9
 _N = 1 << _N_BITS
 
 
@@ -43,43 +44,49 @@ def _reach(width: int) -> tuple[int, int]:
 
 
 def _phrases(ranges: Ranges, offsets: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """Triggers that starts are anchored at, the first and the last of those starts, the triggers' rows; starts that no
-    near trigger follows, and their rows. A start's trigger is the first one at or after it."""
-    total = len(ranges.sums) - 1
-    reach, _ = _reach(width)
-    begin, end = offsets[:-1], offsets[1:]
-    last = end - width  # of a row's starts
+    """Keys of phrases, their triggers, first and last starts, and rows. A start's trigger is the first of the smallest
+    hashes (32 bits) of ``parse`` bytes that lie within its string; a phrase's key is the hash of what all starts at
+    its distance from a trigger share."""
+    reach, parse = _reach(width)
+    begin, last = offsets[:-1], offsets[1:] - width  # of a row's starts
     long = last >= begin
-    marks = np.flatnonzero(ranges.fixed(K) < np.uint64((1 << 64) // PERIOD))
-    rows = np.searchsorted(offsets, marks, "right") - 1
-    fits = (marks + K <= end[rows]) & long[rows]
-    marks, rows = marks[fits], rows[fits]
-    first = begin[rows]
-    if len(marks):
-        same = rows[1:] == rows[:-1]
-        first[1:] = np.where(same, marks[:-1] + 1, first[1:])
-    lo, hi = np.maximum(first, marks - reach), np.minimum(marks, last[rows])
-    some = lo <= hi
-    marks, lo, hi, rows = marks[some], lo[some], hi[some], rows[some]
-    open_ = np.zeros(total + 2, np.int32)
-    np.add.at(open_, begin[long], 1)
-    np.add.at(open_, last[long] + 1, -1)
-    np.add.at(open_, lo, -1)
-    np.add.at(open_, hi + 1, 1)
-    free = np.flatnonzero(np.cumsum(open_[:total]) > 0)
-    return marks, lo, hi, rows, free, np.searchsorted(offsets, free, "right") - 1
+    if not long.any():
+        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 4)
+    low = ranges.fixed(parse)
+    low = low >> np.uint64(32) << np.uint64(32) | np.arange(len(low), dtype=np.uint64)
+    step = 1
+    while 2 * step <= reach + 1:
+        low = np.minimum(low[:-step], low[step:])
+        step *= 2
+    if rest := reach + 1 - step:
+        low = np.minimum(low[:-rest], low[rest:])
+    edge = np.zeros(len(low) + 1, np.int8)
+    edge[begin[long]] += 1
+    edge[last[long] + 1] -= 1
+    at = np.flatnonzero(np.cumsum(edge[:-1]))
+    trigger = (low[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    opens = np.ones(len(at), bool)
+    size = -(-(reach + 1) // PIECES)
+    piece = (trigger - at) // size
+    opens[1:] = (trigger[1:] != trigger[:-1]) | (piece[1:] != piece[:-1])
+    first = np.flatnonzero(opens)
+    lo, hi = at[first], at[np.append(first[1:], len(at)) - 1]
+    trigger, piece = trigger[first], piece[first]
+    shared = trigger - piece * size
+    key = mix(ranges.of(shared, shared - size + 1 + width) + piece.astype(np.uint64))
+    return key, trigger, lo, hi, np.searchsorted(offsets, lo, "right") - 1
 
 
-ROWS = "key long, weight int, phrase long, whole long, doc_id long, place long"
+ROWS = "key long, weight int, phrase long, whole long, of long, place long"
 
 
-def _pack(th: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return th << (_N_BITS + _START_BITS) | start << _N_BITS | n
+def _pack(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return start << _N_BITS | n
 
 
 def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First starts, and how many."""
-    return place >> _N_BITS & (1 << _START_BITS) - 1, place & _N - 1
+    return place >> _N_BITS, place & _N - 1
 
 
 def _rows(ids: pa.Array, rows: np.ndarray, place: np.ndarray, key: np.ndarray, weight: np.ndarray, hubs: np.ndarray, phrase: np.ndarray | None = None, whole: np.ndarray | None = None) -> dict:
@@ -88,7 +95,7 @@ def _rows(ids: pa.Array, rows: np.ndarray, place: np.ndarray, key: np.ndarray, w
     return {
         "key": signed(np.concatenate([key, hubs])), "weight": np.concatenate([weight, np.full(pad, 2, np.int8)]).astype(np.int32),
         "phrase": fill(None if phrase is None else signed(phrase)), "whole": fill(None if whole is None else signed(whole)),
-        "doc_id": ids.take(fill(rows)), "place": fill(place),
+        "of": ids.take(fill(rows)), "place": fill(place),
     }
 
 
@@ -96,44 +103,61 @@ def _spread(key: np.ndarray, place: np.ndarray) -> np.ndarray:
     return mix(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + key)
 
 
-def _send_phrases(key: np.ndarray, whole: np.ndarray, ids: pa.Array, rows: np.ndarray, place: np.ndarray) -> dict:
-    sent, weight, hubs = combine(key, _spread(key, place))
-    return _rows(ids, rows, place, sent, weight, hubs, key, whole)
+def _runs_of(rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of neighbouring starts begin, and how long they are."""
+    opens = np.ones(len(at), bool)
+    opens[1:] = (rows[1:] != rows[:-1]) | (at[1:] != at[:-1] + 1)
+    opens[:: _N - 1] = True  # a run's length must fit its field
+    first = np.flatnonzero(opens)
+    return first, np.diff(np.append(first, len(at)))
+
+
+def _expand(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.repeat(start, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
 
 
-def _send_starts(key: np.ndarray, ids: pa.Array, th: np.ndarray, rows: np.ndarray, at: np.ndarray, settled: np.ndarray | None = None) -> dict:
+def _send_phrases(key: np.ndarray, whole: np.ndarray, ids: pa.Array, rows: np.ndarray, start: np.ndarray, n: np.ndarray) -> Iterator[dict]:
+    """Phrases under their key. Two of those with the same whole settle it: more of them within the chunk go as runs of starts."""
+    order = np.argsort(whole, kind="stable")
+    rank = np.arange(len(whole))
+    rank -= np.searchsorted(whole[order], whole[order])
+    more = np.zeros(len(whole), bool)
+    more[order] = rank >= 2
+    one = ~more
+    place = _pack(start[one], n[one])
+    sent, weight, hubs = combine(key[one], _spread(key[one], place))
+    yield _rows(ids, rows[one], place, sent, weight, hubs, key[one], whole[one])
+    row, at = np.repeat(rows[more], n[more]), _expand(start[more], n[more])
+    first, length = _runs_of(row, at)
+    spread = _spread(np.repeat(whole[more], n[more])[first], at[first])
+    yield _rows(ids, row[first], _pack(at[first], length), spread, np.full(len(first), 2, np.int8), hubs[:0])
+
+
+def _send_starts(key: np.ndarray, ids: pa.Array, rows: np.ndarray, at: np.ndarray, settled: np.ndarray) -> dict:
     """Single starts under their key. Those that repeat within the chunk are known to be repeated: neighbours among them are
     merged to runs. settled: keys that are known to be repeated and stand for no row."""
-    extra = np.zeros(0, np.uint64) if settled is None else np.repeat(settled, 2)
-    every = np.concatenate([key, extra])
+    every = np.concatenate([key, np.repeat(settled, 2)])
     _, weight, hubs = combine(every, every)
     known = weight[: len(key)] == 2
     i = np.flatnonzero(known)
-    opens = np.ones(len(i), bool)
-    opens[1:] = (rows[i][1:] != rows[i][:-1]) | (at[i][1:] != at[i][:-1] + 1)
-    opens[:: _N - 1] = True  # a run's length must fit its field
-    first = np.flatnonzero(opens)
-    length = np.diff(np.append(first, len(i)))
+    first, length = _runs_of(rows[i], at[i])
     run, one = i[first], np.flatnonzero(~known)
-    place = np.concatenate([_pack(th[rows[one]], at[one], 1), _pack(th[rows[run]], at[run], length)])
+    place = np.concatenate([_pack(at[one], 1), _pack(at[run], length)])
     sent = np.concatenate([key[one], _spread(key[run], at[run])])
     weights = np.concatenate([np.ones(len(one), np.int8), np.full(len(run), 2, np.int8)])
     return _rows(ids, np.concatenate([rows[one], rows[run]]), place, sent, weights, hubs)
 
 
 def _parse(docs: DataFrame, width: int) -> DataFrame:
-    """A row per phrase, under the hash of the text after it (whole: the hash of all that its starts reach), and rows without a
-    phrase for starts that no trigger follows, under their strings' hashes. place: the first start, and how many."""
-    _, parse = _reach(width)
+    """A row per phrase, under the hash of the text that its starts share (whole: the hash of all that they reach), and rows
+    without a phrase for starts known to be repeated. place: the first start, and how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch, i, j, data, offsets in blocks(batches):
             ranges = Ranges(data)
-            marks, lo, hi, rows, free, free_rows = _phrases(ranges, offsets, width)
-            ids, th = batch.column("doc_id")[i:j], batch.column("th")[i:j].to_numpy()
+            key, marks, lo, hi, rows = _phrases(ranges, offsets, width)
             whole = mix(ranges.of(lo, hi + width) + (marks - lo).astype(np.uint64))
-            yield _send_phrases(ranges.of(marks, marks + parse), whole, ids, rows, _pack(th[rows], lo - offsets[rows], hi - lo + 1))
-            yield _send_starts(mix(ranges.of(free, free + width)), ids, th, free_rows, free - offsets[free_rows])
+            yield from _send_phrases(key, whole, batch.column("of")[i:j], rows, lo - offsets[rows], hi - lo + 1)
 
     return map_batches(docs, ROWS, run)
 
@@ -156,33 +180,31 @@ def _starts(docs: DataFrame, width: int) -> DataFrame:
             place, often = flat.field("place").to_numpy(), flat.field("often").to_numpy()
             start, n = _unpack(place)
             row = np.repeat(rows, n)
-            at = np.repeat(start, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            at = _expand(start, n)
             begin = at + offsets[row]
             key = mix(ranges.of(begin, begin + width))
             once = np.repeat(often, n) == 1
-            ids, th = batch.column("doc_id")[i:j], batch.column("th")[i:j].to_numpy()
-            yield _send_starts(key[once], ids, th, row[once], at[once], settled=key[~once])
+            ids = batch.column("of")[i:j]
+            yield _send_starts(key[once], ids, row[once], at[once], settled=key[~once])
 
     return map_batches(docs, ROWS, run)
 
 
 def _runs(docs: DataFrame, width: int) -> DataFrame:
-    """Per document: doc_id, th and runs: the places of starts of repeated strings."""
-    live = stage(_repeated(_parse(docs.select("doc_id", "th", "text"), width)), "repeats-live")
-    free = live.filter("phrase is null").select("doc_id", "place")
+    """Per text: of (its hash) and runs: the places of starts of repeated strings."""
+    live = stage(_repeated(_parse(docs.select("of", "text"), width)), "repeats-live")
+    free = live.filter("phrase is null").select("of", "place")
     phrases = live.filter("phrase is not null")
-    wholes = phrases.groupBy("phrase", "whole").agg(F.count("*").alias("often"), F.min(F.struct("doc_id", "place")).alias("one"))
+    wholes = phrases.groupBy("phrase", "whole").agg(F.count("*").alias("often"), F.min(F.struct("of", "place")).alias("one"))
     wholes = stage(wholes, "repeats-wholes")
-    settled = phrases.join(wholes.filter("often > 1").select("phrase", "whole"), ["phrase", "whole"], "left_semi").select("doc_id", "place")
+    settled = phrases.join(wholes.filter("often > 1").select("phrase", "whole"), ["phrase", "whole"], "left_semi").select("of", "place")
     several = wholes.groupBy("phrase").agg(F.count("*").alias("n")).filter("n > 1").select("phrase")
     open_ = wholes.join(several, "phrase", "left_semi").select("one.*", "often")
-    th = F.shiftright("place", _N_BITS + _START_BITS).alias("th")
-    open_ = open_.groupBy("doc_id", th).agg(F.collect_list(F.struct("place", "often")).alias("open"))
-    texts = docs.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "text")
-    rows = open_.join(texts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).select("doc_id", "th", "text", "open")
-    single = _repeated(_starts(rows, width)).select("doc_id", "place")
-    every = free.unionByName(settled).unionByName(single).distinct()
-    return stage(every.groupBy("doc_id", th).agg(F.collect_list("place").alias("runs")), "repeats-runs")
+    open_ = open_.groupBy("of").agg(F.collect_list(F.struct("place", "often")).alias("open"))
+    rows = open_.join(docs.select("of", "text"), "of").select("of", "text", "open")
+    single = _repeated(_starts(rows, width)).select("of", "place")
+    every = free.unionByName(settled).unionByName(single)
+    return stage(every.groupBy("of").agg(F.collect_set("place").alias("runs")), "repeats-runs")
 
 
 def _removed(size: int, runs: np.ndarray, width: int) -> tuple[np.ndarray, int]:
@@ -199,12 +221,12 @@ def _joined(docs: DataFrame, width: int) -> tuple[DataFrame, str]:
     """``docs`` with a column of runs, and that column's name."""
     if not 1 <= width or _reach(width)[0] + 1 >= _N:
         raise ValueError("width must be from 1 to 728 bytes")
-    runs_name, th, doc, of = fresh(docs, "runs", "th", "run_doc", "run_th")
-    hashed = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    held = docs.withColumn(th, hashed.bitwiseAND(F.lit((1 << _TH_BITS) - 1)))
-    runs = _runs(held.select("doc_id", F.col(th).alias("th"), F.coalesce(F.col("text"), F.lit("")).alias("text")), width)
-    runs = runs.select(F.col("doc_id").alias(doc), F.col("th").alias(of), F.col("runs").alias(runs_name))
-    joined = held.join(runs, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(th) == F.col(of)), "left")
+    runs_name, text_of, run_of = fresh(docs, "runs", "text_of", "run_of")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    held = docs.withColumn(text_of, F.xxhash64("doc_id", text))
+    runs = _runs(held.select(F.col(text_of).alias("of"), text.alias("text")), width)
+    runs = runs.select(F.col("of").alias(run_of), F.col("runs").alias(runs_name))
+    joined = held.join(runs, F.col(text_of) == F.col(run_of), "left")
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], runs_name), runs_name
 
 
@@ -213,8 +235,8 @@ def report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     at another place of the table too (in the same document included, overlapping included).
 
     Null and empty texts have nothing to remove; a row that repeats another repeats all its strings; rows of one
-    doc_id and different texts are separate (told apart by 23 bits of their hash), null ids are kept, other columns are ignored, an empty table gives an empty
-    result. Texts of any length are cut into places, so only a text itself has to fit a task."""
+    doc_id and different texts are separate (told apart by a 64-bit hash of both), null ids are kept, other columns are ignored,
+    an empty table gives an empty result. Texts of any length are cut into places, so only a text itself has to fit a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:

@@ -385,6 +385,15 @@ def test_repeats_of_random_splices(spark):
         assert sorted((repr(x[0]), *x[1:]) for x in repeats.report(df, width).collect()) == _cut(rows, width)
 
 
+def test_repeats_tells_texts_of_one_id_apart(spark):
+    r = random.Random(5)
+    letters = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    passage = letters(70)
+    rows = [(None if i % 2 else 7, letters(r.randint(20, 60)) + (passage + letters(40) if i % 4 < 2 else "")) for i in range(24_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted((repr(x[0]), *x[1:]) for x in repeats.report(df, 60).collect()) == _cut(rows, 60)
+
+
 def test_repeats_removed_from_texts(spark, nothing, clashing):
     passage = "é" * 250 + "".join(chr(97 + i % 26) for i in range(300))
     df = spark.createDataFrame([(1, f"start {passage}", 0), (2, f"{passage} stop", 1), (3, None, None), (4, "short", 5)], "doc_id long, text string, n_chars long")
