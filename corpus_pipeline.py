@@ -12,6 +12,9 @@ from strandlens.llm.catalog import tokenizer_path
 from strandlens.llm.frames import stage
 
 
+PASSAGE = 51  # words of a repeated passage that goes, at least
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pattern grammar, fitted on labelled documents, scores below its threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -24,8 +27,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 400 bytes or more that occur twice or more."""
-    return repeats.remove(docs)
+    """Texts without the passages of 51 words or more, or of 400 bytes or more, that occur twice or more."""
+    return repeats.remove(docs, passage=PASSAGE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

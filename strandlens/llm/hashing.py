@@ -34,9 +34,19 @@ class Ranges:
     """Hashes of ranges of one block of bytes. Equal bytes give equal hashes, in any block."""
 
     def __init__(self, data: np.ndarray):
-        _grow(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLE[data] * _powers[0][: len(data)], out=self.sums[1:])
+        self._add(_TABLE[data])
+
+    @classmethod
+    def over(cls, hashes: np.ndarray) -> Ranges:
+        """Of ranges of one block of items, given as their 64-bit hashes."""
+        made = cls.__new__(cls)
+        made._add(hashes | np.uint64(1))
+        return made
+
+    def _add(self, values: np.ndarray) -> None:
+        _grow(len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * _powers[0][: len(values)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         raw = (self.sums[end] - self.sums[start]) * _powers[1][start]
@@ -61,13 +71,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage
-    return, their rows, and the first word of each row (rows + 1 values). No word crosses a row's end."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    if lower:
-        data = _LOWER[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage
+    return. No word crosses a row's end."""
     solid = ~_SPACE[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
@@ -77,6 +83,15 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     last[:-1] &= ~solid[1:]
     ends_of_rows = offsets[1:][offsets[:-1] < offsets[1:]] - 1
     last[ends_of_rows] = solid[ends_of_rows]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words (see ``word_bounds``), their rows, and the first word of each row (rows + 1 values)."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    if lower:
+        data = _LOWER[data]
+    start, end = word_bounds(data, offsets)
     rows = np.searchsorted(offsets, start, "right") - 1
     return Ranges(data).of(start, end), rows, np.searchsorted(start, offsets)

@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import blocks, combine, fresh, map_batches, stage, texts_only
-from .hashing import Ranges, mix, signed
+from .hashing import Ranges, mix, signed, word_bounds, words
 
 WIDTH = 400
 PARSE = 0.3  # share of the width that the text after a trigger takes
 PIECES = 3  # a phrase is cut in so many at most
-# A place is one integer: the first start in a text, number of starts. The text is the 64-bit hash of its doc_id and text.
+# A place is one integer: the first start in a text, whether starts are words, number of starts. The text is the 64-bit hash of its doc_id and text.
 _N_BITS = 9
 _N = 1 << _N_BITS
 
@@ -80,13 +80,13 @@ def _phrases(ranges: Ranges, offsets: np.ndarray, width: int) -> tuple[np.ndarra
 ROWS = "key long, weight int, phrase long, whole long, of long, place long"
 
 
-def _pack(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return start << _N_BITS | n
+def _pack(start: np.ndarray, n: np.ndarray, unit: int) -> np.ndarray:
+    return start << (_N_BITS + 1) | unit << _N_BITS | n
 
 
-def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First starts, and how many."""
-    return place >> _N_BITS, place & _N - 1
+def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First starts, how many, and their units."""
+    return place >> (_N_BITS + 1), place & _N - 1, place >> _N_BITS & 1
 
 
 def _rows(ids: pa.Array, rows: np.ndarray, place: np.ndarray, key: np.ndarray, weight: np.ndarray, hubs: np.ndarray, phrase: np.ndarray | None = None, whole: np.ndarray | None = None) -> dict:
@@ -99,6 +99,15 @@ def _rows(ids: pa.Array, rows: np.ndarray, place: np.ndarray, key: np.ndarray, w
     }
 
 
+def _units(data: np.ndarray, offsets: np.ndarray, widths: tuple[int, ...]) -> Iterator[tuple[int, int, Ranges, np.ndarray]]:
+    """Per unit (0 bytes, 1 words): unit, width, hashes of ranges, rows' offsets. Words are equal byte for byte, whatever
+    space parts them."""
+    yield 0, widths[0], Ranges(data), offsets
+    if len(widths) > 1:
+        hashes, _, first = words(data, offsets, lower=False)
+        yield 1, widths[1], Ranges.over(hashes), first
+
+
 def _spread(key: np.ndarray, place: np.ndarray) -> np.ndarray:
     return mix(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + key)
 
@@ -116,7 +125,7 @@ def _expand(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
 
 
-def _send_phrases(key: np.ndarray, whole: np.ndarray, ids: pa.Array, rows: np.ndarray, start: np.ndarray, n: np.ndarray) -> Iterator[dict]:
+def _send_phrases(key: np.ndarray, whole: np.ndarray, ids: pa.Array, rows: np.ndarray, start: np.ndarray, n: np.ndarray, unit: int) -> Iterator[dict]:
     """Phrases under their key. Two of those with the same whole settle it: more of them within the chunk go as runs of starts."""
     order = np.argsort(whole, kind="stable")
     rank = np.arange(len(whole))
@@ -124,16 +133,16 @@ def _send_phrases(key: np.ndarray, whole: np.ndarray, ids: pa.Array, rows: np.nd
     more = np.zeros(len(whole), bool)
     more[order] = rank >= 2
     one = ~more
-    place = _pack(start[one], n[one])
+    place = _pack(start[one], n[one], unit)
     sent, weight, hubs = combine(key[one], _spread(key[one], place))
     yield _rows(ids, rows[one], place, sent, weight, hubs, key[one], whole[one])
     row, at = np.repeat(rows[more], n[more]), _expand(start[more], n[more])
     first, length = _runs_of(row, at)
     spread = _spread(np.repeat(whole[more], n[more])[first], at[first])
-    yield _rows(ids, row[first], _pack(at[first], length), spread, np.full(len(first), 2, np.int8), hubs[:0])
+    yield _rows(ids, row[first], _pack(at[first], length, unit), spread, np.full(len(first), 2, np.int8), hubs[:0])
 
 
-def _send_starts(key: np.ndarray, ids: pa.Array, rows: np.ndarray, at: np.ndarray, settled: np.ndarray) -> dict:
+def _send_starts(key: np.ndarray, ids: pa.Array, rows: np.ndarray, at: np.ndarray, settled: np.ndarray, unit: int) -> dict:
     """Single starts under their key. Those that repeat within the chunk are known to be repeated: neighbours among them are
     merged to runs. settled: keys that are known to be repeated and stand for no row."""
     every = np.concatenate([key, np.repeat(settled, 2)])
@@ -142,22 +151,22 @@ def _send_starts(key: np.ndarray, ids: pa.Array, rows: np.ndarray, at: np.ndarra
     i = np.flatnonzero(known)
     first, length = _runs_of(rows[i], at[i])
     run, one = i[first], np.flatnonzero(~known)
-    place = np.concatenate([_pack(at[one], 1), _pack(at[run], length)])
+    place = np.concatenate([_pack(at[one], 1, unit), _pack(at[run], length, unit)])
     sent = np.concatenate([key[one], _spread(key[run], at[run])])
     weights = np.concatenate([np.ones(len(one), np.int8), np.full(len(run), 2, np.int8)])
     return _rows(ids, np.concatenate([rows[one], rows[run]]), place, sent, weights, hubs)
 
 
-def _parse(docs: DataFrame, width: int) -> DataFrame:
+def _parse(docs: DataFrame, widths: tuple[int, ...]) -> DataFrame:
     """A row per phrase, under the hash of the text that its starts share (whole: the hash of all that they reach), and rows
     without a phrase for starts known to be repeated. place: the first start, and how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch, i, j, data, offsets in blocks(batches):
-            ranges = Ranges(data)
-            key, marks, lo, hi, rows = _phrases(ranges, offsets, width)
-            whole = mix(ranges.of(lo, hi + width) + (marks - lo).astype(np.uint64))
-            yield from _send_phrases(key, whole, batch.column("of")[i:j], rows, lo - offsets[rows], hi - lo + 1)
+            for unit, width, ranges, first in _units(data, offsets, widths):
+                key, marks, lo, hi, rows = _phrases(ranges, first, width)
+                whole = mix(ranges.of(lo, hi + width) + (marks - lo).astype(np.uint64))
+                yield from _send_phrases(key, whole, batch.column("of")[i:j], rows, lo - first[rows], hi - lo + 1, unit)
 
     return map_batches(docs, ROWS, run)
 
@@ -168,31 +177,31 @@ def _repeated(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_times", times).filter("_times >= 2 and place is not null").drop("_times", "key", "weight")
 
 
-def _starts(docs: DataFrame, width: int) -> DataFrame:
+def _starts(docs: DataFrame, widths: tuple[int, ...]) -> DataFrame:
     """A row per start of the phrases listed in ``open`` (place, and how often the whole occurs), under its string's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch, i, j, data, offsets in blocks(batches):
-            ranges = Ranges(data)
             listed = batch.column("open")[i:j]
             rows = np.repeat(np.arange(j - i), np.diff(listed.offsets.to_numpy()))
             flat = listed.flatten()
-            place, often = flat.field("place").to_numpy(), flat.field("often").to_numpy()
-            start, n = _unpack(place)
-            row = np.repeat(rows, n)
-            at = _expand(start, n)
-            begin = at + offsets[row]
-            key = mix(ranges.of(begin, begin + width))
-            once = np.repeat(often, n) == 1
-            ids = batch.column("of")[i:j]
-            yield _send_starts(key[once], ids, row[once], at[once], settled=key[~once])
+            often = flat.field("often").to_numpy()
+            start, n, units = _unpack(flat.field("place").to_numpy())
+            for unit, width, ranges, first in _units(data, offsets, widths):
+                mine = units == unit
+                count = n[mine]
+                row, at = np.repeat(rows[mine], count), _expand(start[mine], count)
+                begin = at + first[row]
+                key = mix(ranges.of(begin, begin + width))
+                once = np.repeat(often[mine], count) == 1
+                yield _send_starts(key[once], batch.column("of")[i:j], row[once], at[once], key[~once], unit)
 
     return map_batches(docs, ROWS, run)
 
 
-def _runs(docs: DataFrame, width: int) -> DataFrame:
+def _runs(docs: DataFrame, widths: tuple[int, ...]) -> DataFrame:
     """Per text: of (its hash) and runs: the places of starts of repeated strings."""
-    live = stage(_repeated(_parse(docs.select("of", "text"), width)), "repeats-live")
+    live = stage(_repeated(_parse(docs.select("of", "text"), widths)), "repeats-live")
     free = live.filter("phrase is null").select("of", "place")
     phrases = live.filter("phrase is not null")
     wholes = phrases.groupBy("phrase", "whole").agg(F.count("*").alias("often"), F.min(F.struct("of", "place")).alias("one"))
@@ -202,29 +211,35 @@ def _runs(docs: DataFrame, width: int) -> DataFrame:
     open_ = wholes.join(several, "phrase", "left_semi").select("one.*", "often")
     open_ = open_.groupBy("of").agg(F.collect_list(F.struct("place", "often")).alias("open"))
     rows = open_.join(docs.select("of", "text"), "of").select("of", "text", "open")
-    single = _repeated(_starts(rows, width)).select("of", "place")
+    single = _repeated(_starts(rows, widths)).select("of", "place")
     every = free.unionByName(settled).unionByName(single)
     return stage(every.groupBy("of").agg(F.collect_set("place").alias("runs")), "repeats-runs")
 
 
-def _removed(size: int, runs: np.ndarray, width: int) -> tuple[np.ndarray, int]:
+def _removed(data: np.ndarray, runs: np.ndarray, widths: tuple[int, ...]) -> tuple[np.ndarray, int]:
     """Which bytes go, and in how many maximal runs."""
+    size = len(data)
     edge = np.zeros(size + 1, np.int32)
-    start, n = _unpack(runs)
+    start, n, units = _unpack(runs)
+    end = start + n - 1 + np.array(widths)[units]
+    if units.any():
+        by_word = units == 1
+        begins, ends = word_bounds(data, np.array([0, size]))
+        start[by_word], end[by_word] = begins[start[by_word]], ends[end[by_word] - 1]
     np.add.at(edge, start, 1)
-    np.add.at(edge, start + n - 1 + width, -1)
+    np.add.at(edge, end, -1)
     gone = np.cumsum(edge[:-1]) > 0
     return gone, int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if size else 0
 
 
-def _joined(docs: DataFrame, width: int) -> tuple[DataFrame, str]:
+def _joined(docs: DataFrame, widths: tuple[int, ...]) -> tuple[DataFrame, str]:
     """``docs`` with a column of runs, and that column's name."""
-    if not 1 <= width or _reach(width)[0] + 1 >= _N:
-        raise ValueError("width must be from 1 to 728 bytes")
+    if any(not 1 <= w or _reach(w)[0] + 1 >= _N for w in widths):
+        raise ValueError("width must be from 1 to 728 bytes or words")
     runs_name, text_of, run_of = fresh(docs, "runs", "text_of", "run_of")
     text = F.coalesce(F.col("text"), F.lit(""))
     held = docs.withColumn(text_of, F.xxhash64("doc_id", text))
-    runs = _runs(held.select(F.col(text_of).alias("of"), text.alias("text")), width)
+    runs = _runs(held.select(F.col(text_of).alias("of"), text.alias("text")), widths)
     runs = runs.select(F.col("of").alias(run_of), F.col("runs").alias(runs_name))
     joined = held.join(runs, F.col(text_of) == F.col(run_of), "left")
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], runs_name), runs_name
@@ -246,7 +261,7 @@ def report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 size = data.size
                 n, s, digest = 0, 0, None
                 if runs.is_valid and size:
-                    gone, s = _removed(size, runs.values.to_numpy(zero_copy_only=False), width)
+                    gone, s = _removed(np.frombuffer(data, np.uint8), runs.values.to_numpy(zero_copy_only=False), (width,))
                     n = int(gone.sum())
                     digest = hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes())
                 sizes.append(size)
@@ -255,15 +270,17 @@ def report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 digests.append((digest or hashlib.sha256(data)).hexdigest())
             yield {"doc_id": batch.column("doc_id"), "n_bytes": sizes, "n_removed": removed, "n_spans": spans, "kept_sha256": digests}
 
-    joined, _ = _joined(texts_only(docs), width)
+    joined, _ = _joined(texts_only(docs), (width,))
     return map_batches(joined, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", run)
 
 
-def remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``docs`` with text cut by the bytes that ``report`` counts; bytes of characters that a cut splits go too, and n_chars,
+def remove(docs: DataFrame, width: int = WIDTH, passage: int | None = None) -> DataFrame:
+    """``docs`` with text cut by the bytes that ``report`` counts and, where ``passage`` is given, by every passage of so many
+    words that starts at another word of the table too, from its first word to its last; bytes of characters that a cut splits go too, and n_chars,
     where there is such a column, follows. No row goes: a text of repeats only is left empty, a null one null."""
     names = docs.columns
-    joined, runs_name = _joined(docs, width)
+    widths = (width,) if passage is None else (width, passage)
+    joined, runs_name = _joined(docs, widths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,7 +288,7 @@ def remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             for text, runs in zip(batch.column("text"), batch.column(runs_name)):
                 if runs.is_valid and text.is_valid:
                     data = np.frombuffer(text.as_py().encode(), np.uint8)
-                    gone, _ = _removed(len(data), runs.values.to_numpy(zero_copy_only=False), width)
+                    gone, _ = _removed(data, runs.values.to_numpy(zero_copy_only=False), widths)
                     texts.append(data[~gone].tobytes().decode(errors="ignore"))
                 else:
                     texts.append(text.as_py())

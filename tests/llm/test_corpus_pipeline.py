@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -82,3 +83,26 @@ def test_packing_holds_every_token(spark, results):
     rows = results[5].collect()
     assert sum(r["length"] for r in rows) == want and len({r["sequence_id"] for r in rows}) == len(rows)
     assert corpus_pipeline.run(spark, str(SF)).count() == len(rows)
+
+
+def test_repeated_passages_of_over_50_words_are_cut(spark):
+    r = random.Random(8)
+    text = lambda n: " ".join("".join(r.choices("abcdefghij", k=r.randint(2, 6))) for _ in range(n))
+    planted = {n: text(n) for n in (50, 51, 55, 60)}
+    assert max(len(p) for p in planted.values()) < 400
+    planted[400] = "z" + "".join(r.choices("abcdefghij", k=450))  # no words, but 400 bytes
+    own = {(n, k): (text(r.randint(0, 90)), text(r.randint(0, 90))) for n in planted for k in range(3)}
+    rows = [(i, f"{own[n, k][0]} |{n}{k} {planted[n] if k else planted[n].replace(' ', chr(10))} {k}{n}| {own[n, k][1]}", "en", "s", 0) for i, (n, k) in enumerate(own)]
+    rows += [(99, None, "en", "s", None), (98, "", "en", "s", 0), (97, " \n", "en", "s", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    grams = lambda t: {tuple(w[k : k + 51]) for w in [WORD.findall(t or "")] for k in range(len(w) - 50)}
+    seen = Counter(g for t in got.values() for g in grams(t))
+    assert all(n == 1 for n in seen.values())
+    for i, (n, k) in enumerate(own):
+        a, b = own[n, k]
+        if n == 50:
+            assert got[i] == rows[i][1]
+        else:
+            assert "".join(got[i].split()) == "".join(f"{a} |{n}{k} {k}{n}| {b}".split())
+    assert got[99] is None and got[98] == "" and got[97] == " \n"
