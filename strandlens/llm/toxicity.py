@@ -3,7 +3,7 @@
 Three transducers are composed. The lexical one maps words, or their beginnings, to classes with weights:
 insults are learned from labelled rows, the other classes are small fixed word lists. The scope one tracks, within a
 clause, whether a negation or a reporting verb is open. The pattern one joins an insult or a threat with a target
-near it. Matched clauses, not words, are summed by kind, and a logistic model fitted on labelled rows turns the sums
+near it; a threat without a target counts for nothing, an insult without one as kind 0. Sums are by kind, and a logistic model fitted on labelled rows turns the sums
 into a score."""
 
 from __future__ import annotations
@@ -99,9 +99,14 @@ def matcher(entries: dict[str, float]):
         weight = max((entries[f] for f in _features(token) if f in entries), default=0.0)
         return (INSULT, weight) if weight else closed.get(token, (OTHER, 0.0))
 
+    def close(total: list[float], open_: list[tuple[int, float, int, bool]]) -> None:
+        for where, value, _, threat in open_:
+            if not threat:
+                total[where] += value
+
     def sums(text: str) -> list[float]:
         total = [0.0] * KINDS
-        scope, target, open_ = 0, -99, []  # open_: matches of this clause that wait for a target: (kind, weight, place)
+        scope, target, open_ = 0, -99, []  # open_: matches of this clause that wait for a target: (kind, weight, place, is a threat that needs one)
         for at, token in enumerate(TOKEN.findall(text.lower())):
             got = seen.get(token)
             if got is None:
@@ -112,23 +117,23 @@ def matcher(entries: dict[str, float]):
             if kind == OTHER:
                 continue
             if kind < 0:
-                for where, value, _ in open_:
-                    total[where] += value
+                close(total, open_)
                 scope, target, open_ = 0, -99, []
                 continue
             scope = SCOPE[scope, kind]
             if kind == TARGET:
                 # What waits for a target within reach has found it.
-                for where, value, place in open_:
-                    total[1 if where == 0 and at - place <= REACH else where] += value
+                for where, value, place, threat in open_:
+                    near = at - place <= REACH
+                    if near or not threat:
+                        total[1 if where == 0 and near else where] += value
                 target, open_ = at, []
             elif kind == INSULT:
                 where = (0, 2, 3)[scope]
-                open_.append((1 if where == 0 and at - target <= REACH else where, weight, at))
-            elif kind == THREAT and at - target <= REACH:
-                open_.append(((4, 2, 3)[scope], weight, at))
-        for where, value, _ in open_:
-            total[where] += value
+                open_.append((1 if where == 0 and at - target <= REACH else where, weight, at, False))
+            elif kind == THREAT:
+                open_.append(((4, 2, 3)[scope], weight, at, at - target > REACH))
+        close(total, open_)
         return total
 
     return sums

@@ -246,6 +246,14 @@ def test_grammar_tells_kinds_of_clauses():
     assert match("") == [0.0] * 5
 
 
+def test_grammar_lets_threats_wait_for_a_target():
+    match = toxicity.matcher({})
+    assert match("i will kill you") == [0, 0, 0, 0, 1.0]
+    assert match("you will kill you") == [0, 0, 0, 0, 1.0]
+    assert match("i will not kill you") == [0, 0, 1.0, 0, 0]
+    assert match("kill time") == match("kill, you") == match("kill a b c d e f you") == [0.0] * 5
+
+
 # 4 -----------------------------------------------------------------------------------------------
 
 
