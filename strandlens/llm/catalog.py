@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_roles, jaccard_join, mixing, packing, permutation_index, piecewise, repeats, sharding, toxicity, warc
+from . import chat_roles, jaccard_join, merkle, mixing, packing, permutation_index, piecewise, private, repeats, runs, sharding, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -141,3 +141,78 @@ placed AS (
 SELECT doc_id, slot, t[slot + 1]::INTEGER AS shard, 'shard-' || lpad(t[slot + 1], 2, '0') AS shard_name, n_bytes
 FROM placed, filled
 """
+
+
+@query
+def op11_private_data(spark: SparkSession, sf: str) -> DataFrame:
+    return private.report(table(spark, sf, "documents"))
+
+
+@query
+def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.of_documents(table(spark, sf, "documents"))
+
+
+def _merkle_sql(levels: int) -> str:
+    """The tree level by level: so many levels below the subroots, which serves 16 ** levels documents a source, and below the root."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR END"
+    body = " || ".join(map(field, ("doc_id", "source", "lang", "n_chars")))
+    small = f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')"
+    # A CRC-32 is worked out a digit at a time, each by eight steps of the shift register.
+    shift = "xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    rounds = ", ".join(f"b{k} AS (SELECT doc_id, s, pos, {shift} AS c FROM b{k - 1})" for k in range(1, 9))
+    out = f"""WITH RECURSIVE crc AS (
+  SELECT DISTINCT doc_id, doc_id::VARCHAR AS s, 1 AS pos, 4294967295::BIGINT AS c FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL (
+  WITH b0 AS (SELECT doc_id, s, pos + 1 AS pos, xor(c, ascii(s[pos])::BIGINT) AS c FROM crc WHERE pos <= length(s)), {rounds}
+  SELECT doc_id, s, pos, c FROM b8)
+), picked AS (
+  SELECT doc_id FROM crc WHERE pos > length(s) AND xor(c, 4294967295) % 5 = 0
+), d AS (
+  SELECT doc_id, source, sha256({body} || {field("text")}) AS leaf,
+         CASE WHEN doc_id IN (FROM picked) THEN sha256({body} || {field(small)}) END AS shown FROM documents
+), l0 AS (
+  SELECT dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS src, doc_id, leaf, shown,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d
+), n0 AS (SELECT src, i, leaf AS h FROM l0)"""
+
+    def climb(out: str, name: str, tree: str) -> str:
+        for k in range(levels):
+            out += f""",
+{name}g{k} AS (SELECT {tree}, i // 16 AS i, list(h ORDER BY i) AS run, sum(count(*)) OVER (PARTITION BY {tree}) > 1 AS more FROM {name}{k} GROUP BY 1, 2),
+{name}{k + 1} AS (SELECT {tree}, i, CASE WHEN more THEN sha256(array_to_string(run, '')) ELSE run[1] END AS h FROM (
+  SELECT {tree}, i, run, more OR len(run) > 1 AS more FROM {name}g{k}))"""
+        return out
+
+    def fold(out: str, rows: str, name: str, tree: str, at: str) -> tuple[str, str]:
+        for k in range(levels):
+            new = f"{rows}_"
+            out += f""",
+{new} AS (
+  SELECT r.* EXCLUDE (proof, folded, {at}), r.{at} // 16 AS {at},
+         CASE WHEN g.more THEN proof || array_to_string(run[:r.{at} % 16] || run[r.{at} % 16 + 2:], '') ELSE proof END AS proof,
+         CASE WHEN g.more THEN sha256(array_to_string(run[:r.{at} % 16] || [folded] || run[r.{at} % 16 + 2:], '')) ELSE folded END AS folded
+  FROM {rows} r JOIN (SELECT {tree}, i, run, more OR len(run) > 1 AS more FROM {name}g{k}) g ON g.{tree} = r.{tree} AND g.i = r.{at} // 16)"""
+            rows = new
+        return out, rows
+
+    out = climb(out, "n", "src")
+    out += f""",
+t0 AS (SELECT 0 AS top, src AS i, h FROM n{levels})"""
+    out = climb(out, "t", "top")
+    out += """,
+p AS (SELECT *, 0 AS top, src AS j, '' AS proof, coalesce(shown, leaf) AS folded FROM l0)"""
+    out, rows = fold(out, "p", "n", "src", "i")
+    out, rows = fold(out, rows, "t", "top", "j")
+    return out + f"""
+SELECT r.doc_id, r.leaf, s.h AS subroot, t.h AS root, sha256(r.proof) AS proof_sha256, r.folded AS folded_root, r.folded = t.h AS verified
+FROM {rows} r JOIN n{levels} s ON s.src = r.src CROSS JOIN t{levels} t
+"""
+
+
+ORACLE["op12_merkle"] = _merkle_sql(5)
+
+
+@query
+def op13_word_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.report(table(spark, sf, "documents"), runs.looped)
