@@ -9,8 +9,10 @@ from ..operators import intervals as I
 from ..operators import ordered as O
 from ..operators import reports as R
 from ..operators import stats as S
+from ..plans.datasets import by_day
 from ..plans.datasets import sequence_detail as sequence_detail_sql
 from ..plans.pipeline import join_logs as join_two_logs
+from ..sources.sinks import stage
 from .registry import query
 from .tables import (
     CASTINGS,
@@ -47,26 +49,40 @@ def long_gaps(spark, sf):
     return O.significant_gaps(deltas(spark, sf), GAP_SECONDS)
 
 
-@query(
-    "join_logs",
-    """SELECT a.ts, a.level, b.speed, b.event_id FROM
+JOIN_LOGS = """SELECT a.ts, a.level, b.speed, b.event_id FROM
          (SELECT DATE_TRUNC('hour', ts) AS ts, AVG(value) AS level FROM events
-          WHERE event_type IN ('click', 'view') GROUP BY ALL) a
+          WHERE COALESCE(event_type <> 'purchase', TRUE) GROUP BY ALL) a
          JOIN (SELECT DATE_TRUNC('hour', ts) AS ts, value AS speed, event_id FROM events
-               WHERE event_type = 'purchase') b ON a.ts = b.ts""",
-    "level speed",
-)
-def join_logs(spark, sf):
+               WHERE event_type = 'purchase') b ON a.ts = b.ts"""
+
+
+def two_logs(spark, sf):
+    """Purchases as the process log, all other events as the temperature log, down to hours."""
     events = table(spark, sf, "events").withColumn(
         "ts", F.date_trunc("hour", "ts").cast("timestamp_ntz")
     )
-    first = events.filter(F.col("event_type").isin("click", "view")).select(
-        "ts", F.col("value").alias("level")
-    )
-    second = events.filter(F.col("event_type") == "purchase").select(
-        "ts", F.col("value").alias("speed"), "event_id"
-    )
-    return join_two_logs(S.downsample(first, ["ts"]), second, ["ts"])
+    process = F.coalesce(F.col("event_type") == "purchase", F.lit(False))
+    first = events.filter(~process).select("ts", F.col("value").alias("level"))
+    second = events.filter(process).select("ts", F.col("value").alias("speed"), "event_id")
+    return S.downsample(first, ["ts"]), second
+
+
+@query("join_logs", JOIN_LOGS, "level speed")
+def join_logs(spark, sf):
+    return join_two_logs(*two_logs(spark, sf), ["ts"])
+
+
+@query(
+    "join_logs_kept",
+    f"""WITH j AS ({JOIN_LOGS}) SELECT ts, COUNT(*) AS n, AVG(speed) AS speed, MAX(level) AS level,
+          (SELECT COUNT(*) FROM j) AS joined_rows FROM j GROUP BY ts""",
+    "speed level",
+)
+def join_logs_kept(spark, sf):
+    """The joined logs kept for several uses: staged once, then counted and averaged."""
+    joined = stage(join_two_logs(*two_logs(spark, sf), ["ts"]), "joined-logs")
+    means = joined.groupBy("ts").agg(F.count(F.lit(1)).alias("n"), F.avg("speed").alias("speed"), F.max("level").alias("level"))
+    return means.withColumn("joined_rows", joined.select(F.count(F.lit(1))).scalar())
 
 
 def _double_id(df):
@@ -181,13 +197,25 @@ COVERED = f"""covered AS (
     ON e.strand = c.strand AND e.ts BETWEEN c.ts_start AND c.ts_end
   GROUP BY c.strand, c.casting_id, c.ts_start, c.ts_end)"""
 
-# Points are thinned so that all four states occur: some castings have none,
-# some start or end on the dot.
+# Points are moved and castings added so that all four states occur: some points lie on a casting's start or end, and a fifth
+# of the castings is planned again for days long after the last event.
 POINTS = """points AS (
   SELECT strand, CASE WHEN user_id % 29 = 0 AND HOUR(ts) < 12 THEN LEAST(ts, DATE_TRUNC('day', ts) + INTERVAL 6 HOUR)
                       WHEN user_id % 31 = 0 AND HOUR(ts) >= 12 THEN GREATEST(ts, DATE_TRUNC('day', ts) + INTERVAL 18 HOUR)
                       ELSE ts END AS ts
-  FROM signal WHERE NOT (DAY(ts) % 5 = 0 AND strand = 'view') AND NOT (DAY(ts) % 7 = 0 AND HOUR(ts) > 15))"""
+  FROM signal)"""
+PLANNED = f"""{STRAND_CASTINGS.replace('strand_castings AS', 'past_castings AS', 1)}, strand_castings AS (
+  SELECT * FROM past_castings UNION ALL
+  SELECT strand, casting_id + 100000, ts_start + INTERVAL 4000 DAY, ts_end + INTERVAL 4000 DAY, grade FROM past_castings WHERE casting_id % 5 = 0)"""
+
+
+def planned_castings(spark, sf):
+    past = strand_castings(spark, sf)
+    later = past.filter(F.col("casting_id") % 5 == 0).withColumns({
+        "casting_id": F.col("casting_id") + 100_000,
+        **{c: F.col(c) + F.expr("interval 4000 days") for c in ("ts_start", "ts_end")},
+    })
+    return past.unionByName(later)
 
 
 def covered(spark, sf):
@@ -199,25 +227,21 @@ def covered(spark, sf):
         .when((F.col("user_id") % 31 == 0) & (F.hour("ts") >= 12), F.greatest(F.col("ts"), eighteen))
         .otherwise(F.col("ts"))
     )
-    kept = s.filter(
-        ~((F.dayofmonth("ts") % 5 == 0) & (F.col("strand") == "view"))
-        & ~((F.dayofmonth("ts") % 7 == 0) & (F.hour("ts") > 15))
-    )
-    points = kept.select("strand", moved.alias("ts"))
+    points = s.select("strand", moved.alias("ts"))
     return I.coverage(
-        points, strand_castings(spark, sf).drop("grade"), "ts", "ts_start", "ts_end",
+        points, planned_castings(spark, sf).drop("grade"), "ts", "ts_start", "ts_end",
         ["strand", "casting_id"], keys=["strand"],
     )
 
 
-@query("casting_coverage", f"WITH {SIGNAL}, {POINTS}, {STRAND_CASTINGS}, {COVERED} SELECT * FROM covered")
+@query("casting_coverage", f"WITH {SIGNAL}, {POINTS}, {PLANNED}, {COVERED} SELECT * FROM covered")
 def casting_coverage(spark, sf):
     return covered(spark, sf)
 
 
 @query(
     "coverage_status",
-    f"""WITH {SIGNAL}, {POINTS}, {STRAND_CASTINGS}, {COVERED}
+    f"""WITH {SIGNAL}, {POINTS}, {PLANNED}, {COVERED}
         SELECT coverage_status, COUNT(*) AS count FROM covered GROUP BY coverage_status""",
 )
 def coverage_status(spark, sf):
@@ -226,7 +250,7 @@ def coverage_status(spark, sf):
 
 @query(
     "coverage_mismatch",
-    f"""WITH {SIGNAL}, {POINTS}, {STRAND_CASTINGS}, {COVERED}
+    f"""WITH {SIGNAL}, {POINTS}, {PLANNED}, {COVERED}
         SELECT *, (epoch_us(ts_end) // 1000000 - epoch_us(ts_start) // 1000000) / 3600 AS expected_duration_hours,
                (epoch_us(first_data) // 1000000 - epoch_us(ts_start) // 1000000) / 3600 AS data_start_delay_hours,
                (epoch_us(ts_end) // 1000000 - epoch_us(last_data) // 1000000) / 3600 AS data_end_early_hours
@@ -283,8 +307,9 @@ def sequence_detail(spark, sf):
 
 @query(
     "sequence_detail_sql",
-    f"""WITH {SEQ_BOUNDS_SQL}, {DETAIL} SELECT ts AS time, level, speed, 'Normal' AS disturbance_type, sigma AS sequence_sigma
-        FROM detail WHERE printf('seq_%04d', seq_id) = 'seq_0003'""",
+    f"""WITH {SEQ_BOUNDS_SQL}, {DETAIL} SELECT ts AS time, level, speed, 'Normal' AS disturbance_type, sigma AS sequence_sigma,
+          CASE WHEN seq_id % 4 > 0 THEN CONCAT(1 + seq_id % 6, 'A') END AS "Quality casting"
+        FROM detail WHERE printf('seq_%04d', seq_id) = 'seq_0003' ORDER BY ts, event_id""",
     "level speed sequence_sigma",
 )
 def sequence_detail_query(spark, sf):
@@ -295,9 +320,10 @@ def sequence_detail_query(spark, sf):
         F.col("end_ts").alias("Seq_time_End"),
         F.col("sigma").alias("MOLD_LEVEL_std [mm]"),
         F.lit("Normal").alias("disturbance_type"),
+        F.when(F.col("seq_id") % 4 > 0, F.concat((1 + F.col("seq_id") % 6).cast("string"), F.lit("A"))).alias("Quality casting"),
     )
-    rows = signal(spark, sf).select("strand", "ts", "level", "speed")
-    return sequence_detail_sql(spark, rows, sequences, "ts", ["level", "speed"], "seq_0003")
+    rows = by_day(signal(spark, sf).select("strand", "event_id", "ts", "level", "speed"), "ts")
+    return sequence_detail_sql(spark, rows, stage(sequences, "sequences"), "ts", ["level", "speed"], "seq_0003", ["event_id"])
 
 
 @query(

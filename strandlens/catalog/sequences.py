@@ -549,19 +549,18 @@ def stable_table(spark, sf):
     )
 
 
-@query(
-    "corr_dataset_sql",
-    f"WITH {WINDOWS_TABLE} SELECT seq_id, speed AS casting_speed, width AS mold_width, sigma AS mold_level_sigma, label AS disturbance_type FROM windows",
-    "casting_speed mold_width mold_level_sigma",
-)
+CORR_COLUMNS = {"seq_id": "seq_id", "speed": "casting_speed", "width": "mold_width", "sigma": "mold_level_sigma"}
+CORR_SQL = f"WITH {WINDOWS_TABLE} SELECT seq_id, speed AS casting_speed, width AS mold_width, sigma AS mold_level_sigma, label AS disturbance_type FROM windows"
+
+
+@query("corr_dataset_sql", CORR_SQL, "casting_speed mold_width mold_level_sigma")
 def corr_dataset_sql(spark, sf):
-    return parameter_correlations(
-        spark,
-        windows_table(spark, sf),
-        {"seq_id": "seq_id", "speed": "casting_speed", "width": "mold_width", "sigma": "mold_level_sigma"},
-        "label",
-        "All",
-    )
+    return parameter_correlations(spark, windows_table(spark, sf), CORR_COLUMNS, "label", "All")
+
+
+@query("corr_dataset_label_sql", f"{CORR_SQL} WHERE label = 'Slow drift'", "casting_speed mold_width mold_level_sigma")
+def corr_dataset_label_sql(spark, sf):
+    return parameter_correlations(spark, windows_table(spark, sf), CORR_COLUMNS, "label", "Slow drift")
 
 
 @query(

@@ -284,7 +284,7 @@ WALK = _walk_sql(_ACTIVE)
     f"WITH RECURSIVE {SIGNAL}, {WALK} SELECT strand, segment_id, pos AS start_pos FROM walk WHERE steady",
 )
 def stable_windows(spark, sf):
-    return W.pick_windows(starts(spark, sf), SPEC.keys, _W, stage=stage)
+    return W.pick_windows(starts(spark, sf), SPEC.keys, _W)
 
 
 @query(
@@ -313,7 +313,7 @@ def sequence_rows(spark, sf):
         printf('seq_%04d', ROW_NUMBER() OVER (PARTITION BY strand ORDER BY pos) - 1) AS "Seq_Name" FROM walk WHERE steady""",
 )
 def sequence_names(spark, sf):
-    picks = W.pick_windows(starts(spark, sf), SPEC.keys, _W, stage=stage)
+    picks = W.pick_windows(starts(spark, sf), SPEC.keys, _W)
     numbered = W.number_windows(picks, SPEC.keys)
     return numbered.select("strand", "start_pos", W.sequence_name("seq_no").alias("Seq_Name"))
 
@@ -409,8 +409,8 @@ def hourly_coverage(spark, sf):
 
 @query(
     "coverage_zero_filled",
-    """WITH c AS (SELECT event_type AS strand, DATE_TRUNC('hour', ts) AS hour, COUNT(*) AS n FROM events
-                  WHERE HOUR(ts) % 5 <> 0 GROUP BY ALL),
+    """WITH c AS (SELECT CONCAT(event_type, '-', user_id % 40) AS strand, DATE_TRUNC('hour', ts) AS hour, COUNT(*) AS n
+                  FROM events GROUP BY ALL),
        s AS (SELECT strand, UNNEST(GENERATE_SERIES(MIN(hour), MAX(hour), INTERVAL 1 HOUR)) AS hour FROM c GROUP BY strand),
        f AS (SELECT s.strand, s.hour, COALESCE(n, 0) AS n FROM s LEFT JOIN c USING (strand, hour)),
        l AS (SELECT *, n = 0 AND LAG(n) OVER (PARTITION BY strand ORDER BY hour) > 0 AS starts FROM f)
@@ -419,10 +419,19 @@ def hourly_coverage(spark, sf):
     "coverage_pct",
 )
 def coverage_zero_filled(spark, sf):
-    rows = table(spark, sf, "events").filter(F.hour("ts") % 5 != 0)
-    return R.coverage_zero_filled(
-        rows.select(F.col("event_type").alias("strand"), "ts"), "ts", ["strand"]
-    )
+    """Users are dealt to 40 strands per event type, so that strands have hours without data."""
+    strand = F.concat_ws("-", "event_type", (F.col("user_id") % 40).cast("string"))
+    return R.coverage_zero_filled(table(spark, sf, "events").select(strand.alias("strand"), "ts"), "ts", ["strand"])
+
+
+@query(
+    "ordered_log",
+    "SELECT ts, event_id, event_type, value FROM events ORDER BY ts, event_id",
+    "value",
+)
+def ordered_log(spark, sf):
+    """The log in time order: sorted by ranges of time, each range in one task."""
+    return table(spark, sf, "events").select("ts", "event_id", "event_type", "value").orderBy("ts", "event_id")
 
 
 @query(

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timing import _column, bucket, hours_between, micros
@@ -68,43 +68,42 @@ def join_points(
 
     Overlapping intervals repeat the point. ``extra`` is a further condition
     over the columns of both sides. Column names of the two sides must differ
-    but for ``keys``. ``how``: left, inner or left_semi. A point probes the one bucket that holds it at each level in
-    use; points without time match nothing and stay out of the shuffle.
+    but for ``keys``. ``how``: left, inner or left_semi. A point carries the bucket that holds it at each level in
+    use, so all levels are one join and points are read once; points without time match nothing and stay out of it.
+    A left or semi join over several levels tells afterwards, by the points' own columns, which have no match at any.
     """
     listed = by_bucket(intervals, start, end, bucket_seconds)
     levels = levels_of(listed) or [0]
     at = _column(ts)
-
-    def probe(rows: DataFrame, n: int, how: str) -> DataFrame:
-        left = rows.withColumn(_BUCKET, bucket(ts, _width(bucket_seconds, n)))
-        right = listed.filter(F.col(_LEVEL) == n).drop(_LEVEL)
-        right = right.withColumnsRenamed({c: f"_iv_{c}" for c in [*keys, _BUCKET]})
-        match = (F.col(_BUCKET) == F.col(f"_iv_{_BUCKET}")) & at.between(_column(start), _column(end))
-        for k in keys:
-            match = match & (_column(k) == _column(f"_iv_{k}"))
-        if extra is not None:
-            match = match & extra
-        return left.join(right, match, how).drop(_BUCKET, *[f"_iv_{c}" for c in [*keys, _BUCKET]])
-
-    timed = points.filter(at.isNotNull())
-    if how == "inner" or len(levels) == 1:
-        parts = [probe(timed, n, how) for n in levels]
-    elif how == "left_semi":
-        parts = []
-        for n in levels:
-            parts.append(probe(timed, n, "left_semi"))
-            timed = probe(timed, n, "left_anti")
+    several = len(levels) > 1
+    if several:
+        probes = [F.struct(F.lit(n).alias(_LEVEL), bucket(ts, _width(bucket_seconds, n)).alias(_BUCKET)) for n in levels]
+        probes = F.when(at.isNotNull(), F.array(*probes)).otherwise(F.array(F.struct(F.lit(levels[0]).alias(_LEVEL), F.lit(None).cast("bigint").alias(_BUCKET))))
+        left = points.withColumn("_probe", F.explode(probes)).select(*[_column(c) for c in points.columns], "_probe.*")
     else:
-        parts = [probe(timed, n, "inner") for n in levels]
-        for n in levels:
-            timed = probe(timed, n, "left_anti")
-        parts.append(timed)
-    if how == "left":
-        parts.append(points.filter(at.isNull()))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
+        left = points.withColumns({_LEVEL: F.lit(levels[0]), _BUCKET: bucket(ts, _width(bucket_seconds, levels[0]))})
+    if how != "left":
+        left = left.filter(at.isNotNull())
+    joint = [*keys, _LEVEL, _BUCKET]
+    right = listed.withColumnsRenamed({c: f"_iv_{c}" for c in joint})
+    match = at.between(_column(start), _column(end))
+    for c in joint:
+        match = match & (_column(c) == _column(f"_iv_{c}"))
+    if extra is not None:
+        match = match & extra
+    out = left.join(right, match, how)
+    gone = [_LEVEL, _BUCKET, *[f"_iv_{c}" for c in joint]]
+    if how == "inner" or not several:
+        return out.drop(*gone)
+    # Equal points fare alike, so a group of them keeps all its rows of one level, or all its matches.
+    same = Window.partitionBy(*[_column(k) for k in keys], at, F.xxhash64(*[_column(c) for c in points.columns]))
+    if how == "left_semi":
+        found = out.withColumn("_least", F.min(_LEVEL).over(same)).filter(F.col(_LEVEL) == F.col("_least"))
+        return found.drop(*gone, "_least")
+    hit = F.col(f"_iv_{_BUCKET}").isNotNull()
+    found = out.withColumns({"_hits": F.count_if(hit).over(same), "_least": F.min(_LEVEL).over(same)})
+    found = found.filter(hit | ((F.col("_hits") == 0) & (F.col(_LEVEL) == F.col("_least"))))
+    return found.drop(*gone, "_hits", "_least")
 
 
 def attach(
@@ -134,31 +133,33 @@ def overlaps_any(
     identity: Sequence[str],
     bucket_seconds: float = 3_600,
 ) -> DataFrame:
-    """Spans that share an instant with any interval; ``identity`` names a span."""
-    listed = by_bucket(intervals, *bounds, bucket_seconds)
-    wide = listed.select(
-        _column(bounds[0]).alias("_s"), _column(bounds[1]).alias("_e"), F.col(_BUCKET).alias("_b"), F.col(_LEVEL).alias("_l")
+    """Spans that share an instant with any interval; ``identity`` names a span.
+
+    A span meets an interval iff more intervals start by its end than end before its start. Both are running counts over
+    one timeline of starts, ends, and the spans' own two ends, taken in time chunks: no interval is listed more than
+    once, however long it is, and no pair is formed."""
+    lasting = intervals.filter(_column(bounds[0]) <= _column(bounds[1]))
+    asked = spans.filter(_column(span[0]) <= _column(span[1]))
+    first, opens, closes, last = range(4)  # order at one instant: an end at a span's start is not before it
+
+    def marks(rows: DataFrame, at: tuple[str, str], kinds: tuple[int, int], keep: list[str]) -> DataFrame:
+        both = F.array(*[F.struct(_column(c).alias("_at"), F.lit(k).alias("_kind")) for c, k in zip(at, kinds)])
+        columns = [_column(c) for c in keep]
+        return rows.select(*columns, F.explode(both).alias("_m")).select(*columns, "_m.*")
+
+    line = marks(asked, span, (first, last), spans.columns).unionByName(
+        marks(lasting, bounds, (opens, closes), []), allowMissingColumns=True
+    )
+    kind = F.col("_kind")
+    counts = {"_opened": kind == opens, "_closed": kind == closes}
+    counted = scan(line, [], ["_at", "_kind"], bucket("_at", bucket_seconds), counts=counts)
+    named = list(dict.fromkeys([*identity, *span]))
+    others = [c for c in spans.columns if c not in named]
+    opened, closed = F.max(F.when(kind == last, F.col("_opened"))), F.max(F.when(kind == first, F.col("_closed")))
+    held = counted.filter(kind.isin(first, last)).groupBy(*[_column(c) for c in named]).agg(
+        (opened > closed).alias("_meets"), *[F.any_value(_column(c)).alias(c) for c in others]
     )
-    spans_ = spans.filter(_column(span[0]) <= _column(span[1]))
-    found = None
-    for n in levels_of(listed):
-        # A span meets the intervals of a level in the buckets of that level; a long span among short intervals is found
-        # from the other side, by the buckets of its own level, which the intervals' starts fall into.
-        cut = by_bucket(spans_, *span, _width(bucket_seconds, n))
-        for m in levels_of(cut):
-            ratio = LEVEL_RATIO**m
-            left = cut.filter(F.col(_LEVEL) == m).drop(_LEVEL)
-            right = wide.filter(F.col("_l") == n).withColumn("_b", F.floor(F.col("_b") / ratio).cast("bigint"))
-            match = (
-                (F.col(_BUCKET) == F.col("_b"))
-                & (F.col("_s") <= _column(span[1]))
-                & (F.col("_e") >= _column(span[0]))
-            )
-            hit = left.join(right, match, "left_semi").drop(_BUCKET)
-            found = hit if found is None else found.unionByName(hit)
-    if found is None:
-        return spans.limit(0)
-    return found.dropDuplicates(list(identity))
+    return held.filter("_meets").select(*[_column(c) for c in spans.columns])
 
 
 def classify_gaps(

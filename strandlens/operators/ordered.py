@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.timing import _column, micros
+from ..sources.sinks import stage
 from ..spec import SignalSpec
 
 CHUNK = "_chunk"
@@ -369,22 +370,53 @@ def spike_clean(
     return both.withColumn(name, filled).select(*[_column(c) for c in df.columns], name)
 
 
+def _range_sorted(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Rows sorted over ranges of ``order``, staged, with ``_range`` and ``_place``, the place in the range. Ranges are fitted to the rows,
+    so they stay even whatever the values are."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The number of a partition and the row's place in it, in one integer.
+    at = dealt.withColumn("_at", F.monotonically_increasing_id())
+    parts = {"_range": F.shiftright("_at", 33).cast("int"), "_place": F.col("_at").bitwiseAND((1 << 33) - 1)}
+    return stage(at.withColumns(parts).drop("_at"), "sorted")
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """0-based number of each row along ``order`` in its group, which may be one for all rows and may have rows of one value only.
+    Offsets come from a count per group and range."""
+    key_cols = [_column(k) for k in keys]
+    placed = _range_sorted(df, [*[k.asc() for k in key_cols], *order])
+    counts = placed.groupBy(*key_cols, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    along = Window.partitionBy(*key_cols).orderBy("_range")
+    counts = counts.withColumn("_upto", F.sum("_n").over(along) - F.col("_n"))
+    renamed = counts.withColumnsRenamed({c: f"_c_{c}" for c in [*keys, "_range"]})
+    match = F.col("_range") == F.col("_c__range")
+    for k in keys:
+        match = match & _column(k).eqNullSafe(_column(f"_c_{k}"))
+    number = (F.col("_upto") + F.col("_place") - F.col("_first")).cast("bigint")
+    return placed.join(renamed, match).select(*[_column(c) for c in df.columns], number.alias(name))
+
+
 def ecdf(counts: DataFrame, value: str, piece: int = 10_000) -> DataFrame:
     """One row per counted value with its rank and cumulative percentage.
 
-    ``counts`` holds (value, n) with few distinct values. Equal values get
+    ``counts`` holds (value, n), with any number of distinct values. Equal values get
     distinct ranks; a value that occurs very often is spread over tasks before
-    it is expanded.
+    it is expanded. Running counts are taken inside ranges of the value; the ranges' own sums, one row per range, are added up on
+    the driver.
     """
-    order = Window.orderBy(value)
-    placed = counts.select(
-        value,
-        "n",
-        F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_to"),
-    )
-    total = counts.agg(F.sum("n")).scalar()
+    spark = counts.sparkSession
+    placed = _range_sorted(counts.select(value, F.col("n").cast("bigint").alias("n")), [_column(value).asc()])
+    sums = placed.groupBy("_range").agg(F.sum("n").alias("n")).collect()
+    before, total = [], 0
+    for r in sorted(sums, key=lambda r: r["_range"]):
+        before.append((r["_range"], total))
+        total += r["n"]
+    # As many rows as ranges.
+    before = spark.createDataFrame(before, "_range int, _before bigint")
+    inside = Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    upto = placed.withColumn("_to", F.sum("n").over(inside)).join(F.broadcast(before), "_range")
     pieces = (
-        placed.withColumn("_total", total)
+        upto.select(value, "n", (F.col("_to") + F.col("_before")).alias("_to"))
         .withColumn("_from", F.col("_to") - F.col("n") + 1)
         .withColumn(
             "_start", F.explode(F.sequence("_from", "_to", F.lit(piece).cast("bigint")))
@@ -393,5 +425,5 @@ def ecdf(counts: DataFrame, value: str, piece: int = 10_000) -> DataFrame:
     )
     ranks = F.sequence("_start", F.least(F.col("_start") + (piece - 1), F.col("_to")))
     return pieces.withColumn("rank", F.explode(ranks)).select(
-        value, "rank", (F.col("rank") / F.col("_total") * 100).alias("cumulative_pct")
+        value, "rank", (F.col("rank") / F.lit(total) * 100).alias("cumulative_pct")
     )

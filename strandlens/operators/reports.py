@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import FAMILIES, WIDTH_LABELS, family_name, known
 from ..functions.labels import FLAGS, NORMAL
 from ..functions.timing import _column, hours_between
-from .quantiles import quantiles
+from ..sources.sinks import stage
+from .quantiles import quantiles, value_cells
 
 
 def null_stats(df: DataFrame, column: str, distinct: Sequence[str] = ()) -> DataFrame:
@@ -89,30 +91,21 @@ def _effect(
     """Counts and median sigma per category, for all and for clean windows."""
     key_cols = [_column(k) for k in keys]
     clean = _column(label) == NORMAL
-    aggs = [
-        F.count(F.lit(1)).alias("n_all"),
-        F.count_if(clean).alias("n_clean"),
-    ]
+    scopes = {"all": F.lit(True), "clean": clean}
+    on = [*keys, category]
+    more = {"_all": F.count(F.lit(1)), "_clean": F.count_if(clean)}
     if exceed is not None:
-        above = F.coalesce(_column(sigma) > exceed, F.lit(False)).cast("double")
-        aggs.append((F.avg(above) * 100).alias("exceed_pct"))
-    counts = seqs.groupBy(*key_cols, _column(category)).agg(*aggs)
-    scopes = F.array_compact(F.array(F.lit("all"), F.when(clean, "clean")))
-    scoped = seqs.select(
-        *key_cols, _column(category), _column(sigma), F.explode(scopes).alias("_scope")
-    )
-    medians = (
-        quantiles(scoped, [*keys, category, "_scope"], sigma, {"_med": 0.5})
-        .groupBy(*key_cols, _column(category))
-        .agg(
-            F.max(F.when(F.col("_scope") == "all", F.col("_med"))).alias("med_all"),
-            F.max(F.when(F.col("_scope") == "clean", F.col("_med"))).alias("med_clean"),
-        )
-    )
-    spine = seqs.select(*key_cols).distinct().withColumn(
+        more["_above"] = F.count_if(known(sigma) > exceed)
+    # One histogram gives the counts, the groups and the medians' bins.
+    cells = value_cells(seqs, on, sigma, scopes, more)
+    aggs = [F.sum("_all").alias("n_all"), F.sum("_clean").alias("n_clean")]
+    if exceed is not None:
+        aggs.append((F.sum("_above") / F.sum("_all") * 100).alias("exceed_pct"))
+    counts = cells.groupBy(*key_cols, _column(category)).agg(*aggs)
+    medians = quantiles(seqs, on, sigma, {"med": 0.5}, scopes, cells)
+    spine = cells.select(*key_cols).distinct().withColumn(
         category, F.explode(F.array(*[F.lit(x) for x in labels]))
     )
-    on = [*keys, category]
     return (
         spine.join(counts, on, "left")
         .join(medians, on, "left")
@@ -359,26 +352,34 @@ BOX = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
 def box_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Count, mean, sample spread, extremes and quartiles per group."""
-    v = _column(value)
-    known = df.filter(v.isNotNull())
-    aggs = [
-        F.count(v).alias("n"),
-        F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-    ]
-    quartiles = quantiles(known, by, value, BOX)
+    """Count, mean, sample spread, extremes and quartiles per group; null and NaN values are left out.
+
+    Moments are put together from those of the quartiles' bins, so the rows are read twice, for the bins and for the quartiles."""
+    x = known(value).cast("double")
+    valued = df.filter(x.isNotNull())
+    cells = value_cells(valued, by, value, None, {"_mean": F.avg(x), "_spread": F.var_pop(x)})
+    keys = [_column(b) for b in by]
+    n, mean = F.col("_n0"), F.col("_mean")
+    groups = cells.groupBy(*keys).agg(F.sum(n * mean).alias("_sum"), F.sum(n).alias("n"), F.min("_low").alias("min"), F.max("_high").alias("max"))
+    groups = groups.withColumn("mean", F.try_divide("_sum", "n")).drop("_sum")
+    quartiles = quantiles(valued, by, value, BOX, None, cells)
     if not by:
-        return known.agg(*aggs).withColumns({q: quartiles.select(q).scalar() for q in BOX})
-    moments = known.groupBy(*[_column(b) for b in by]).agg(*aggs)
-    quartiles = quartiles.withColumnsRenamed({b: f"_q_{b}" for b in by})
-    same = None
-    for b in by:
-        eq = _column(b).eqNullSafe(_column(f"_q_{b}"))
-        same = eq if same is None else same & eq
-    return moments.join(quartiles, same).drop(*[f"_q_{b}" for b in by])
+        centre = groups.select("mean").scalar()
+        around = cells.agg(F.sum(n * (F.col("_spread") + (mean - centre) ** 2)).alias("_square")).select("_square").scalar()
+        whole = groups.withColumn("n", F.coalesce("n", F.lit(0)))
+        std = F.when(F.col("n") > 1, F.sqrt(around / (F.col("n") - 1)))
+        return whole.select("n", "mean", std.alias("std"), "min", "max").withColumns({q: quartiles.select(q).scalar() for q in BOX})
+
+    def beside(left: DataFrame, right: DataFrame, mark: str) -> DataFrame:
+        right = right.withColumnsRenamed({b: f"_{mark}_{b}" for b in by})
+        same = reduce(lambda a, b: a & b, [_column(b).eqNullSafe(_column(f"_{mark}_{b}")) for b in by])
+        return left.join(right, same).drop(*[f"_{mark}_{b}" for b in by])
+
+    centres = groups.select(*keys, F.col("mean").alias("_centre"))
+    around = beside(cells, centres, "m").groupBy(*keys).agg(F.sum(n * (F.col("_spread") + (mean - F.col("_centre")) ** 2)).alias("_square"))
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("_square") / (F.col("n") - 1)))
+    moments = beside(groups, around, "s").select(*keys, "n", "mean", std.alias("std"), "min", "max")
+    return beside(moments, quartiles, "q")
 
 
 def grade_order(df: DataFrame, grade: str, sigma: str) -> DataFrame:
@@ -391,15 +392,16 @@ def grade_order(df: DataFrame, grade: str, sigma: str) -> DataFrame:
 def stability_category(
     df: DataFrame, keys: Sequence[str], ptp: str, sigma: str, low: float = 0.2, high: float = 0.8
 ) -> DataFrame:
-    """Stable, Medium or Unstable by the 20th and 80th percentile of sigma."""
-    known = df.filter(_column(ptp).isNotNull() & _column(sigma).isNotNull())
-    cuts = quantiles(known, keys, sigma, {"q_low": low, "q_high": high})
+    """Stable, Medium or Unstable by the 20th and 80th percentile of sigma. Rows without ptp or sigma, NaN included, are left
+    out. The rows are staged: cuts and categories read the few columns that are asked for."""
+    valued = stage(df.filter(known(ptp).isNotNull() & known(sigma).isNotNull()), "stability")
+    cuts = quantiles(valued, keys, sigma, {"q_low": low, "q_high": high})
     category = (
         F.when(_column(sigma) <= F.col("q_low"), "Stable")
         .when(_column(sigma) <= F.col("q_high"), "Medium")
         .otherwise("Unstable")
     )
-    return known.join(cuts, list(keys)).withColumn("stability", category)
+    return valued.join(cuts, list(keys)).withColumn("stability", category)
 
 
 def casting_totals(castings: DataFrame, start: str, end: str) -> DataFrame:

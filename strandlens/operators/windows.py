@@ -3,15 +3,14 @@
 The rule is greedy: walk a segment from its first row; a steady window of W rows
 is taken and skipped over, otherwise the walk moves on by one row. The walk is
 sequential, but its state when it enters a stretch of rows is one of W offsets.
-So stretches ("pieces") are worked in parallel: each is folded once per possible
-entry offset, the resulting small tables are chained, and a final parallel fold
-emits the windows. Inside a piece only runs of steady starts are visited, not
-rows.
+So stretches ("pieces") are worked in parallel: each gives a table from entry to
+exit offset, the tables are composed in a tree, and a final parallel walk
+emits the windows (see ``walks``). Only runs of steady starts are sent, not rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.timing import _column, bucket
+from ..sources.sinks import stage
 from .ordered import BLOCK, finish, halo_blocks, scan, segment_by_gaps, with_position
+from .walks import Spaced, chain_entries, terminals, visits, whole_pieces
 
-# Lists of runs and picks grow inside a fold by copying, so a piece is kept short.
-PIECE_ROWS = 1 << 14
+PIECE_ROWS = 1 << 20
 
 
 def steady_starts(
@@ -116,44 +116,6 @@ def steady_starts(
     )
 
 
-def _after_run(free: Column, run: Column, window: int) -> Column:
-    """First position that is free again once a run of steady starts is used up."""
-    first = F.greatest(free, run["a"])
-    taken = F.floor((run["b"] - first) / window).cast("bigint") + 1
-    return F.when(first <= run["b"], first + taken * window).otherwise(free)
-
-
-def chain_entries(tables: DataFrame, group: Sequence[str], restart: bool) -> DataFrame:
-    """(group, _piece, _entry): the offset at which a walk enters each piece.
-
-    ``_leave`` lists, per offset of entry, the offset in the next piece, -1 where the walk ends. The pieces of a group are
-    read one after the other and only the current offset is held. A piece whose predecessor is missing is entered at 0 with
-    ``restart``; without, only piece 0 is, and pieces behind the end of the walk are left out.
-    """
-    group = list(group)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, following, offset = None, -1, 0
-        for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in group)))
-            pieces = batch.column("_piece").to_pylist()
-            entries = []
-            for i, (key, piece) in enumerate(zip(keys, pieces)):
-                linked = key == at and piece == following
-                entry = offset if linked else 0 if restart or piece == 0 else -1
-                entries.append(entry)
-                at, following = key, piece + 1
-                offset = batch.column("_leave")[i][entry].as_py() if entry >= 0 else -1
-            kept = pa.array([e >= 0 for e in entries])
-            made = [*(batch.column(c) for c in group), batch.column("_piece"), pa.array(entries, pa.int32())]
-            yield pa.RecordBatch.from_arrays(made, names=[*group, "_piece", "_entry"]).filter(kept)
-
-    columns = [*[_column(g) for g in group], F.col("_piece"), F.col("_leave")]
-    dealt = tables.select(*columns).repartition(*columns[: len(group)]).sortWithinPartitions(*columns[:-1])
-    schema = tables.select(*columns[:-1], F.lit(0).alias("_entry")).schema
-    return dealt.mapInArrow(run, schema)
-
-
 def pick_windows(
     starts: DataFrame,
     keys: Sequence[str],
@@ -162,13 +124,9 @@ def pick_windows(
     pos: str = "pos",
     seg_pos: str = "seg_pos",
     piece_rows: int = PIECE_ROWS,
-    stage: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
-    """Greedy choice of non-overlapping windows: (keys, segment, start_pos).
-
-    The runs of steady starts are read three times; ``stage`` may write them
-    out so that they are worked out once.
-    """
+    """Greedy choice of non-overlapping windows: (keys, segment, start_pos). A window starts at the first steady start that
+    is not before the end of the window chosen last."""
     if piece_rows < window:
         raise ValueError("a piece must hold at least one window")
     key_cols = [_column(k) for k in keys]
@@ -190,63 +148,53 @@ def pick_windows(
             F.first(F.col("_p") - F.col("_q")).alias("_shift"),
         )
     )
-    if stage is not None:
-        runs = stage(runs, "runs")
-    by_piece = [*keys, segment, "_piece"]
-    pieces = runs.groupBy(*[_column(c) for c in by_piece]).agg(
-        F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_runs"),
-        F.first("_shift").alias("_shift"),
+    begin = F.col("_piece") * piece_rows
+    runs = stage(
+        runs.select(*group, "_piece", (F.col("a") - begin).alias("a"), (F.col("b") - begin).alias("b"), (F.col("_shift") + begin).alias("_shift")),
+        "runs",
     )
+    by_piece = [*keys, segment, "_piece"]
+    pieces = [_column(c) for c in by_piece]
 
     # Segments of one piece, the usual case, need no chaining.
     long_segments = (
-        pieces.groupBy(*group)
+        runs.groupBy(*group)
         .agg(F.max("_piece").alias("_last"))
         .filter(F.col("_last") > 0)
         .drop("_last")
     )
-    start = F.col("_piece") * piece_rows
-    offsets = F.sequence(F.lit(0), F.when(F.col("_piece") == 0, 0).otherwise(window - 1))
-    leave = F.transform(
-        offsets,
-        lambda e: F.greatest(
-            F.aggregate(
-                F.col("_runs"), start + e, lambda free, run: _after_run(free, run, window)
-            )
-            - (start + piece_rows),
-            F.lit(0),
-        ).cast("int"),
-    )
-    tables = pieces.join(long_segments, [*keys, segment], "left_semi").select(
-        *group, "_piece", leave.alias("_leave")
-    )
-    entries = chain_entries(tables, [*keys, segment], restart=True)
-
-    def take(state: Column, run: Column) -> Column:
-        first = F.greatest(state["free"], run["a"])
-        taken = F.floor((run["b"] - first) / window).cast("bigint") + 1
-        picked = F.array(F.struct(first.alias("s"), taken.alias("n")))
-        return F.when(
-            first <= run["b"],
-            F.struct(
-                (first + taken * window).alias("free"),
-                F.concat(state["picks"], picked).alias("picks"),
-            ),
-        ).otherwise(state)
-
-    empty = F.expr("cast(array() as array<struct<s: bigint, n: bigint>>)")
-    entered = pieces.join(entries, by_piece, "left")
-    opening = F.struct(
-        (start + F.coalesce(F.col("_entry"), F.lit(0))).alias("free"), empty.alias("picks")
-    )
-    picks = F.aggregate(F.col("_runs"), opening, take, lambda s: s["picks"])
-    many = entered.select(*group, "_shift", F.explode(picks).alias("_k"))
-    begins = F.sequence(
-        F.col("_k.s"), F.col("_k.s") + (F.col("_k.n") - 1) * window, F.lit(window).cast("bigint")
-    )
-    return many.select(*group, "_shift", F.explode(begins).alias("_s")).select(
-        *group, (F.col("_s") + F.col("_shift")).alias("start_pos")
-    )
+
+    def spaced(table: pa.Table, piece: np.ndarray) -> Spaced:
+        return Spaced(piece, table.column("a").to_numpy(), table.column("b").to_numpy(), piece_rows, window)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, piece in whole_pieces(batches, by_piece):
+            number, first = np.unique(piece, return_index=True)
+            leave = spaced(table, piece).leaves(number)
+            lists = pa.ListArray.from_arrays(np.arange(len(number) + 1) * window, pa.array(leave.ravel(), pa.int32()))
+            yield from table.select(by_piece).take(first).append_column("_leave", lists).to_batches()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, piece in whole_pieces(batches, by_piece):
+            entry = np.zeros(int(piece[-1]) + 1 if len(piece) else 0, np.int64)
+            entered = table.column("_entry").to_numpy()
+            entry[piece[entered >= 0]] = entered[entered >= 0]
+            walked = spaced(table, piece)
+            at = walked.picked(np.arange(len(entry)), entry)
+            run = walked.run[at]
+            start = walked.place[at] + table.column("_shift").to_numpy()[run]
+            yield from table.select([*keys, segment]).take(run).append_column("start_pos", pa.array(start)).to_batches()
+
+    dealt = lambda df: df.repartition(*pieces).sortWithinPartitions(*pieces, "a")
+    listed = dealt(runs.join(long_segments, [*keys, segment], "left_semi").select(*pieces, "a", "b"))
+    kept = T.StructType(listed.schema.fields[: len(by_piece)])
+    tables = listed.mapInArrow(fold, T.StructType([*kept.fields, T.StructField("_leave", T.ArrayType(T.IntegerType()))]))
+    entries = chain_entries(tables, [*keys, segment], window, restart=True)
+    # A piece's entry travels as a run without places, ahead of the others.
+    none = {"a": F.lit(-1), "b": F.lit(-2), "_shift": F.lit(0)}
+    entered = entries.withColumns({c: v.cast("bigint") for c, v in none.items()})
+    both = runs.withColumn("_entry", F.lit(-1)).unionByName(entered)
+    return dealt(both).mapInArrow(walk, T.StructType([*kept.fields[:-1], T.StructField("start_pos", T.LongType())]))
 
 
 def window_rows(
@@ -363,7 +311,7 @@ def break_windows(
 
     The whole series is walked. ``span`` asks for the first part of each series only, ``max_windows`` for its first
     windows. From any row the walk moves on by one to ``window`` rows, so a piece of ``piece_rows`` rows is entered at one
-    of ``window`` offsets: pieces are folded for each of them in parallel, chained, and walked once more.
+    of ``window`` offsets: pieces are folded for all of them in parallel, chained, and walked once more.
     """
     if piece_rows < window:
         raise ValueError("a piece must hold at least one window")
@@ -395,22 +343,20 @@ def break_windows(
 
     def fold(table: pa.Table) -> pa.Table:
         _, _, following, own = steps(table)
-        leave = [0] * own
-        ahead = following.tolist()
-        for i in range(own - 1, -1, -1):
-            to = ahead[i]
-            leave[i] = -1 if to < 0 else leave[to] if to < own else to - own
-        held = (leave + [-1] * window)[:window]
+        here = np.arange(own)
+        ends = terminals(np.where((following[:own] >= 0) & (following[:own] < own), following[:own], here))
+        leave = np.full(window, -1, np.int64)
+        leave[:own] = np.where(following[ends] < 0, -1, following[ends] - own)[:window]
         piece = table.column(BLOCK).combine_chunks()[:1]
-        return pa.Table.from_arrays([*keyed(table, 1), piece, pa.array([held], pa.list_(pa.int32()))], names=[*keys, "_piece", "_leave"])
+        return pa.Table.from_arrays([*keyed(table, 1), piece, pa.array([leave], pa.list_(pa.int32()))], names=[*keys, "_piece", "_leave"])
 
     def walk(table: pa.Table) -> pa.Table:
         pos, breaks, following, own = steps(table)
-        at, visited = table.column("_entry")[0].as_py(), []
-        while 0 <= at < own and following[at] >= 0:
-            visited.append(at)
-            at = int(following[at])
-        i = np.array(visited, np.int64)
+        # A place that no window fits from is the walk's end, and not visited.
+        fits = following[:own] >= 0
+        jump = np.where(fits & (following[:own] < own), following[:own], own)
+        i = visits(jump, table.column("_entry").to_numpy()[:1].astype(np.int64))
+        i = i[fits[i]]
         broken = pa.array(pos[i] + breaks[i], pa.int64(), mask=breaks[i] < 0)
         made = [*keyed(table, len(i)), pa.array(pos[i], pa.int64()), broken, pa.array(breaks[i] < 0)]
         return pa.Table.from_arrays(made, names=[*keys, "start_pos", "break_pos", "stable"])
@@ -419,8 +365,8 @@ def break_windows(
     pieces = T.StructType([*key_schema.fields, T.StructField("_piece", T.LongType()), T.StructField("_leave", T.ArrayType(T.IntegerType()))])
     # A piece holds at most piece_rows + window - 1 rows.
     tables = blocked.groupBy(*group).applyInArrow(fold, pieces)
-    entries = chain_entries(tables, keys, restart=False).withColumnRenamed("_piece", BLOCK)
-    visits = T.StructType([*key_schema.fields, T.StructField("start_pos", T.LongType()), T.StructField("break_pos", T.LongType()), T.StructField("stable", T.BooleanType())])
-    found = blocked.join(entries, [*keys, BLOCK]).groupBy(*group).applyInArrow(walk, visits)
+    entries = chain_entries(tables, keys, window, restart=False).withColumnRenamed("_piece", BLOCK)
+    walked = T.StructType([*key_schema.fields, T.StructField("start_pos", T.LongType()), T.StructField("break_pos", T.LongType()), T.StructField("stable", T.BooleanType())])
+    found = blocked.join(entries, [*keys, BLOCK]).groupBy(*group).applyInArrow(walk, walked)
     numbered = number_windows(found, keys, "window_no")
     return numbered if max_windows is None else numbered.filter(F.col("window_no") < max_windows)

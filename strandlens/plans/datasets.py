@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.sinks import scratch_path
 
 ALL = "All"
+DAY = "day"
 
 
 def _quoted(columns: Sequence[str]) -> str:
@@ -74,6 +78,15 @@ def grades(
     )
 
 
+def by_day(signal: DataFrame, ts: str, name: str = "by-day") -> DataFrame:
+    """The signal in the scratch folder, a folder per day (column ``day``): a time range then opens its own days only."""
+    days = signal.withColumn(DAY, F.to_date(F.col(f"`{ts}`")))
+    path = scratch_path(signal.sparkSession, name)
+    # Rows of a day go to several tasks, so that a busy day isn't one task's.
+    days.repartition(F.col(DAY), F.pmod(F.xxhash64(f"`{ts}`"), F.lit(8))).write.partitionBy(DAY).parquet(path)
+    return signal.sparkSession.read.schema(days.schema).parquet(path)
+
+
 def sequence_detail(
     spark: SparkSession,
     signal: DataFrame,
@@ -81,15 +94,28 @@ def sequence_detail(
     ts: str,
     columns: Sequence[str],
     name: str,
+    tiebreak: Sequence[str] = (),
 ) -> DataFrame:
-    """The rows of one named window."""
+    """The rows of one named window of each strand, with its label, spread and grade, in time order.
+
+    The bounds of the windows of that name are looked up first (one row) and stand in the query as values, so the scan of the
+    signal gets them: row groups are skipped by time, and folders by day where the signal has a ``day`` column (see ``by_day``)."""
     shown = ", ".join(f"s.`{c}`" for c in columns)
+    bounds = spark.sql(
+        """SELECT CAST(min(Seq_time_Start) AS STRING) AS a, CAST(max(Seq_time_End) AS STRING) AS b
+           FROM {sequences} WHERE Seq_Name = :name""",
+        args={"name": name},
+        sequences=sequences,
+    ).first()
+    day = f"AND s.`{DAY}` BETWEEN CAST(:first AS DATE) AND CAST(:last AS DATE)" if DAY in signal.columns else ""
+    order = ", ".join(f"s.`{c}`" for c in [ts, *tiebreak])
     return spark.sql(
-        f"""SELECT s.`{ts}` AS time, {shown}, q.disturbance_type, q.`MOLD_LEVEL_std [mm]` AS sequence_sigma
+        f"""SELECT s.`{ts}` AS time, {shown}, q.disturbance_type, q.`MOLD_LEVEL_std [mm]` AS sequence_sigma, q.`Quality casting`
             FROM {{signal}} s JOIN {{sequences}} q
               ON s.strand = q.strand AND s.`{ts}` BETWEEN q.Seq_time_Start AND q.Seq_time_End
-            WHERE q.Seq_Name = :name""",
-        args={"name": name},
+            WHERE q.Seq_Name = :name AND s.`{ts}` BETWEEN CAST(:first AS TIMESTAMP_NTZ) AND CAST(:last AS TIMESTAMP_NTZ) {day}
+            ORDER BY {order}""",
+        args={"name": name, "first": bounds["a"], "last": bounds["b"]},
         signal=signal,
         sequences=sequences,
     )

@@ -111,7 +111,7 @@ def stable_sequences(
         cfg.max_gap_seconds, rounded=_ROUNDED if rounded else None,
     )
     starts = stage(starts, "starts")
-    picks = pick_windows(starts, spec.keys, cfg.window_size, stage=stage)
+    picks = pick_windows(starts, spec.keys, cfg.window_size)
     return starts, stage(number_windows(picks, spec.keys), "picks")
 
 
