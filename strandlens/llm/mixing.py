@@ -106,9 +106,21 @@ def _plan(groups: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"rank": groups["rank"], "size": size, "base": np.int64(rounds), "more": more, "n": n})
 
 
+def _key(source: str) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("null"))
+
+
+def _place(seed: str, *rest: str) -> Column:
+    """A document's place in the seeded order of its length: by its id and text, then by ``rest``. Equal places are equal rows."""
+    u = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    return F.struct(u.alias("u"), F.xxhash64(F.lit(f"{seed}/2"), F.col("doc_id"), F.col("text"), *[F.col(f"`{c}`") for c in rest]).alias("v"))
+
+
 def _cuts(slim: DataFrame, weights: tuple[float, ...], share: float, repeats: int) -> DataFrame:
-    """Per (source, size): source_size, target, base (times that every document is taken) and cut: documents whose
-    hash is at most this are taken once more (null: none)."""
+    """Per (source, size): source_size, target, base (times that every document is taken), and which are taken once more: all
+    (whole), or those before the place ``cut`` and ``tied`` of the rows at it.
+
+    ``slim``: source, size, at. Equal rows are counted before they are ranked, so rows that repeat are one row to the ranks."""
     counts = stage(slim.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-lengths")
     goal = targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, repeats)
     goal = stage(goal, "mix-targets")
@@ -118,55 +130,74 @@ def _cuts(slim: DataFrame, weights: tuple[float, ...], share: float, repeats: in
     # The hash is even over its range: equal steps of it hold about equal numbers of a length's documents.
     plan = stage(plan.withColumn("parts", F.ceil(F.col("n") / RANK_ROWS).cast("long")), "mix-plan")
     partly = plan.filter("more > 0 and more < n").select(_key("source").alias("key"), "rank", "size", "more", "parts")
-    part = F.floor((F.col("u").cast("double") / F.lit(2.0**64) + 0.5) * F.col("parts")).cast("long")
-    rows = slim.select(_key("source").alias("key"), "size", "u").join(partly, ["key", "size"])
-    rows = rows.select("rank", "size", "more", F.least(part, F.col("parts") - 1).alias("part"), "u")
-    sums = rows.groupBy("rank", "size", "part").agg(F.count("*").alias("here"), F.first("more").alias("more"))
+    part = F.floor((F.col("at.u").cast("double") / F.lit(2.0**64) + 0.5) * F.col("parts")).cast("long")
+    rows = slim.select(_key("source").alias("key"), "size", "at").join(partly, ["key", "size"])
+    rows = rows.groupBy("rank", "size", "more", F.least(part, F.col("parts") - 1).alias("part"), "at").agg(F.count("*").alias("times"))
+    rows = stage(rows, "mix-places")
+    sums = rows.groupBy("rank", "size", "part", "more").agg(F.sum("times").alias("here"))
     upto = F.sum("here").over(Window.partitionBy("rank", "size").orderBy("part"))
     edge = sums.withColumn("upto", upto).filter("upto >= more and upto - here < more")
     edge = edge.select("rank", "size", "part", (F.col("more") - F.col("upto") + F.col("here")).alias("nth"))
     ranked = rows.drop("more").join(edge, ["rank", "size", "part"])
-    nth = F.row_number().over(Window.partitionBy("rank", "size", "part").orderBy("u"))
-    cut = ranked.withColumn("_n", nth).filter("_n = nth").select("rank", "size", F.col("u").alias("cut"))
-    every = F.when(F.col("more") >= F.col("n"), F.lit((1 << 63) - 1))
-    made = plan.join(cut, ["rank", "size"], "left").withColumn("cut", F.coalesce("cut", every))
-    return stage(made.select(_key("source").alias("_key"), "size", "source_size", "target", "base", "cut"), "mix-cuts")
-
-
-def _key(source: str) -> Column:
-    return F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("null"))
-
-
-def _slim(docs: DataFrame, seed: str, *keep: str) -> DataFrame:
-    u = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    return docs.select(*[F.col(f"`{c}`") for c in keep], size_of(F.col("text")).alias("size"), u.alias("u"))
+    upto = F.sum("times").over(Window.partitionBy("rank", "size", "part").orderBy("at"))
+    cut = ranked.withColumn("_upto", upto).filter("_upto >= nth and _upto - times < nth")
+    cut = cut.select("rank", "size", F.col("at").alias("cut"), (F.col("nth") - F.col("_upto") + F.col("times")).alias("tied"), "times")
+    made = plan.join(cut, ["rank", "size"], "left").withColumn("whole", F.col("more") >= F.col("n"))
+    return stage(made.select(_key("source").alias("_key"), "size", "source_size", "target", "base", "whole", "cut", "tied", "times"), "mix-cuts")
 
 
-def _decided(rows: DataFrame, cuts: DataFrame, *keep: str) -> DataFrame:
-    times = F.col("base") + F.when(F.col("u") <= F.col("cut"), 1).otherwise(0)
-    rows = rows.withColumn("_key", _key("source")).join(cuts, ["_key", "size"])
-    return rows.select(*[F.col(f"`{c}`") for c in keep], "size", "source_size", "target", (times * F.col("size")).alias("taken"))
+def _copies(rows: DataFrame, times: Column, piece: int = 4096) -> DataFrame:
+    """Every row as often as ``times`` says; a row with very many copies is spread over tasks before they are made."""
+    first, here = fresh(rows, "first_copy", "copy")
+    spread = rows.withColumn(here, times.cast("long")).filter(F.col(here) > 0)
+    spread = spread.withColumn(first, F.explode(F.sequence(F.lit(0).cast("long"), F.col(here) - 1, F.lit(piece).cast("long"))))
+    few = F.least(F.col(here) - F.col(first), F.lit(piece).cast("long")).cast("int")
+    return spread.withColumn(here, few).repartition(first).withColumn(first, F.explode(F.array_repeat(F.lit(0), F.col(here)))).drop(first, here)
 
 
 def decide(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = "mix") -> DataFrame:
     """Per row of ``docs``: doc_id, size, source_size, target, taken (words the mix takes, repeats counted).
 
     A null text has size 0; a null source is a source of its own (the last); documents of size 0 are never
-    taken. Rows that are equal in doc_id and text share their decision. An empty table gives an empty result;
-    other columns are ignored. A source's lengths, not its documents, meet in one task: there are at most about
-    sqrt(2 x words) different ones. One length of one source may hold a third of all documents: their order is
-    cut into ranges of about RANK_ROWS by their hash, and only the range that holds the cut is ranked."""
-    slim = stage(_slim(docs, seed, "doc_id", "source"), "mix-slim")
-    return _decided(slim, _cuts(slim, weights, share, repeats), "doc_id")
+    taken. Of rows that are equal in doc_id, text and source, as many are taken once more as the target leaves: which of
+    them makes no difference. An empty table gives an empty result; other columns are ignored. A source's lengths, not its
+    documents, meet in one task: there are at most about sqrt(2 x words) different ones. One length of one source may hold
+    a third of all documents, and one row may be repeated so often: equal rows are counted first, their order is cut into
+    ranges of about RANK_ROWS by their hash, and only the range that holds the cut is ranked."""
+    slim = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), _place(seed).alias("at"))
+    slim = stage(slim, "mix-slim")
+    cuts = _cuts(slim, weights, share, repeats)
+    rows = slim.withColumn("_key", _key("source")).join(cuts, ["_key", "size"])
+    before = F.coalesce(F.col("at") < F.col("cut"), F.lit(False))
+    tie = F.coalesce(F.col("at") == F.col("cut"), F.lit(False))
+    taken = lambda times: ((F.col("base") + times) * F.col("size")).alias("taken")
+    names = ["doc_id", "size", "source_size", "target"]
+    plain = rows.filter(~tie).select(*names, taken(F.when(F.col("whole") | before, 1).otherwise(0)))
+    tied = rows.filter(tie).groupBy(*names, "base", "tied", "times").agg(F.count("*").alias("_n"))
+    each = F.explode(F.array(F.struct(F.lit(1).alias("more"), F.col("tied").alias("n")), F.struct(F.lit(0).alias("more"), (F.col("times") - F.col("tied")).alias("n"))))
+    tied = tied.select(*names, "base", each.alias("_e"))
+    tied = _copies(tied, F.col("_e.n")).select(*names, taken(F.col("_e.more")))
+    return plain.unionByName(tied)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = "mix") -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as many times as it is taken; see ``decide``."""
-    slim = stage(_slim(docs, seed, "source"), "mix-slim")
-    key, size, u, base, cut, copy = fresh(docs, "key", "words", "u", "base", "cut", "copy")
-    cuts = _cuts(slim, weights, share, repeats).select(*[F.col(c).alias(n) for c, n in (("_key", key), ("size", size), ("base", base), ("cut", cut))])
-    rows = docs.withColumns({key: _key("source"), size: size_of(F.col("text")), u: F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))})
-    times = F.col(base) + F.when(F.col(u) <= F.col(cut), 1).otherwise(0)
+    """The rows of ``docs`` that the mix takes, each as many times as it is taken; see ``decide``. Of rows that share id and text
+    but differ in other columns, the choice goes by a hash of all columns."""
+    named = list(docs.columns)
+    slim = stage(docs.select("source", size_of(F.col("text")).alias("size"), _place(seed, *named).alias("at")), "mix-slim")
+    own = ["_key", "size", "base", "whole", "cut", "tied", "times"]
+    key, size, base, whole, cut, tied, times = fresh(docs, "key", "words", "base", "whole", "cut", "tied", "times")
+    cuts = _cuts(slim, weights, share, repeats).select(*[F.col(c).alias(n) for c, n in zip(own, (key, size, base, whole, cut, tied, times))])
+    (at,) = fresh(docs, "at")
+    rows = docs.withColumns({key: _key("source"), size: size_of(F.col("text")), at: _place(seed, *named)}).filter(F.col(size) > 0)
     rows = rows.join(cuts, [key, size])
-    rows = rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.when(F.col(size) > 0, times).otherwise(0).cast("int"))))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    before = F.coalesce(F.col(at) < F.col(cut), F.lit(False))
+    tie = F.coalesce(F.col(at) == F.col(cut), F.lit(False))
+    columns = [F.col(f"`{c}`") for c in named]
+    # Rows at the cut that are alone there are decided with the others; only repeated ones meet, as counts.
+    single = F.coalesce(F.col(times) == 1, F.lit(True))
+    more = F.when(F.col(whole) | before | (tie & single), 1).otherwise(0)
+    plain = rows.filter(~tie | single).withColumn(size, F.explode(F.array_repeat(F.lit(1).cast("long"), (F.col(base) + more).cast("int")))).select(*columns)
+    shared = rows.filter(tie & ~single).groupBy(key, size, base, tied, times).agg(F.any_value(F.struct(*columns)).alias(at))
+    shared = _copies(shared, F.col(base) * F.col(times) + F.col(tied)).select(F.col(f"{at}.*"))
+    return plain.unionByName(shared)
