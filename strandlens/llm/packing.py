@@ -7,6 +7,7 @@ padded; sequences of one length form a bucket, and a batch is drawn from one buc
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,11 +21,14 @@ from .frames import map_batches, stage, texts_only
 LENGTH = 2048
 END = 1  # the id that closes a document
 RANGE = 1 << 12  # pieces numbered in one group
+LONG_RUN = 50_000
+_long_run = re.compile(rf"\s{{{LONG_RUN}}}|[^\W\d_]{{{LONG_RUN}}}|[^\w\s]{{{LONG_RUN}}}|\d{{{LONG_RUN}}}")
 
 
 def encoder(path: str):
     """A function from text to ids, the same ids as the tokenizers file gives. Texts that hold a special token's
-    string go through tokenizers itself; the others through tiktoken over the same ranks (several times faster)."""
+    string, or a run of LONG_RUN characters or more of one class, go through tokenizers itself; the others through tiktoken over the
+    same ranks (several times faster, but its matcher runs out of stack on a run of about a million)."""
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
@@ -37,7 +41,7 @@ def encoder(path: str):
     special = [t.content for t in slow.get_added_tokens_decoder().values()]
 
     def ids(text: str) -> list[int]:
-        if any(s in text for s in special):
+        if any(s in text for s in special) or (len(text) >= LONG_RUN and _long_run.search(text)):
             return slow.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
