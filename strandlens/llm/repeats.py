@@ -246,7 +246,8 @@ def _joined(docs: DataFrame, widths: tuple[int, ...]) -> tuple[DataFrame, str]:
 
 
 def report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256. Removed is each byte of a string of ``width`` bytes that starts
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and text: what is left (bytes of characters that a cut splits
+    left out). Removed is each byte of a string of ``width`` bytes that starts
     at another place of the table too (in the same document included, overlapping included).
 
     Null and empty texts have nothing to remove; a row that repeats another repeats all its strings; rows of one
@@ -255,23 +256,24 @@ def report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            sizes, removed, spans, digests = [], [], [], []
+            sizes, removed, spans, digests, left = [], [], [], [], []
             for text, runs in zip(batch.column("text"), batch.column("runs")):
                 data = text.as_buffer()
                 size = data.size
-                n, s, digest = 0, 0, None
+                n, s, kept = 0, 0, data
                 if runs.is_valid and size:
                     gone, s = _removed(np.frombuffer(data, np.uint8), runs.values.to_numpy(zero_copy_only=False), (width,))
                     n = int(gone.sum())
-                    digest = hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes())
+                    kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 sizes.append(size)
                 removed.append(n)
                 spans.append(s)
-                digests.append((digest or hashlib.sha256(data)).hexdigest())
-            yield {"doc_id": batch.column("doc_id"), "n_bytes": sizes, "n_removed": removed, "n_spans": spans, "kept_sha256": digests}
+                digests.append(hashlib.sha256(kept).hexdigest())
+                left.append(bytes(kept).decode(errors="ignore"))
+            yield {"doc_id": batch.column("doc_id"), "n_bytes": sizes, "n_removed": removed, "n_spans": spans, "kept_sha256": digests, "text": left}
 
     joined, _ = _joined(texts_only(docs), (width,))
-    return map_batches(joined, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", run)
+    return map_batches(joined, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string", run)
 
 
 def remove(docs: DataFrame, width: int = WIDTH, passage: int | None = None) -> DataFrame:
