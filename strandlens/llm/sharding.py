@@ -12,6 +12,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import fresh
+
 SLOTS = 6553  # a prime, about 100 slots for each of 64 shards
 MAX_SLOTS = 1 << 22  # what may be broadcast: 4 million pairs of integers
 
@@ -52,17 +54,20 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 
 def shard(rows: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> DataFrame:
-    """``rows`` with ``slot`` int, ``shard`` int and ``shard_name`` string (columns of these names are replaced).
+    """``rows`` with ``slot`` int, ``shard`` int and ``shard_name`` string (columns of these names, in any case, are replaced; the key may be one of
+    them).
 
     Rows with equal keys meet in one shard. Null keys share a slot, empty tables stay empty, repeated rows stay
     repeated. Nothing is shuffled: a key that holds a third of all rows costs its shard room, not this step."""
     listed = F.split(F.lit(",".join(map(str, fill(shards, slots)))), ",")
     names = F.split(F.lit("\n".join(shards)), "\n")
+    slot, number, name = fresh(rows, "slot", "shard", "shard_name")
     table = rows.sparkSession.range(slots).select(
-        F.col("id").cast("int").alias("slot"),
-        F.element_at(listed, F.col("id").cast("int") + 1).cast("int").alias("shard"),
+        F.col("id").cast("int").alias(slot),
+        F.element_at(listed, F.col("id").cast("int") + 1).cast("int").alias(number),
     )
-    table = table.withColumn("shard_name", F.element_at(names, F.col("shard") + 1))
-    placed = rows.drop("slot", "shard", "shard_name").withColumn("slot", slot_of(F.col(key), slots))
-    columns = [c for c in rows.columns if c not in ("slot", "shard", "shard_name")]
-    return placed.join(F.broadcast(table), "slot").select(*[F.col(f"`{c}`") for c in columns], "slot", "shard", "shard_name")
+    table = table.withColumn(name, F.element_at(names, F.col(number) + 1))
+    placed = rows.withColumn(slot, slot_of(F.col(f"`{key}`"), slots)).join(F.broadcast(table), slot)
+    # Spark takes names that differ by case only for one, so such a column is replaced, too.
+    columns = [F.col(f"`{c}`") for c in rows.columns if c.lower() not in ("slot", "shard", "shard_name")]
+    return placed.select(*columns, F.col(slot).alias("slot"), F.col(number).alias("shard"), F.col(name).alias("shard_name"))
