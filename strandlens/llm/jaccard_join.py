@@ -272,6 +272,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     salt = F.when(F.col("place") >= F.col("rare"), F.pmod(F.xxhash64("k"), F.lit(SALTS)) + 1).otherwise(0)
     posts = first.select("k", "n", "rare", F.posexplode("first").alias("place", "gram"))
     # One number for what belongs to a set, to keep the largest shuffle small: n, place, salt.
+    posts = posts.withColumn("place", F.when(F.col("place") < 1 << 24, F.col("place")).otherwise(F.raise_error(F.lit("a prefix of more than 16 million n-grams"))))
     info = F.shiftleft("n", 31) + F.shiftleft(F.col("place").cast("long"), 7) + salt
     posts = posts.select("gram", "k", info.alias("info"), salt.cast("int").alias("salt"))
     here = Window.partitionBy("gram", "salt")

@@ -176,9 +176,9 @@ def held_out(doc_id):
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], list[float]]:
     """Lexicon and weights from at most ``sample`` labelled rows that are not held out: the first by a hash of their
-    id. Three quarters of them (by another hash) give the lexicon, the rest the weights. Rows without label or id don't
+    id. Three quarters of them (by another hash) give the lexicon, the rest the weights. Rows without an id or with a label other than 0 and 1 don't
     count; several labels of one document count as toxic if one is. With one class only, the lexicon is empty."""
-    known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
+    known = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64(F.lit("train"), "doc_id"), "doc_id").limit(sample)
     # ``sample`` rows of two numbers bound what is broadcast.
