@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from strandlens.llm import chat_roles, graph, jaccard_join, mixing, packing, permutation_index, piecewise, repeats, sharding, toxicity, warc
 from strandlens.llm.catalog import tokenizer_path, transcripts
 from strandlens.llm.frames import combine, scratch_path
+from strandlens.llm.fst import Runner, compose, paths
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -211,10 +212,10 @@ def _labelled(spark):
         if toxic:
             for _ in range(3):
                 words[r.randrange(60)] = r.choice(["blorgface", "zonkhead"])
-        rows.append((i, " ".join(words) + "."))
+        rows.append((i, ", ".join(" ".join(words[k : k + 6]) for k in range(0, 60, 6)) + "."))
         labels.append((i, int(toxic)))
     rows += [(None, None), (601, ""), (602, "blorgface " * 20000), (5, rows[5][1])]
-    labels += [(601, None), (None, 1), (5, labels[5][1])]
+    labels += [(601, None), (None, 1), (5, labels[5][1]), (7, 2), (8, -1)]
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
 
 
@@ -236,14 +237,19 @@ def test_toxicity_edges(spark, nothing, clashing):
 
 
 def test_grammar_tells_kinds_of_clauses():
-    match = toxicity.matcher({"blorg*": 2.0})
-    assert match("blorgface") == [2.0, 0, 0, 0, 0]
-    assert match("you blorgface. fine") == [0, 2.0, 0, 0, 0]
-    assert match("blorgface, you") == [2.0, 0, 0, 0, 0]  # another clause
-    assert match("he is not a blorgface") == [0, 0, 2.0, 0, 0]
-    assert match("they said blorgface") == [0, 0, 0, 2.0, 0]
-    assert match("you will kill them") == [0, 0, 0, 0, 1.0]
-    assert match("") == [0.0] * 5
+    match = toxicity.matcher({"blorg*": 2.0}, ["wuzzle"])
+    kinds = lambda text: {k: v for k, v in zip(toxicity.KINDS, match(text)) if v}
+    far = "stone river cloud house stone river cloud house"
+    assert kinds("blorgface") == kinds("well, blorgface.") == {"edge": 2.0}
+    assert kinds("you blorgface. fine") == kinds(f"{far} blorgface {far[:17]} you {far}") == {"addressed": 2.0}
+    assert kinds("a wuzzle blorgface") == {"addressed": 2.0}  # a learned target
+    assert kinds("blorgface, you") == {"edge": 2.0}  # another clause
+    assert kinds("he is not a blorgface") == {"negated": 2.0}
+    assert kinds("they said blorgface") == {"reported": 2.0}
+    assert kinds("you will kill them") == {"threat": 1.0}
+    # Deep in a clause, with no target near, nothing is said of anyone.
+    assert kinds(f"{far} blorgface {far}") == kinds(f"{far} blorgface {far}, you") == kinds("") == {}
+    assert kinds(f"{far} blorgface {far}. blorgface blorgface") == {"edge": 4.0}
 
 
 def test_grammar_lets_threats_wait_for_a_target():
@@ -254,6 +260,43 @@ def test_grammar_lets_threats_wait_for_a_target():
     assert match("kill time") == match("kill, you") == match("kill a b c d e f you") == [0.0] * 5
 
 
+def test_composed_transducers_against_all_paths():
+    """Best paths weigh what the heaviest of all paths weighs, and composed paths are those of the two machines in turn."""
+    first, second = toxicity.scopes(), toxicity.patterns(reach=2, edge=1)
+    both = compose(first, second)
+    runner = Runner(both)
+    r = random.Random(6)
+    symbols = [toxicity.OTHER, toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT]
+    for _ in range(300):
+        clause = [r.choice(symbols) for _ in range(r.randrange(7))] + [toxicity.END]
+        scale = [r.choice([0.5, 1.0, 2.0]) for _ in clause]
+        found = [path for path, _ in paths(both, clause)]
+        want = max(sum(a.weight * s for a, s in zip(path, scale)) for path in found)
+        weight, written = runner.best(clause, scale)
+        assert weight == pytest.approx(want)
+        assert any([a.writes for a in p] == written and sum(a.weight * s for a, s in zip(p, scale)) == pytest.approx(want) for p in found)
+        in_turn = Counter()
+        for one, _ in paths(first, clause):
+            for two, _ in paths(second, [a.writes for a in one]):
+                in_turn[tuple((a.writes, a.weight + b.weight) for a, b in zip(two, one))] += 1
+        assert in_turn == Counter(tuple((a.writes, a.weight) for a in p) for p in found)
+
+
+def test_targets_are_learned_beside_insults(spark):
+    r = random.Random(7)
+    rows = []
+    for i in range(400):
+        said = [r.choice("river stone cloud house over under".split()) for _ in range(40)]
+        for k in range(6, 40, 7):
+            said[k] += ","
+        for _ in range(3):
+            at = r.randrange(38)
+            said[at], said[at + 1] = "wuzzle", "blorgface"
+        rows.append((" ".join(said), 1))
+    frame = spark.createDataFrame(rows, "text string, toxic int")
+    assert toxicity.learned_targets(frame, {"blorgface": 3.0}) == ["wuzzle"]
+
+
 # 4 -----------------------------------------------------------------------------------------------
 
 
@@ -319,6 +362,20 @@ def test_both_tokenizer_paths_give_the_same_ids(text):
     assert packing.encoder(tokenizer_path())(text) == Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("unit,size", [(" ", 1_000_000), (" ", 5_000_000), ("\n", 1_000_000), ("x", 1_000_000), ("é", 1_000_000), ("日", 300_000), ("-", 1_000_000), ("7", 1_000_000)])
+def test_long_runs_give_the_ids_of_tokenizers(unit, size):
+    from tokenizers import Tokenizer
+
+    text = "a b " + unit * size + " c"
+    assert packing.encoder(tokenizer_path())(text) == Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
+
+
+def test_long_white_space_is_packed(spark):
+    docs = spark.createDataFrame([(1, " " * 1_000_000), (2, "short")], "doc_id long, text string")
+    got = packing.pack(docs, tokenizer_path()).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d")).collect()
+    assert len(got) == 2 and all(r["n"] == r["d"] for r in got)
+
+
 def test_pieces_are_powers_of_two():
     assert packing.cut(2048 * 2 + 5, 2048) == [2048, 2048, 4, 1] and packing.cut(7, 8) == [4, 2, 1] and packing.cut(1) == [1]
     with pytest.raises(ValueError):
@@ -473,6 +530,24 @@ def test_budget_filling_against_all_sums():
         assert abs(int((take * lengths).sum()) - budget) <= best + int(lengths.max())
 
 
+@pytest.mark.parametrize("seed", ["mix", "a", "b", "c"])
+def test_repeated_rows_are_taken_as_often_as_the_target_leaves(spark, seed):
+    """Half of the source is one text under a null id; another source makes room for a target below two times its size."""
+    rows = [(None, "w " * 10, "a", 1)] * 5000 + [(i, f"u{i} " * 10, "a", 1) for i in range(5000)] + [(i, "v " * 10, "b", 1) for i in range(10_000, 10_300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, base int").repartition(7)
+    got = mixing.decide(docs, weights=(5, 1), seed=seed)
+    sums = {r["target"]: (r["n"], r["taken"]) for r in got.groupBy("target").agg(F.count("*").alias("n"), F.sum("taken").alias("taken")).collect()}
+    assert {n for n, _ in sums.values()} == {10_000, 300}
+    assert all(abs(taken - target) <= 10 for target, (_, taken) in sums.items())
+    assert got.filter("taken > 2 * size or taken % size <> 0").isEmpty()
+    again = mixing.decide(docs.repartition(3), weights=(5, 1), seed=seed)
+    assert got.exceptAll(again).isEmpty() and again.exceptAll(got).isEmpty()
+    mixed = mixing.mix(docs, weights=(5, 1), seed=seed)
+    by_text = lambda df, n: {tuple(r)[:2]: r[2] for r in df.groupBy("doc_id", "text").agg(n).collect()}
+    want = {k: v for k, v in by_text(got.join(docs.select("doc_id", "text").distinct(), got["doc_id"].eqNullSafe(docs["doc_id"])).select(got["doc_id"], "text", "taken"), F.sum("taken") / 10).items() if v}
+    assert by_text(mixed, F.count("*").cast("double")) == want
+
+
 def test_mix_edges(nothing, clashing, spark):
     assert mixing.decide(nothing).count() == 0 and mixing.mix(nothing).count() == 0
     assert mixing.decide(clashing).filter("taken is null").count() == 0 and mixing.mix(clashing).columns == clashing.columns
@@ -557,6 +632,14 @@ def test_shards_take_turns():
             sharding.fill(*bad)
 
 
+def test_placement_with_the_results_names(spark):
+    rows = spark.createDataFrame([(1, "x", 5), (2, "y", 6)], "slot long, Shard string, n int")
+    got = sharding.shard(rows, "slot", ["a", "b"]).collect()
+    plain = {r["id"]: r["slot"] for r in sharding.shard(rows.selectExpr("slot as id", "n"), "id", ["a", "b"]).collect()}
+    assert [r["slot"] for r in sorted(got, key=lambda r: r["n"])] == [plain[1], plain[2]]
+    assert got[0].__fields__ == ["n", "slot", "shard", "shard_name"]
+
+
 def test_placement(docs, nothing, clashing):
     names = [f"n{i}" for i in range(5)]
     rows = sharding.shard(docs, "doc_id", names, 101).collect()
