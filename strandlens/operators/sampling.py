@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.timing import _column
 
 _GRAIN = 1_000_000
-_RANGE_BITS = 20
+_RANGE_BITS = 12
 _PLACE_BITS = 60
 
 
@@ -48,22 +48,25 @@ def sample_cap(df: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFram
     """``n`` random rows, or all where there are no more; the same rows on every
     run.
 
-    Rows are taken in the order of a hash of their key. Counts per hash range
-    tell which ranges are taken whole; only the one range in which the cap falls
-    is sorted, so no more than a millionth of the rows meets in one task.
+    Rows are taken in the order of a hash of their key. Counts of a few thousand hash ranges tell in which one the cap
+    falls, counts of its own parts in which of those; ranges and parts before it are taken whole, and only that part is
+    sorted, so no more than some ten-millionth of the rows meets in one task.
     """
-    hashed = df.withColumn("_hash", _place(key, seed)).withColumn(
-        "_range", F.shiftrightunsigned("_hash", _PLACE_BITS - _RANGE_BITS)
-    )
-    upto = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
-    counts = hashed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    at_cap = (
-        counts.withColumn("_upto", upto)
-        .filter(F.col("_upto") >= n)
-        .agg(F.min_by(F.struct("_range", (F.col("_upto") - F.col("_n")).alias("before")), "_range").alias("c"))
-    )
-    cut = at_cap.select("c._range").scalar()
-    room = n - at_cap.select("c.before").scalar()
+    hashed = df.withColumn("_hash", _place(key, seed))
+
+    def at_cap(rows: DataFrame, bits: int, before: int | Column) -> tuple[Column, Column]:
+        """The range, by the first ``bits`` bits, in which the cap falls, and how many rows come before it."""
+        counts = rows.groupBy(F.shiftrightunsigned("_hash", _PLACE_BITS - bits).alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+        upto = before + F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
+        reached = counts.withColumn("_upto", upto).filter(F.col("_upto") >= n)
+        found = reached.agg(F.min_by(F.struct("_range", (F.col("_upto") - F.col("_n")).alias("before")), "_range").alias("c"))
+        return found.select("c._range").scalar(), found.select("c.before").scalar()
+
+    outer, before = at_cap(hashed, _RANGE_BITS, F.lit(0))
+    near = hashed.filter(F.shiftrightunsigned("_hash", _PLACE_BITS - _RANGE_BITS) == outer)
+    cut, before = at_cap(near, 2 * _RANGE_BITS, before)
+    hashed = hashed.withColumn("_range", F.shiftrightunsigned("_hash", _PLACE_BITS - 2 * _RANGE_BITS))
+    room = n - before
     whole = hashed.filter(F.coalesce(F.col("_range") < cut, F.lit(True)))
     order = Window.partitionBy("_range").orderBy("_hash", *[_column(c) for c in key])
     split = (
