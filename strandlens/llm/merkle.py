@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 from .frames import map_batches, stage
 
 FANOUT = 16
-LEVELS = 3
-BLOCK = FANOUT**LEVELS
+LEVELS = 3  # of a block, which so has 4096 leaves at most
 HEX = 64  # digits of a digest
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -110,8 +109,8 @@ def _numbered(groups: DataFrame) -> DataFrame:
     return held.select("_group", "_rows", (F.col("_upto") + F.col("_at") - F.col("_first")).alias("rank"), "ranks")
 
 
-def _leaves(rows: DataFrame) -> DataFrame:
-    """rank, ranks, block, place (in the block), blocks (of the group), id, leaf and shown of each row.
+def _leaves(rows: DataFrame, size: int) -> DataFrame:
+    """rank, ranks, block (of ``size`` leaves), place (in the block), blocks (of the group), id, leaf and shown of each row.
 
     Rows are numbered by ranges, each group's offset per range from counts; a group of any size is spread over
     ranges, and equal rows too."""
@@ -127,8 +126,8 @@ def _leaves(rows: DataFrame) -> DataFrame:
     held = placed.join(counts, (_range() == F.col("_in")) & F.col("_group").eqNullSafe(F.col("_of")))
     index = F.col("_upto") + F.col("_at") - F.col("_first")
     return held.select(
-        "rank", "ranks", F.floor(index / BLOCK).alias("block"), (index % BLOCK).alias("place"),
-        F.ceil(F.col("_rows") / BLOCK).alias("blocks"), "id", "leaf", "shown",
+        "rank", "ranks", F.floor(index / size).alias("block"), (index % size).alias("place"),
+        F.ceil(F.col("_rows") / size).alias("blocks"), "id", "leaf", "shown",
     )
 
 
@@ -150,29 +149,31 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def _climbed(rows: list[dict]) -> list[list[str]]:
-    return climb([r["leaf"] for r in rows], LEVELS if rows[0]["blocks"] > 1 else None)
+def _climbed(rows: list[dict], levels: int) -> list[list[str]]:
+    return climb([r["leaf"] for r in rows], levels if rows[0]["blocks"] > 1 else None)
 
 
-def _roots(leaves: DataFrame) -> DataFrame:
+def _roots(leaves: DataFrame, levels: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for rows in _blocks(batches):
             first = rows[0]
-            yield {k: [first[k]] for k in ("rank", "ranks", "block", "blocks")} | {"hash": [_climbed(rows)[-1][0]]}
+            yield {k: [first[k]] for k in ("rank", "ranks", "block", "blocks")} | {"hash": [_climbed(rows, levels)[-1][0]]}
 
     return map_batches(_together(leaves), "rank long, ranks long, block long, blocks long, hash string", run)
 
 
-def manifest(rows: DataFrame, keep_proofs: bool = False) -> DataFrame:
+def manifest(rows: DataFrame, keep_proofs: bool = False, levels: int = LEVELS) -> DataFrame:
     """Per row: id, leaf, subroot, root, proof_sha256, folded_root, verified, and (keep_proofs) proof: per level, from
     the leaf up, the others of its run from left to right, joined; from the level of groups on, those of the group.
 
     ``rows``: _group (any orderable type), id, leaf, and shown: another leaf that is offered for verification, or null
     for the row's own. Leaves of a group ascend by id (null first), those with one id by leaf; repeated rows are
     leaves of their own; groups ascend, null first. A group of one row has that leaf as its root, and a table of one
-    group that group's. An empty table gives an empty result."""
-    leaves = stage(_leaves(rows), "merkle-placed")
-    roots = stage(_roots(leaves), "merkle-roots")
+    group that group's. An empty table gives an empty result. ``levels`` of the tree are worked out per
+    block, which doesn't change the result."""
+    size = FANOUT**levels
+    leaves = stage(_leaves(rows, size), "merkle-placed")
+    roots = stage(_roots(leaves, levels), "merkle-roots")
     own = stage(exchange(roots.select(F.col("rank").alias("tree"), F.col("block").alias("node"), F.col("blocks").alias("n"), "hash")), "merkle-own")
     subroots = own.filter("node = 0").select(F.col("tree").alias("node"), F.col("top").alias("hash"))
     sizes = roots.filter("block = 0").select(F.col("rank").alias("node"), F.col("ranks").alias("n"))
@@ -189,9 +190,9 @@ def manifest(rows: DataFrame, keep_proofs: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         names = ["id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", *["proof"] * keep_proofs]
         for state, *rows in _blocks(batches):
-            levels = _climbed(rows)
+            nodes = _climbed(rows, levels)
             # Per level, the joined runs; a node's siblings are its run without itself.
-            runs = [["".join(level[i : i + FANOUT]) for i in range(0, len(level), FANOUT)] for level in levels[:-1]]
+            runs = [["".join(level[i : i + FANOUT]) for i in range(0, len(level), FANOUT)] for level in nodes[:-1]]
             block, rank, above, beyond = state["block"], state["rank"], state["above"], state["beyond"]
             made = []
             for r in rows:
@@ -202,7 +203,7 @@ def manifest(rows: DataFrame, keep_proofs: bool = False) -> DataFrame:
                     proof.append(run_[:place] + run_[place + HEX :])
                     at //= FANOUT
                 proof += above
-                folded = fold(r["shown"] or r["leaf"], block * BLOCK + r["place"], proof)
+                folded = fold(r["shown"] or r["leaf"], block * size + r["place"], proof)
                 folded = fold(folded, rank, beyond)
                 proof += beyond
                 row = (r["id"], r["leaf"], state["subroot"], state["root"], _digest("".join(proof)), folded, folded == state["root"])
@@ -215,11 +216,11 @@ def manifest(rows: DataFrame, keep_proofs: bool = False) -> DataFrame:
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def of_documents(docs: DataFrame, every: int = 5, keep_proofs: bool = False) -> DataFrame:
+def of_documents(docs: DataFrame, every: int = 5, keep_proofs: bool = False, levels: int = LEVELS) -> DataFrame:
     """The manifest of documents grouped by source in order of doc_id, with every fifth of them (where ``every`` divides the
-    CRC of its id) offered with its capital letters A to Z made small. A null id is offered as it is."""
+    CRC of its id) offered with its capital letters A to Z made small. A null id is offered as it is. See ``manifest``."""
     values = [F.col(c) for c in FIELDS]
     changed = leaf(*values[:-1], F.translate("text", UPPER, LOWER))
     shown = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % every == 0, changed)
     rows = docs.select(F.col("source").alias("_group"), F.col("doc_id").alias("id"), leaf(*values).alias("leaf"), shown.alias("shown"))
-    return manifest(rows, keep_proofs).withColumnRenamed("id", "doc_id")
+    return manifest(rows, keep_proofs, levels).withColumnRenamed("id", "doc_id")
