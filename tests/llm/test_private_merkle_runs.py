@@ -218,12 +218,10 @@ def _rows(sizes: dict, seed: int = 0) -> list[tuple]:
     {"a": 1}, {"a": 16, None: 17}, {"a": 300, "b": 1, "": 2, None: 16, "é": 33, "z": 256},
     {f"s{i}": 1 + i % 3 for i in range(40)}, {"hot": 1111, "b": 5},
 ])
-def test_manifest(spark, monkeypatch, levels, sizes):
+def test_manifest(spark, levels, sizes):
     """Blocks of few leaves, so that a butterfly has several rounds, with partners that are missing."""
-    monkeypatch.setattr(merkle, "LEVELS", levels)
-    monkeypatch.setattr(merkle, "BLOCK", merkle.FANOUT**levels)
     rows = _rows(sizes)
-    got = _got(merkle.of_documents(spark.createDataFrame(rows, DOCS).repartition(5)))
+    got = _got(merkle.of_documents(spark.createDataFrame(rows, DOCS).repartition(5), levels=levels))
     assert got == _manifest(rows)
 
 
