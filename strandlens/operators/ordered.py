@@ -405,7 +405,9 @@ def ecdf(counts: DataFrame, value: str, piece: int = 10_000) -> DataFrame:
     the driver.
     """
     spark = counts.sparkSession
-    placed = _range_sorted(counts.select(value, F.col("n").cast("bigint").alias("n")), [_column(value).asc()])
+    # Fitting the ranges reads the counts once more, so they are worked out before.
+    counts = stage(counts.select(value, F.col("n").cast("bigint").alias("n")), "ecdf-counts")
+    placed = _range_sorted(counts, [_column(value).asc()])
     sums = placed.groupBy("_range").agg(F.sum("n").alias("n")).collect()
     before, total = [], 0
     for r in sorted(sums, key=lambda r: r["_range"]):

@@ -26,6 +26,7 @@ from .ordered import number_rows
 
 BINS_PER_E = 256
 PARTS = 4096
+SORTED = 1_000_000  # staged rows that are sorted as they are; more are narrowed down further
 TOTAL = "_total"
 
 
@@ -55,10 +56,10 @@ def _beside(rows: DataFrame, cells: DataFrame, on: Sequence[str], how: str = "in
     return rows.join(renamed, _same(on), how).drop(*[f"_c_{c}" for c in on])
 
 
-def _hits(counted: DataFrame, group: Sequence[str], along: str, count: int) -> DataFrame:
+def _hits(counted: DataFrame, group: Sequence[str], along: str | Sequence[str], count: int) -> DataFrame:
     """Of counted cells, those that hold a wanted rank of any scope. Per scope i: _n{i} counts rows, _before{i} is the rank of the
     group's first row, then of the cell's first, and _ranks{i} are the wanted ranks, then those in the cell."""
-    order = Window.partitionBy(*[_column(g) for g in group]).orderBy(along)
+    order = Window.partitionBy(*[_column(g) for g in group]).orderBy(*([along] if isinstance(along, str) else along))
     upto = {f"_before{i}": F.col(f"_before{i}") + F.sum(f"_n{i}").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col(f"_n{i}") for i in range(count)}
 
     def here(i: int) -> Column:
@@ -131,16 +132,24 @@ def order_statistics(
         *[F.count_if(f"_s{i}").alias(f"_n{i}") for i in range(count)]
     )
     values = stage(values, "values")
+    if values.count() <= SORTED:
+        by = [*keys, "_bin"]
+        return _listed(_hits(_beside(values, bins.drop("_low", "_high"), by), by, "_value", count), keys, names)
     part = _part(F.col("_value"), F.col("_low"), F.col("_high"))
     parts = _refined(values, bins, [*keys, "_bin"], "_part", part, "_value", count)
     inside = _beside(values, bins.select(*key_cols, "_bin", "_low", "_high"), [*keys, "_bin"]).withColumn("_part", part).drop("_low", "_high")
     by = [*keys, "_bin", "_part"]
-    found = _hits(_beside(inside, parts.drop("_low", "_high"), by), by, "_value", count)
+    return _listed(_hits(_beside(inside, parts.drop("_low", "_high"), by), by, "_value", count), keys, names)
+
+
+def _listed(found: DataFrame, keys: Sequence[str], scopes: Sequence[str]) -> DataFrame:
+    """A row per wanted rank and scope, from the values that hold them."""
 
     def ranked(i: int, name: str) -> Column:
         return F.transform(f"_ranks{i}", lambda r: F.struct(F.lit(name).alias("scope"), r.alias("rank"), F.col(f"{TOTAL}{i}").alias(TOTAL)))
 
-    listed = F.flatten(F.array(*[ranked(i, name) for i, name in enumerate(names)]))
+    listed = F.flatten(F.array(*[ranked(i, name) for i, name in enumerate(scopes)]))
+    key_cols = [_column(k) for k in keys]
     return found.select(*key_cols, F.col("_value").alias("value"), F.explode(listed).alias("_r")).select(*key_cols, "_r.*", "value")
 
 
@@ -207,17 +216,20 @@ def representatives(
     rows = _beside(rows, bins.select(*key_cols, "_bin", "_low", "_high"), by)
     rows = rows.withColumn("_part", _part(F.col("_value"), F.col("_low"), F.col("_high"))).drop("_low", "_high")
     rows = stage(rows, "representative-rows")
-    parts = _refined(rows, bins, by, "_part", F.col("_part"), "_value", 1)
-    by = [*by, "_part"]
-    values = _refined(rows, parts, by, "_value", F.col("_value"), "_tie", 1)
-    values = stage(values, "representative-values")
-    by = [*by, "_value"]
-    tied = _part(F.col("_tie"), F.col("_low"), F.col("_high"))
-    ties = _refined(rows, values, by, "_tied", tied, "_tie", 1)
-    near = _beside(rows, values.select(*[_column(c) for c in by], "_low", "_high"), by).withColumn("_tied", tied).drop("_low", "_high")
-    by = [*by, "_tied"]
-    near = _beside(near, ties.drop("_low", "_high"), by)
-    chosen = _hits(near, by, "_tie", 1)
+    if rows.count() <= SORTED:
+        chosen = _hits(_beside(rows, bins.drop("_low", "_high"), by), by, ["_value", "_tie"], 1)
+    else:
+        parts = _refined(rows, bins, by, "_part", F.col("_part"), "_value", 1)
+        by = [*by, "_part"]
+        values = _refined(rows, parts, by, "_value", F.col("_value"), "_tie", 1)
+        values = stage(values, "representative-values")
+        by = [*by, "_value"]
+        tied = _part(F.col("_tie"), F.col("_low"), F.col("_high"))
+        ties = _refined(rows, values, by, "_tied", tied, "_tie", 1)
+        near = _beside(rows, values.select(*[_column(c) for c in by], "_low", "_high"), by).withColumn("_tied", tied).drop("_low", "_high")
+        by = [*by, "_tied"]
+        near = _beside(near, ties.drop("_low", "_high"), by)
+        chosen = _hits(near, by, "_tie", 1)
     order = Window.partitionBy(*key_cols).orderBy("_value", "_tie")
     picked = chosen.withColumn("rank", F.row_number().over(order).cast("bigint"))
     return picked.select(*[_column(c) for c in df.columns], "rank")

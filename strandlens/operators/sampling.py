@@ -54,20 +54,25 @@ def sample_cap(df: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFram
     """
     hashed = df.withColumn("_hash", _place(key, seed))
 
-    def at_cap(rows: DataFrame, bits: int, before: int | Column) -> tuple[Column, Column]:
-        """The range, by the first ``bits`` bits, in which the cap falls, and how many rows come before it."""
+    def at_cap(rows: DataFrame, bits: int, before: int) -> tuple[int, int] | None:
+        """The range, by the first ``bits`` bits, in which the cap falls, and how many rows come before it. A few thousand counts
+        reach the driver."""
         counts = rows.groupBy(F.shiftrightunsigned("_hash", _PLACE_BITS - bits).alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
-        upto = before + F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
-        reached = counts.withColumn("_upto", upto).filter(F.col("_upto") >= n)
-        found = reached.agg(F.min_by(F.struct("_range", (F.col("_upto") - F.col("_n")).alias("before")), "_range").alias("c"))
-        return found.select("c._range").scalar(), found.select("c.before").scalar()
-
-    outer, before = at_cap(hashed, _RANGE_BITS, F.lit(0))
-    near = hashed.filter(F.shiftrightunsigned("_hash", _PLACE_BITS - _RANGE_BITS) == outer)
-    cut, before = at_cap(near, 2 * _RANGE_BITS, before)
-    hashed = hashed.withColumn("_range", F.shiftrightunsigned("_hash", _PLACE_BITS - 2 * _RANGE_BITS))
+        for r in sorted(counts.collect()):
+            if before + r["_n"] >= n:
+                return r["_range"], before
+            before += r["_n"]
+        return None
+
+    place = hashed.select("_hash")
+    outer = at_cap(place, _RANGE_BITS, 0)
+    if outer is None:
+        return df
+    near = place.filter(F.shiftrightunsigned("_hash", _PLACE_BITS - _RANGE_BITS) == outer[0])
+    cut, before = at_cap(near, 2 * _RANGE_BITS, outer[1])
     room = n - before
-    whole = hashed.filter(F.coalesce(F.col("_range") < cut, F.lit(True)))
+    hashed = hashed.withColumn("_range", F.shiftrightunsigned("_hash", _PLACE_BITS - 2 * _RANGE_BITS))
+    whole = hashed.filter(F.col("_range") < cut)
     order = Window.partitionBy("_range").orderBy("_hash", *[_column(c) for c in key])
     split = (
         hashed.filter(F.col("_range") == cut)

@@ -107,7 +107,9 @@ def test_ecdf_of_many_values_in_one_narrow_range(spark):
     assert out.filter("gap = 1000000000003").agg(F.min("rank")).first()[0] == 1 + 2 + 3 + 1
 
 
-def test_quantiles_by_scope_in_two_reads(spark):
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_quantiles_by_scope_in_two_reads(spark, monkeypatch, limit):
+    monkeypatch.setattr(Q, "SORTED", limit)
     r = random.Random(4)
     rows = [(r.choice("xy"), r.choice([5.0, r.gauss(0, 100)]), r.random() < 0.3) for _ in range(3000)] + [("x", None, True), ("y", float("nan"), True), ("z", 1.0, False)]
     df = spark.createDataFrame(rows, "g string, v double, c boolean")
@@ -146,8 +148,9 @@ def test_nan_is_missing_in_effects_boxes_and_stability(spark):
     assert sorted(r["stability"] for r in R.stability_category(nan, ["f"], "p", "s").collect()) == sorted(r["stability"] for r in R.stability_category(plain, ["f"], "p", "s").collect())
 
 
-@pytest.mark.parametrize("n", [1, 2, 6, 40])
-def test_representatives_of_a_hot_value(spark, n):
+@pytest.mark.parametrize("n,limit", [(1, 0), (2, 0), (6, 0), (40, 0), (40, 10**6)])
+def test_representatives_of_a_hot_value(spark, monkeypatch, n, limit):
+    monkeypatch.setattr(Q, "SORTED", limit)
     r = random.Random(5)
     rows = [(g, 7.0 if i % 3 else r.random() * 20, i, f"row{i}") for g in "ab" for i in range(900)] + [("a", float("nan"), 10_000, "x"), ("b", None, 10_001, "y")]
     df = spark.createDataFrame(rows, "g string, s double, id bigint, more string").repartition(5)
