@@ -9,7 +9,7 @@ Within a piece the walk is a graph of jumps from place to place, followed by poi
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from ..functions.timing import _column
 from ..sources.sinks import stage
 
 FAN = 64
-CHUNK_ROWS = 1 << 20  # rows of whole pieces that a step looks at together, about
+CHUNK_ROWS = 1 << 20  # places of whole pieces that a step looks at together, about
 
 
 def chain_entries(tables: DataFrame, group: Sequence[str], width: int, restart: bool) -> DataFrame:
@@ -121,24 +121,38 @@ def _opens(table: pa.Table, by: Sequence[str]) -> np.ndarray:
     return opens
 
 
-def whole_pieces(batches: Iterator[pa.RecordBatch], by: Sequence[str], rows: int = CHUNK_ROWS) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole pieces with the number of each row's piece in it."""
+Weigh = Callable[[pa.Table | pa.RecordBatch], np.ndarray]
+
+
+def _parted(table: pa.Table, by: Sequence[str], weigh: Weigh, limit: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    opens = _opens(table, by)
+    first = np.flatnonzero(opens)
+    if not len(first):
+        return
+    weight = np.add.reduceat(weigh(table), first)
+    part = (np.cumsum(weight) - weight) // limit
+    cuts = [*first[np.flatnonzero(np.diff(part, prepend=-1))].tolist(), len(table)]
+    for i, j in zip(cuts, cuts[1:]):
+        yield table.slice(i, j - i), np.cumsum(opens[i:j]) - 1
+
+
+def whole_pieces(batches: Iterator[pa.RecordBatch], by: Sequence[str], weigh: Weigh, limit: int = CHUNK_ROWS) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole pieces with the number of each row's piece in it; together they weigh ``limit`` and one piece more at most.
+    ``weigh`` gives the weight of each row."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         held.append(batch)
-        size += len(batch)
-        if size >= rows:
+        size += int(weigh(batch).sum())
+        if size >= limit:
             table = pa.Table.from_batches(held)
-            opens = np.flatnonzero(_opens(table, by))
-            if opens[-1]:
-                done = table.slice(0, opens[-1])
-                yield done, np.cumsum(_opens(done, by)) - 1
-                table = table.slice(opens[-1])
+            last = int(np.flatnonzero(_opens(table, by))[-1])
+            if last:
+                yield from _parted(table.slice(0, last), by, weigh, limit)
+                table = table.slice(last)
             held, size = table.to_batches(), 0
     if held:
-        table = pa.Table.from_batches(held)
-        yield table, np.cumsum(_opens(table, by)) - 1
+        yield from _parted(pa.Table.from_batches(held), by, weigh, limit)
 
 
 class Spaced:

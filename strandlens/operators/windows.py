@@ -167,15 +167,18 @@ def pick_windows(
     def spaced(table: pa.Table, piece: np.ndarray) -> Spaced:
         return Spaced(piece, table.column("a").to_numpy(), table.column("b").to_numpy(), piece_rows, window)
 
+    def starts_in(runs: pa.Table | pa.RecordBatch) -> np.ndarray:
+        return runs.column("b").to_numpy() - runs.column("a").to_numpy() + 2
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, piece in whole_pieces(batches, by_piece):
+        for table, piece in whole_pieces(batches, by_piece, starts_in):
             number, first = np.unique(piece, return_index=True)
             leave = spaced(table, piece).leaves(number)
             lists = pa.ListArray.from_arrays(np.arange(len(number) + 1) * window, pa.array(leave.ravel(), pa.int32()))
             yield from table.select(by_piece).take(first).append_column("_leave", lists).to_batches()
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, piece in whole_pieces(batches, by_piece):
+        for table, piece in whole_pieces(batches, by_piece, starts_in):
             entry = np.zeros(int(piece[-1]) + 1 if len(piece) else 0, np.int64)
             entered = table.column("_entry").to_numpy()
             entry[piece[entered >= 0]] = entered[entered >= 0]

@@ -8,6 +8,7 @@ import statistics
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +85,20 @@ def test_jumps():
         assert K.terminals(np.where(jump == n, np.arange(n), jump))[start] == seen[-1]
 
 
+def test_whole_pieces_within_a_weight():
+    r = random.Random(4)
+    for _ in range(100):
+        rows = [(g, p, r.randint(1, 9)) for g in ("a", None, "b") for p in range(r.randint(0, 6)) for _ in range(r.randint(1, 5))]
+        table = pa.table({"g": pa.array([x[0] for x in rows], pa.string()), "p": pa.array([x[1] for x in rows], pa.int64()), "w": pa.array([x[2] for x in rows], pa.int64())})
+        weigh = lambda t: t.column("w").to_numpy()
+        parts = list(K.whole_pieces(iter(table.to_batches(max_chunksize=r.randint(1, 20))), ["g", "p"], weigh, 20))
+        assert [tuple(x.values()) for t, _ in parts for x in t.to_pylist()] == rows
+        seen = [{(g, p) for g, p in zip(t.column("g").to_pylist(), t.column("p").to_pylist())} for t, _ in parts]
+        assert sum(map(len, seen)) == len(set().union(*seen)) == sum(len(set(n.tolist())) for _, n in parts)
+        heaviest = max((sum(w for a, b, w in rows if (a, b) == k) for k in {x[:2] for x in rows}), default=0)
+        assert all(weigh(t).sum() <= 20 + heaviest for t, _ in parts)
+
+
 def test_numbers_along_ranges(spark):
     r = random.Random(2)
     rows = [(r.choice(["hot", "hot", "hot", "b", None]), r.choice([7.0, 7.0, r.random()]), i) for i in range(2000)]
