@@ -27,6 +27,7 @@ LOCAL = 3  # times that an n-gram occurs in a task's documents before it is coun
 COUNTED = 1 << 21  # n-grams counted at once in a task
 SALTS = 64
 LAGS = 8  # neighbours that a set is paired with in a list
+PAIR_BLOCK = 2048  # sets of one list that meet those of another block in one place
 PARTNERS = 16
 FILTER_WORDS = 1 << 17  # 64-bit words of the map of documents that are read again
 _A = np.uint64(0x9FB21C651E98DF25)
@@ -284,20 +285,29 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     member = stage(posts.drop("salt").join(sizes, "gram"), "grams-members")
     tried = stage(_chained(member, percent), "grams-chained")
     merged = components(_links(stage(_possible(tried, nodes, percent), "grams-possible"), texts, nodes, width, percent))
-    member = member.drop("size").join(merged.withColumnRenamed("node", "k"), "k", "left")
+    member = member.join(merged.withColumnRenamed("node", "k"), "k", "left")
     member = stage(member.withColumn("component", F.coalesce("component", "k")), "grams-members")
 
     # What the chains did not bring together: all candidates of different classes that weren't tried.
     several = member.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("gram")
     open_ = member.join(several, "gram", "left_semi").join(nodes.select("k", "mini"), "k")
-    left, right = (open_.select("gram", *[F.col(c).alias(f"{side}_{c}") for c in ("k", "n", "place", "component", "mini")]) for side in ("l", "r"))
+    # Long lists are cut into blocks and joined block by block, so that a hot n-gram's pairs are spread over tasks.
+    many = F.ceil(F.col("size") / PAIR_BLOCK).cast("int")
+    own, every = F.pmod(F.xxhash64(F.lit("block"), "k"), many).cast("int"), F.explode(F.sequence(F.lit(0), many - 1))
+    sides = {"l": (own, every), "r": (every, own)}
+    columns = ("k", "n", "place", "component", "mini")
+    left, right = (
+        open_.select("gram", *[F.col(c).alias(f"{side}_{c}") for c in columns], a.alias("l_block"), b.alias("r_block")) for side, (a, b) in sides.items()
+    )
     need = F.ceil(percent * (F.col("l_n") + F.col("r_n")) / (100 + percent))
     differ = sum((F.bit_count(F.get("l_mini", F.lit(i)).bitwiseXOR(F.get("r_mini", F.lit(i)))) for i in range(4)), F.lit(0))
     # All that can be told of a pair without its n-grams is told in the join.
     told = (F.col("l_k") < F.col("r_k")) & (F.col("l_component") != F.col("r_component"))
     told = told & (100 * F.least("l_n", "r_n") >= percent * F.greatest("l_n", "r_n")) & (differ <= F.col("l_n") + F.col("r_n") - 2 * need)
     told = told & (F.col("l_place") <= F.col("l_n") - need) & (F.col("r_place") <= F.col("r_n") - need)
-    crossed = left.join(right.withColumnRenamed("gram", "r_gram"), (F.col("gram") == F.col("r_gram")) & told)
+    right = right.withColumnsRenamed({c: f"_{c}" for c in ("gram", "l_block", "r_block")})
+    here = (F.col("gram") == F.col("_gram")) & (F.col("l_block") == F.col("_l_block")) & (F.col("r_block") == F.col("_r_block"))
+    crossed = left.join(right, here & told)
     rest = _pairs(crossed, lambda c: F.col(f"l_{c}"), lambda c: F.col(f"r_{c}"), percent).join(tried, ["a", "b"], "left_anti")
     rest = stage(_possible(rest, nodes, percent), "grams-rest")
     if not rest.isEmpty():
