@@ -101,11 +101,12 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, keep_ids: bool = Fals
     counted, and a piece's number is its range's start plus its place in the range."""
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
-    made = stage(pieces(docs, path, length, keep_ids), "pack-pieces")
+    # Pieces of equal rows would share a hash, and a range: a number of their own parts them.
+    made = stage(pieces(docs, path, length, keep_ids).withColumn("_own", F.monotonically_increasing_id()), "pack-pieces")
     counts = made.groupBy("length").agg(F.count("*").alias("n"))
     ranges = F.ceil(F.col("n") / RANGE).cast("long")
     counts = stage(counts.withColumn("ranges", ranges), "pack-counts")
-    u = F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens")
+    u = F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens", "_own")
     dealt = made.withColumn("_u", u).join(F.broadcast(counts.drop("n")), "length")
     dealt = dealt.withColumn("_range", F.pmod(F.col("_u"), F.col("ranges")))
     here = dealt.groupBy("length", "_range").agg(F.count("*").alias("_here"))
@@ -114,7 +115,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, keep_ids: bool = Fals
     # A bucket begins after all shorter ones; one row per power of two.
     base = counts.select("length", (F.sum("n").over(Window.orderBy("length")) - F.col("n")).alias("_base"))
     here = stage(here.join(F.broadcast(base), "length"), "pack-ranges")
-    order = Window.partitionBy("length", "_range").orderBy("_u", "doc_id", "start")
+    order = Window.partitionBy("length", "_range").orderBy("_u", "_own")
     ranked = dealt.withColumn("_n", F.row_number().over(order) - 1).join(here, ["length", "_range"])
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids]
     number = F.col("_base") + F.col("_before") + F.col("_n")
