@@ -43,6 +43,7 @@ def transcripts(conversations: DataFrame) -> DataFrame:
 
 @query
 def op1_chat_roles(spark: SparkSession, sf: str) -> DataFrame:
+    """The model is fitted on (a sample of) the very transcripts that it then recovers; see the tests for accuracy on others."""
     lines = transcripts(table(spark, sf, "conversations"))
     turns = chat_roles.render(chat_roles.recover(lines, chat_roles.train(lines)))
     return turns.withColumnsRenamed({"key": "conv_id", "order": "turn"})

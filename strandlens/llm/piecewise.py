@@ -139,8 +139,10 @@ def fingerprint_with_next(docs: DataFrame) -> DataFrame:
 
     Texts are dealt by ranges of doc_id and sorted once; each task streams over its range. Only the last row of a
     range, whose successor is in another task, is worked out in a second small step."""
-    rows = texts_only(docs).withColumn("_h", F.xxhash64("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "_h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_h", "text")
+    # Equal rows may be dealt to several ranges: which of them comes first makes no difference.
+    rows = texts_only(docs).withColumns({"_h": F.xxhash64("text"), "_own": F.monotonically_increasing_id()})
+    order = (F.col("doc_id").asc_nulls_first(), F.col("_h").asc(), F.col("_own").asc())
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("_h", "_own")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         part, first, held_ids, held, size = TaskContext.get().partitionId(), True, [], [], 0
