@@ -176,6 +176,7 @@ def test_similarity_classes_with_frequent_grams_and_near_misses(spark, monkeypat
     """Many variants of few texts: n-grams are frequent, chains are cut by salts, and cross checks are needed."""
     monkeypatch.setattr(jaccard_join, "SALTS", 3)
     monkeypatch.setattr(jaccard_join, "PARTNERS", 1)
+    monkeypatch.setattr(jaccard_join, "PAIR_BLOCK", 3)
     r = random.Random(8)
     rows = []
     for base in range(3):
