@@ -245,9 +245,9 @@ def _joined(docs: DataFrame, widths: tuple[int, ...]) -> tuple[DataFrame, str]:
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], runs_name), runs_name
 
 
-def report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and text: what is left (bytes of characters that a cut splits
-    left out). Removed is each byte of a string of ``width`` bytes that starts
+def report(docs: DataFrame, width: int = WIDTH, keep_text: bool = False) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and (keep_text) text: what is left (bytes of characters that a cut
+    splits left out). Removed is each byte of a string of ``width`` bytes that starts
     at another place of the table too (in the same document included, overlapping included).
 
     Null and empty texts have nothing to remove; a row that repeats another repeats all its strings; rows of one
@@ -269,11 +269,12 @@ def report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 removed.append(n)
                 spans.append(s)
                 digests.append(hashlib.sha256(kept).hexdigest())
-                left.append(bytes(kept).decode(errors="ignore"))
-            yield {"doc_id": batch.column("doc_id"), "n_bytes": sizes, "n_removed": removed, "n_spans": spans, "kept_sha256": digests, "text": left}
+                if keep_text:
+                    left.append(bytes(kept).decode(errors="ignore"))
+            yield {"doc_id": batch.column("doc_id"), "n_bytes": sizes, "n_removed": removed, "n_spans": spans, "kept_sha256": digests} | ({"text": left} if keep_text else {})
 
     joined, _ = _joined(texts_only(docs), (width,))
-    return map_batches(joined, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string", run)
+    return map_batches(joined, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text, run)
 
 
 def remove(docs: DataFrame, width: int = WIDTH, passage: int | None = None) -> DataFrame:
