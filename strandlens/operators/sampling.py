@@ -20,6 +20,12 @@ def _place(key: Sequence[str], seed: int) -> Column:
     return F.conv(F.substring(digest, 1, _PLACE_BITS // 4), 16, 10).cast("bigint")
 
 
+def _total(df: DataFrame) -> list[Column]:
+    """An order by all columns; those with maps, which have no order, go by their JSON."""
+    loose = ("map<", "variant")
+    return [F.to_json(F.struct(_column(c))) if any(t in kind for t in loose) else _column(c) for c, kind in df.dtypes]
+
+
 def top_rows(df: DataFrame, by: str, tiebreak: Sequence[str], k: int) -> DataFrame:
     return df.orderBy(_column(by).desc(), *[_column(t) for t in tiebreak]).limit(k)
 
@@ -46,11 +52,11 @@ def sample_about(df: DataFrame, key: Sequence[str], rows: int, seed: int) -> Dat
 
 def sample_cap(df: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:
     """``n`` random rows, or all where there are no more; the same rows on every
-    run.
+    run, also where rows share a key: those that the cap parts are taken in the order of all their columns.
 
     Rows are taken in the order of a hash of their key. Counts of a few thousand hash ranges tell in which one the cap
     falls, counts of its own parts in which of those; ranges and parts before it are taken whole, and only that part is
-    sorted, so no more than some ten-millionth of the rows meets in one task.
+    sorted, so no more than some ten-millionth of the keys meets in one task.
     """
     hashed = df.withColumn("_hash", _place(key, seed))
 
@@ -73,7 +79,7 @@ def sample_cap(df: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFram
     room = n - before
     hashed = hashed.withColumn("_range", F.shiftrightunsigned("_hash", _PLACE_BITS - 2 * _RANGE_BITS))
     whole = hashed.filter(F.col("_range") < cut)
-    order = Window.partitionBy("_range").orderBy("_hash", *[_column(c) for c in key])
+    order = Window.partitionBy("_range").orderBy("_hash", *[_column(c) for c in key], *_total(df))
     split = (
         hashed.filter(F.col("_range") == cut)
         .withColumn("_row", F.row_number().over(order))

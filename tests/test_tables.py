@@ -183,6 +183,17 @@ def test_capped_sample_has_exactly_n_rows(spark, n):
     assert sorted(rows) == sorted(r.id for r in P.sample_cap(df.repartition(7), ["id"], n, 42).collect())
 
 
+@pytest.mark.parametrize("n", [1, 299, 450, 1700])
+def test_capped_sample_takes_the_same_rows_of_a_shared_key(spark, n):
+    df = spark.range(3000).select((F.col("id") % 10).alias("id"), (3000 - F.col("id")).alias("v"), F.create_map(F.lit("v"), "id").alias("m"))
+    runs = [[(r.id, r.v, r.m["v"]) for r in P.sample_cap(d, ["id"], n, 42).collect()] for d in (df, df.repartition(7), df.orderBy("v"))]
+    assert len(runs[0]) == n and sorted(runs[0]) == sorted(runs[1]) == sorted(runs[2])
+    every = {k: sorted(3000 - i for i in range(3000) if i % 10 == k) for k in range(10)}
+    for k in {k for k, *_ in runs[0]}:
+        mine = sorted(v for i, v, _ in runs[0] if i == k)
+        assert mine == every[k][: len(mine)]
+
+
 def test_shares_do_not_depend_on_the_layout(spark):
     df = spark.range(20_000)
     for sample in (
