@@ -113,7 +113,7 @@ def op6_permutation_index(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op7_repeats(spark: SparkSession, sf: str) -> DataFrame:
-    return repeats.report(table(spark, sf, "documents"), keep_text=True)
+    return repeats.report(table(spark, sf, "documents"), keep_text=True, passage=repeats.PASSAGE)
 
 
 @query

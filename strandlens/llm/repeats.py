@@ -29,6 +29,7 @@ from .frames import blocks, combine, fresh, map_batches, stage, texts_only
 from .hashing import Ranges, mix, signed, word_bounds, words
 
 WIDTH = 400
+PASSAGE = 51  # words
 PARSE = 0.3  # share of the width that the text after a trigger takes
 PIECES = 3  # a phrase is cut in so many at most
 # A place is one integer: the first start in a text, whether starts are words, number of starts. The text is the 64-bit hash of its doc_id and text.
@@ -245,36 +246,47 @@ def _joined(docs: DataFrame, widths: tuple[int, ...]) -> tuple[DataFrame, str]:
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], runs_name), runs_name
 
 
-def report(docs: DataFrame, width: int = WIDTH, keep_text: bool = False) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and (keep_text) text: what is left (bytes of characters that a cut
-    splits left out). Removed is each byte of a string of ``width`` bytes that starts
-    at another place of the table too (in the same document included, overlapping included).
+def report(docs: DataFrame, width: int = WIDTH, keep_text: bool = False, passage: int | None = None) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, then (passage) n_cut, and (keep_text) text: what is left (bytes of
+    characters that a cut splits left out). Removed is each byte of a string of ``width`` bytes that starts
+    at another place of the table too (in the same document included, overlapping included). Where ``passage`` is given, text is cut as by
+    ``remove``, by passages of so many words as well, and n_cut counts these bytes; the columns before are by ``width`` alone.
 
     Null and empty texts have nothing to remove; a row that repeats another repeats all its strings; rows of one
     doc_id and different texts are separate (told apart by a 64-bit hash of both), null ids are kept, other columns are ignored,
     an empty table gives an empty result. Texts of any length are cut into places, so only a text itself has to fit a task."""
+    widths = (width,) if passage is None else (width, passage)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            sizes, removed, spans, digests, left = [], [], [], [], []
+            sizes, removed, spans, digests, cut, left = [], [], [], [], [], []
             for text, runs in zip(batch.column("text"), batch.column("runs")):
                 data = text.as_buffer()
                 size = data.size
-                n, s, kept = 0, 0, data
+                n, s, c, kept, rest = 0, 0, 0, data, data
                 if runs.is_valid and size:
-                    gone, s = _removed(np.frombuffer(data, np.uint8), runs.values.to_numpy(zero_copy_only=False), (width,))
+                    whole, places = np.frombuffer(data, np.uint8), runs.values.to_numpy(zero_copy_only=False)
+                    gone, s = _removed(whole, places[_unpack(places)[2] == 0], (width,))
                     n = int(gone.sum())
-                    kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                    kept = rest = whole[~gone].tobytes()
+                    if passage is not None:
+                        gone, _ = _removed(whole, places, widths)
+                        c, rest = int(gone.sum()), whole[~gone].tobytes() if keep_text else b""
                 sizes.append(size)
                 removed.append(n)
                 spans.append(s)
                 digests.append(hashlib.sha256(kept).hexdigest())
+                cut.append(c)
                 if keep_text:
-                    left.append(bytes(kept).decode(errors="ignore"))
-            yield {"doc_id": batch.column("doc_id"), "n_bytes": sizes, "n_removed": removed, "n_spans": spans, "kept_sha256": digests} | ({"text": left} if keep_text else {})
-
-    joined, _ = _joined(texts_only(docs), (width,))
-    return map_batches(joined, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text, run)
+                    left.append(bytes(rest).decode(errors="ignore"))
+            yield {
+                "doc_id": batch.column("doc_id"), "n_bytes": sizes, "n_removed": removed, "n_spans": spans, "kept_sha256": digests,
+                **({"n_cut": cut} if passage is not None else {}), **({"text": left} if keep_text else {}),
+            }
+
+    joined, _ = _joined(texts_only(docs), widths)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return map_batches(joined, schema + ", n_cut long" * (passage is not None) + ", text string" * keep_text, run)
 
 
 def remove(docs: DataFrame, width: int = WIDTH, passage: int | None = None) -> DataFrame:
